@@ -64,27 +64,19 @@ def qvss(family: Column, risk: Column, key_size: Column, sensitivity: float = 5.
 
 def break_threshold(family: Column, key_size: Column, risk: Column) -> Column:
     """Name of the break-year row: by family and size, else by family; null when safe."""
-    chain = F.when(risk == "safe", F.lit(None).cast("string"))
-    for fam, size, name in t.THRESHOLD_BY_KEY:
-        chain = chain.when((family == fam) & (key_size == size), F.lit(name))
-    return chain.otherwise(lookup(family, t.THRESHOLD_BY_FAMILY))
+    exact = lookup(F.concat_ws(" ", family, key_size), {f"{fam} {size}": name for fam, size, name in t.THRESHOLD_BY_KEY})
+    return F.when(risk != "safe", F.coalesce(exact, lookup(family, t.THRESHOLD_BY_FAMILY)))
 
 
 def timeline(family: Column, key_size: Column, risk: Column) -> Column:
     """Projected break years as a struct, null where none applies."""
-    key = break_threshold(family, key_size, risk)
-    chain = None
-    for name, qubits, early, middle, late, attack, confidence in t.BREAK_YEARS:
-        row = F.struct(
-            F.lit(early).alias("break_year_optimistic"),
-            F.lit(middle).alias("break_year_moderate"),
-            F.lit(late).alias("break_year_conservative"),
-            F.lit(qubits).alias("logical_qubits"),
-            F.lit(attack).alias("attack_type"),
-            F.lit(confidence).alias("timeline_confidence"),
-        )
-        chain = F.when(key == name, row) if chain is None else chain.when(key == name, row)
-    return chain
+    names = ("break_year_optimistic", "break_year_moderate", "break_year_conservative", "logical_qubits", "attack_type",
+             "timeline_confidence")
+    rows = []
+    for threshold, qubits, early, middle, late, attack, confidence in t.BREAK_YEARS:
+        values = (early, middle, late, qubits, attack, confidence)
+        rows += [F.lit(threshold), F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values)])]
+    return F.try_element_at(F.create_map(*rows), break_threshold(family, key_size, risk))
 
 
 def harvest_risk(break_year: Column, current_year: int | Column, shelf_life: int = 10, sensitivity: str = "internal") -> Column:
@@ -106,13 +98,9 @@ def harvest_risk(break_year: Column, current_year: int | Column, shelf_life: int
 
 def base_hours(family: Column, usage: Column) -> Column:
     """Hours for a family and usage, falling back to library calls, then 4."""
-    exact, fallback = None, {}
-    for fam, use, hours in t.BASE_HOURS:
-        fits = (family == fam) & (usage == use)
-        exact = F.when(fits, F.lit(float(hours))) if exact is None else exact.when(fits, F.lit(float(hours)))
-        if use == "library_call":
-            fallback[fam] = float(hours)
-    return F.coalesce(exact, lookup(family, fallback), F.lit(float(t.DEFAULT_HOURS)))
+    exact = lookup(F.concat_ws(" ", family, usage), {f"{fam} {use}": float(hours) for fam, use, hours in t.BASE_HOURS})
+    fallback = lookup(family, {fam: float(hours) for fam, use, hours in t.BASE_HOURS if use == "library_call"})
+    return F.coalesce(exact, fallback, F.lit(float(t.DEFAULT_HOURS)))
 
 
 def cost(hours: Column, rate: float = t.HOURLY_RATE) -> Column:

@@ -72,13 +72,10 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
-    """Value of a small fixed table as one CASE expression."""
-    entries = iter(table.items())
-    first_key, first_value = next(entries)
-    chain = F.when(key == first_key, F.lit(first_value))
-    for known, value in entries:
-        chain = chain.when(key == known, F.lit(value))
-    return chain.otherwise(F.lit(default))
+    """Value of a small fixed table, as one lookup in a literal map."""
+    entries = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
+    found = F.try_element_at(entries, key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def shannon_entropy(counts: Column, total: Column) -> Column:

@@ -115,7 +115,7 @@ def score_trend(scans: DataFrame, goal: float = 90.0) -> DataFrame:
     day = F.try_divide(F.lit(goal) - F.col("intercept"), F.col("slope"))
     return fitted.select(
         "target", "scans",
-        F.coalesce(F.bround("mean_delta", 2), F.lit(0.0)).alias("average_improvement_per_scan"),
+        F.coalesce("mean_delta", F.lit(0.0)).alias("average_improvement_per_scan"),
         F.when(F.col("mean_delta") > 0, F.lit("improving")).when(F.col("mean_delta") < 0, F.lit("degrading"))
         .otherwise(F.lit("stable")).alias("score_trend"),
         F.when(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cipherledger.fixed import scoring_tables as t
 from cipherledger.functions import scoring
+from cipherledger.functions.text import lookup
 from cipherledger.operators.aggregate import severity_name, top_paths
 from cipherledger.operators.post import quantum_exposed, severity_order
 from cipherledger.sources import rules as rule_tables
@@ -22,22 +23,17 @@ def migration_tasks(findings: DataFrame, rate: float = t.HOURLY_RATE, shown_file
         F.countDistinct("location.file_path").alias("affected_file_count"),
     )
     risk = F.when(F.col("vulnerable"), F.lit("vulnerable")).otherwise(F.lit("weakened"))
-    priority = None
-    for (severity, quantum_risk), value in t.PRIORITY.items():
-        fits = (F.col("risk_level") == severity) & (risk == quantum_risk)
-        priority = F.when(fits, F.lit(value)) if priority is None else priority.when(fits, F.lit(value))
-    phase = None
-    for value, number in t.PHASE_OF_PRIORITY.items():
-        fits = F.col("priority") == value
-        phase = F.when(fits, F.lit(number)) if phase is None else phase.when(fits, F.lit(number))
+    priority = lookup(
+        F.concat_ws(" ", "risk_level", risk), {" ".join(key): value for key, value in t.PRIORITY.items()}, t.DEFAULT_PRIORITY
+    )
     hours = F.bround(
         scoring.base_hours(F.col("from_algorithm"), F.lit("library_call")) * scoring.file_multiplier(F.col("affected_file_count")), 1
     )
     # at most one row per family: numbering them in one task is cheap
     numbered = F.row_number().over(Window.orderBy("from_algorithm"))
     tasks = (
-        families.withColumn("priority", priority.otherwise(F.lit(t.DEFAULT_PRIORITY)))
-        .withColumn("phase", phase)
+        families.withColumn("priority", priority)
+        .withColumn("phase", lookup(F.col("priority"), t.PHASE_OF_PRIORITY))
         .withColumn("estimated_hours", hours)
         .withColumn("task_id", F.format_string("MIG-%03d", numbered))
         .withColumn("to_algorithm", scoring.first_replacement(F.col("from_algorithm")))

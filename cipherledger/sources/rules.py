@@ -141,23 +141,6 @@ def inline_rules(rows: list[tuple], subject: str) -> list[tuple]:
     return resolved
 
 
-def algorithm_column(key: Column) -> Column:
-    """Algorithm struct for a key, as a literal lookup; null for unknown keys."""
-    chain = None
-    for row in dimensions.ALGORITHMS:
-        value = F.struct(
-            F.lit(row[0]).alias("name"),
-            F.lit(row[1]).alias("family"),
-            F.lit(row[2]).cast("int").alias("key_size"),
-            F.lit(row[3]).alias("quantum_risk"),
-            F.array(*[F.lit(x) for x in row[4]]).cast("array<string>").alias("pqc_replacements"),
-            F.lit(row[5]).cast("string").alias("eu_deadline"),
-            F.lit(row[6]).alias("description"),
-        )
-        chain = F.when(key == row[0], value) if chain is None else chain.when(key == row[0], value)
-    return chain
-
-
 def own_algorithm(name: Column, family: Column, risk: Column, description: Column,
                   key_size: Column | None = None, replacements: Column | None = None) -> Column:
     """Algorithm struct of detectors that do not use the dimension."""

@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger import schema
 from cipherledger.fixed import dimensions, source_rules
+from cipherledger.functions.text import lookup
+from cipherledger.sources import rules
 from cipherledger.sources.files import with_names
 
 DIRS = ["src", "lib", "tests", "app"]
@@ -315,8 +316,6 @@ FACT_CONTEXT = ["import os", "password = get()", "an example here", "api_key and
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with a scan_id, one per line item."""
     o, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    from cipherledger.sources.rules import algorithm_column
-
     key = pick(p, ALGORITHM_KEYS)
     scanner = pick(s, dimensions.DETECTORS)
     path = F.concat(
@@ -325,10 +324,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.year("l_shipdate").cast("string").alias("scan_id"),
         key.alias("algorithm_key"), scanner.alias("scanner_type"), path.alias("file_path"),
-    ).withColumn("algorithm", algorithm_column(F.col("algorithm_key")))
+    ).join(
+        F.broadcast(rules.algorithms(spark).select(F.col("name").alias("algorithm_key"), F.struct("*").alias("algorithm"))),
+        "algorithm_key",
+    )
     risk_severity = {"vulnerable": "high", "weakened": "medium", "safe": "info", "unknown": "low"}
-    from cipherledger.functions.text import lookup
-
     severity = (
         F.when((n == 1) & (p % 3 == 0), F.lit("critical")).when(n == 2, F.lit("low"))
         .otherwise(lookup(F.col("algorithm.quantum_risk"), risk_severity))
@@ -365,7 +365,7 @@ def facts_sql() -> str:
     """The same findings flat, as CTE ``facts``; ``ord`` is a struct in the same order."""
     algorithms = sql_values(
         [(i, *row) for i, row in enumerate(dimensions.ALGORITHMS)], "algs",
-        "i, name, family, key_size, algorithm_risk, replacements, deadline, description",
+        "i, name, family, key_size, algorithm_risk, replacements, eu_deadline, description",
     )
     severities = sql_values(dimensions.SEVERITIES, "sevs", "severity, sev_ord, weight")
     return f"""{algorithms}, {severities},
@@ -378,7 +378,7 @@ raw AS (SELECT concat('R-', name, '-', l_linenumber % 3) AS rule_id,
     ELSE CASE algorithm_risk WHEN 'vulnerable' THEN 'high' WHEN 'weakened' THEN 'medium' WHEN 'safe' THEN 'info' ELSE 'low' END END AS severity,
   CASE WHEN l_linenumber = 4 AND l_suppkey % 7 = 0 THEN 'weakened' WHEN l_linenumber = 5 AND l_suppkey % 3 = 0 THEN 'unknown'
     ELSE algorithm_risk END AS quantum_risk,
-  name, family, CAST(key_size AS INTEGER) AS key_size, replacements, deadline, description, file_path,
+  name, family, CAST(key_size AS INTEGER) AS key_size, replacements, description, file_path,
   CAST(l_orderkey % 500 + 1 AS INTEGER) AS line_number,
   {sql_pick('l_suppkey + l_linenumber', FACT_LINES)} AS line_content,
   concat_ws(' ', {sql_pick('l_partkey', FACT_CONTEXT)}, {sql_pick('l_suppkey', FACT_CONTEXT)}, {sql_pick('l_orderkey', FACT_CONTEXT)}) AS around,
