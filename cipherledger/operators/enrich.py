@@ -28,12 +28,16 @@ def adjusted_confidence(finding_confidence: Column, location: Column) -> Column:
     """
     line = location["line_content"]
     around = F.lower(F.array_join(F.concat(location["context_before"], location["context_after"]), " "))
-    value = finding_confidence
-    value = F.when(is_test_path(location["file_path"]), value - 0.3).otherwise(value)
-    value = F.when(text.contains_any(F.lower(line), text_rules.SUPPRESSIONS), value - 0.5).otherwise(value)
+
+    def when(condition, amount):
+        return F.when(condition, F.lit(amount)).otherwise(F.lit(0.0))
+
+    # each step names the value once; a value never exceeds 1 before step four
+    value = finding_confidence - when(is_test_path(location["file_path"]), 0.3)
+    value = value - when(text.contains_any(F.lower(line), text_rules.SUPPRESSIONS), 0.5)
     value = F.when(line.rlike("(?U)" + text_rules.COMMENT_LINE), F.lit(0.1)).otherwise(value)
-    value = F.when(text.contains_any(around, text_rules.SENSITIVE_WORDS), F.least(value + 0.2, F.lit(1.0))).otherwise(value)
-    value = F.when(text.contains_any(around, text_rules.DEMO_WORDS), value - 0.2).otherwise(value)
+    value = F.least(value + when(text.contains_any(around, text_rules.SENSITIVE_WORDS), 0.2), F.lit(1.0))
+    value = value - when(text.contains_any(around, text_rules.DEMO_WORDS), 0.2)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 

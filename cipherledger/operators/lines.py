@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherledger.functions import patterns, text
+from cipherledger.operators.hits import Builder, Detector, Rule, line_hit
 from cipherledger.sources import rules as rule_tables
 
 
@@ -39,7 +40,7 @@ def split_numbered(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataF
     ).select(*keep, (F.col("position") + 1).alias("line_number"), "line")
 
 
-def _hits(rules: list[tuple], test) -> Column:
+def rule_hits(rules: list[tuple], test) -> Column:
     """Orders of the rules whose test holds, as an array of literals' CASEs."""
     return F.array_remove(
         F.array(*[F.when(test(rule), F.lit(rule[1])).otherwise(F.lit(-1)) for rule in rules]), -1
@@ -48,13 +49,13 @@ def _hits(rules: list[tuple], test) -> Column:
 
 def _by_language(rules: list[tuple], language: Column | None, test) -> Column:
     if language is None:
-        return _hits(rules, test)
+        return rule_hits(rules, test)
     groups: dict[str, list[tuple]] = {}
     for rule in rules:
         groups.setdefault(rule[2], []).append(rule)
     chain = None
     for name, members in groups.items():
-        found = _hits(members, test)
+        found = rule_hits(members, test)
         chain = F.when(language == name, found) if chain is None else chain.when(language == name, found)
     return chain.otherwise(F.array().cast("array<int>"))
 
@@ -87,51 +88,36 @@ def match_lines_with_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.where(F.expr("line rlike concat('(?dU)', pattern)"))
 
 
-def match_files(files: DataFrame, rules: list[tuple], width: int, language: str | None = "language") -> DataFrame:
-    """Line matches straight from whole texts, in two steps (L1 to L3).
+def line_rule_detector(rules: list[Rule], column: str, route: Column, language: Column | None, width: int, trim) -> Builder:
+    """Rules over the lines of a text, in two steps (L1 to L3).
 
-    First each text is tested as a whole against the rules of its language;
-    most texts have no hit and are never split. Only for the (text, rule) pairs
-    left is the text cut into lines, each line tested, and the neighbours of
-    the hits cut out. Nothing is shuffled.
+    First the text is tested as a whole against the rules that may apply; most
+    texts have no hit and are never cut. Only for the rules left are the lines
+    tested and the neighbours of the hits taken.
     """
-    def whole(rule):
-        relaxed = patterns.whole_text_form(rule[3])
-        return F.lit(True) if relaxed is None else F.col("content").rlike(patterns.jvm(relaxed))
-
-    spark = files.sparkSession
-    candidates = files.select(
-        "path", "content",
-        F.explode(_by_language(rules, F.col(language) if language else None, whole)).alias("rule_ord"),
-    )
-    dimension = rule_tables.table(spark, rules, rule_tables.RESOLVED).withColumn(
-        "pattern", F.concat(F.lit(patterns.jvm("")), "pattern")
-    ).drop("language")
-    tested = (
-        candidates.join(F.broadcast(dimension), "rule_ord")
-        .withColumn("lines", text.split_lines(F.col("content")))
-        .withColumn(
-            "numbers",
-            F.filter(
-                F.sequence(F.lit(1), F.greatest(F.size("lines"), F.lit(1))),
-                lambda n: F.regexp_instr(text.line_at(F.col("lines"), n), F.col("pattern")) > 0,
-            ),
-        )
-    )
-    return tested.select(
-        "path", "rule_id", "rule_ord", "severity", "quantum_risk", "algorithm", "message", "recommendation",
-        F.inline(cut_out(F.col("lines"), F.col("numbers"), width)),
-    )
+    def build(first: int) -> Detector:
+        numbered = [(r.rule_id, first + i, r.language, r.pattern) for i, r in enumerate(rules)]
 
+        def whole(rule):
+            relaxed = patterns.whole_text_form(rule[3])
+            return F.lit(True) if relaxed is None else F.col("content").rlike(patterns.jvm(relaxed))
 
-def cut_out(lines: Column, numbers: Column, width: int) -> Column:
-    """Lines by number together with their neighbours, as an array of structs."""
-    return F.transform(
-        numbers,
-        lambda n: F.struct(
-            n.alias("line_number"),
-            text.line_at(lines, n).alias("line"),
-            text.context_before(lines, n, width).alias("context_before"),
-            text.context_after(lines, n, width).alias("context_after"),
-        ),
-    )
+        tests = F.array(*[F.lit(patterns.jvm(r.pattern)) for r in rules])
+        lines = F.col("lines")
+
+        def of_rule(rule_ord):
+            numbers = F.filter(
+                F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))),
+                lambda n: F.regexp_instr(text.line_at(lines, n), F.get(tests, rule_ord - first)) > 0,
+            )
+            return F.transform(numbers, lambda n: line_hit(rule_ord, n, width, trim, a=n, b=rule_ord - first))
+
+        possible = F.when(route, _by_language(numbered, language, whole))
+        return Detector(
+            rules=rules,
+            prepared={column: possible},
+            wants_lines=F.size(column) > 0,
+            hits=F.when(F.size(column) > 0, F.flatten(F.transform(column, of_rule))),
+        )
+
+    return build

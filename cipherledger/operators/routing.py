@@ -26,13 +26,6 @@ def config_kind(name: Column, suffix: Column) -> Column:
     )
 
 
-def config_files(files: DataFrame, kind: str) -> DataFrame:
-    """Configuration files of one kind that are not blank."""
-    return files.where(
-        (config_kind(F.col("name"), F.col("suffix")) == kind) & ~text.is_blank(F.col("content"))
-    )
-
-
 def ecosystem_of(name: Column) -> Column:
     """Manifest ecosystem by lower-cased name."""
     return text.lookup(F.lower(name), config_rules.MANIFEST_NAMES)
@@ -58,20 +51,14 @@ def container_kind(name: Column, suffix: Column, content: Column) -> Column:
     )
 
 
-def secret_files(files: DataFrame) -> DataFrame:
-    """Files the secrets detector reads."""
-    return files.where(
-        F.col("suffix").isin(text_rules.SECRET_SUFFIXES)
-        & ~F.lower(F.col("suffix")).isin(text_rules.SECRET_SKIPPED)
-    )
+def may_hold_secrets(suffix: Column) -> Column:
+    """Suffixes the secrets detector reads."""
+    return suffix.isin(text_rules.SECRET_SUFFIXES) & ~F.lower(suffix).isin(text_rules.SECRET_SKIPPED)
 
 
-def binary_files(files: DataFrame) -> DataFrame:
+def is_binary(suffix: Column, length: Column) -> Column:
     """Compiled files long enough to look at."""
-    return files.where(
-        F.col("suffix").isin(binary_rules.BINARY_SUFFIXES)
-        & (F.col("length") >= binary_rules.MIN_BINARY_BYTES)
-    )
+    return suffix.isin(binary_rules.BINARY_SUFFIXES) & (length >= binary_rules.MIN_BINARY_BYTES)
 
 
 def at_most(files: DataFrame, megabytes: float | None) -> DataFrame:

@@ -79,6 +79,11 @@ def algorithms(spark: SparkSession) -> DataFrame:
     return table(spark, dimensions.ALGORITHMS, schema.ALGORITHM)
 
 
+def algorithm(key: str) -> dict:
+    """One row of the algorithm dimension."""
+    return dict(zip(schema.ALGORITHM.names, _ALGORITHMS[key]))
+
+
 def severity_dim(spark: SparkSession) -> DataFrame:
     return table(spark, dimensions.SEVERITIES, "severity string, sev_ord int, weight double")
 
@@ -123,24 +128,6 @@ RESOLVED = T.StructType([
 ])
 
 
-def inline_rules(rows: list[tuple], subject: str) -> list[tuple]:
-    """Rules that carry their own algorithm (no key size, no replacements).
-
-    Row: (rule_id, pattern, algorithm name, family, risk, severity).
-    """
-    resolved = []
-    for order, (rule_id, pattern, name, family, risk, severity) in enumerate(rows):
-        message = f"{subject}: {name}"
-        resolved.append((
-            rule_id, order, "*", pattern, severity, risk,
-            dict(name=name, family=family, key_size=None, quantum_risk=risk, pqc_replacements=[],
-                 eu_deadline=None, description=message),
-            message,
-            advice(name, family, risk),
-        ))
-    return resolved
-
-
 def own_algorithm(name: Column, family: Column, risk: Column, description: Column,
                   key_size: Column | None = None, replacements: Column | None = None) -> Column:
     """Algorithm struct of detectors that do not use the dimension."""
