@@ -8,11 +8,11 @@ alike under two embedded flags: ``U`` makes ``\\w \\s \\d \\b`` Unicode-aware,
 from __future__ import annotations
 
 import re
+from re import _constants as _ops
+from re import _parser as _tree
 
-_SIMPLE_NEGATIVE_LOOKAHEAD = re.compile(r"\(\?!(?:[^()\\]|\\.)*\)")
-_OTHER_EXTENSION = re.compile(r"\(\?(?!:)")
-_ANCHOR = re.compile(r"(?<!\\)(?:\\\\)*(?:\\[AZzG])|\^|\$")
-
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 def is_valid(pattern: str) -> bool:
     """True when the pattern compiles; rules that do not are dropped at load."""
@@ -28,15 +28,71 @@ def jvm(pattern: str, flags: str = "") -> str:
     return f"(?dU{flags}){pattern}"
 
 
-def whole_text_form(pattern: str) -> str | None:
-    """A pattern that matches a whole text whenever ``pattern`` matches a line of it.
+def required_literals(pattern: str, ignore_case: bool = False) -> list[str] | None:
+    """Strings of which every match contains at least one; None when unsure.
 
-    It may match more (a class or ``\\s`` can run over a line end, a negative
-    lookahead is left out), so it serves to skip texts without any hit. None
-    when anchors or other lookarounds make the answer unsure.
+    Looking for a fixed string is far cheaper than matching a pattern, so texts
+    without any of these need not be matched at all. With ``ignore_case`` the
+    strings are in lower case and avoid the letters whose case folding leaves
+    ASCII.
     """
-    relaxed = _SIMPLE_NEGATIVE_LOOKAHEAD.sub("", pattern)
-    outside_classes = re.sub(r"\[(?:[^\]\\]|\\.)+\]", "", relaxed)
-    if _OTHER_EXTENSION.search(relaxed) or _ANCHOR.search(outside_classes):
+    try:
+        tree = _tree.parse(pattern)
+    except re.error:
+        return None
+    best = _required(tree, ignore_case)
+    if best is None or min(map(len, best)) < 2:
         return None
-    return relaxed
+    return sorted(best)
+
+
+def _required(tree, ignore_case: bool) -> set[str] | None:
+    options: list[set[str]] = []
+    run = ""
+    for op, argument in [*tree, (None, None)]:
+        if op is _ops.LITERAL:
+            char = chr(argument).lower() if ignore_case else chr(argument)
+            if not ignore_case or (char.isascii() and char not in "ksi"):
+                run += char
+                continue
+        if run:
+            options.append({run})
+            run = ""
+        inner = None
+        if op is _ops.SUBPATTERN and not argument[1]:
+            inner = _required(argument[3], ignore_case)
+        elif op is _ops.BRANCH:
+            parts = [_required(branch, ignore_case) for branch in argument[1]]
+            inner = set().union(*parts) if all(parts) else None
+        elif op in (_ops.MAX_REPEAT, _ops.MIN_REPEAT) and argument[0] >= 1:
+            inner = _required(argument[2], ignore_case)
+        if inner:
+            options.append(inner)
+    return max(options, key=lambda found: (min(map(len, found)), -len(found)), default=None)
+
+
+def rule_structs(rules: list[tuple[int, str, str]]) -> list[tuple]:
+    """Rules (position, pattern, flags) as literal structs that lambdas walk through.
+
+    Rules as data keep the plan small whatever their number; a rule without
+    required strings has the empty one, which every text contains.
+    """
+    return [
+        (
+            ("rule_ord", position),
+            ("pattern", jvm(pattern, flags)),
+            ("literals", required_literals(pattern, "i" in flags) or [""]),
+            ("ignore_case", "i" in flags),
+        )
+        for position, pattern, flags in rules
+    ]
+
+
+def may_match(text: Column, rule: Column) -> Column:
+    """False where the text lacks every required string of a rule."""
+    return F.exists(rule["literals"], lambda literal: F.contains(text, literal))
+
+
+def matches(text: Column, rule: Column) -> Column:
+    """True where a rule's pattern is found in a text (the last pattern stays compiled)."""
+    return F.regexp_instr(text, rule["pattern"]) > 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+RARE_BREAKS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 WHITESPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -38,8 +39,19 @@ def is_blank(text: Column) -> Column:
 
 def split_lines(content: Column) -> Column:
     """Lines of a text as an array, without an empty line after a final break."""
-    parts = F.split(content, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    rare = contains_any(content, RARE_BREAKS)
+    parts = F.when(rare, F.split(content, LINE_BREAK, -1)).otherwise(F.split(content, "\n", -1))
+    return let(
+        parts,
+        lambda found: F.when(
+            F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)
+        ).otherwise(found),
+    )
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def line_at(lines: Column, number: Column) -> Column:
@@ -71,10 +83,33 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return test
 
 
+def sql_literal(value) -> str:
+    """A Python value as SQL text: strings, numbers, booleans, lists, dicts (as maps), tuples of pairs (as structs)."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, list):
+        return "array(" + ", ".join(map(sql_literal, value)) + ")"
+    if isinstance(value, dict):
+        return "map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, tuple):
+        return "named_struct(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in value) + ")"
+    return str(value)
+
+
+def constant(value) -> Column:
+    """A nested Python value as one literal column, made in a single call."""
+    return F.expr(sql_literal(value))
+
+
 def lookup(key: Column, table: dict, default=None) -> Column:
     """Value of a small fixed table, as one lookup in a literal map."""
-    entries = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
-    found = F.try_element_at(entries, key)
+    found = F.try_element_at(constant(table), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 

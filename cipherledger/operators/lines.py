@@ -91,31 +91,35 @@ def match_lines_with_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
 def line_rule_detector(rules: list[Rule], column: str, route: Column, language: Column | None, width: int, trim) -> Builder:
     """Rules over the lines of a text, in two steps (L1 to L3).
 
-    First the text is tested as a whole against the rules that may apply; most
-    texts have no hit and are never cut. Only for the rules left are the lines
-    tested and the neighbours of the hits taken.
+    First the text as a whole is searched for the strings its rules require;
+    most texts lack them all and are never cut. Only for the rules left are the
+    lines tried, again by required string first and then by pattern, and the
+    neighbours of the hits taken.
     """
     def build(first: int) -> Detector:
-        numbered = [(r.rule_id, first + i, r.language, r.pattern) for i, r in enumerate(rules)]
-
-        def whole(rule):
-            relaxed = patterns.whole_text_form(rule[3])
-            return F.lit(True) if relaxed is None else F.col("content").rlike(patterns.jvm(relaxed))
-
-        tests = F.array(*[F.lit(patterns.jvm(r.pattern)) for r in rules])
+        numbered = [(first + i, r.pattern, "") for i, r in enumerate(rules)]
+        if language is None:
+            applicable = text.constant(patterns.rule_structs(numbered))
+        else:
+            groups: dict[str, list[tuple]] = {}
+            for rule, row in zip(rules, numbered):
+                groups.setdefault(rule.language, []).append(row)
+            tables = {name: patterns.rule_structs(rows) for name, rows in groups.items()}
+            applicable = F.try_element_at(text.constant(tables), language)
         lines = F.col("lines")
 
-        def of_rule(rule_ord):
-            numbers = F.filter(
-                F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))),
-                lambda n: F.regexp_instr(text.line_at(lines, n), F.get(tests, rule_ord - first)) > 0,
-            )
-            return F.transform(numbers, lambda n: line_hit(rule_ord, n, width, trim, a=n, b=rule_ord - first))
+        def of_rule(rule):
+            def is_hit(n):
+                line = text.line_at(lines, n)
+                return patterns.may_match(line, rule) & patterns.matches(line, rule)
+
+            numbers = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), is_hit)
+            return F.transform(numbers, lambda n: line_hit(rule["rule_ord"], n, width, trim, a=n, b=rule["rule_ord"] - first))
 
-        possible = F.when(route, _by_language(numbered, language, whole))
+        possible = F.filter(applicable, lambda rule: patterns.may_match(F.col("content"), rule))
         return Detector(
             rules=rules,
-            prepared={column: possible},
+            prepared={column: F.when(route, possible)},
             wants_lines=F.size(column) > 0,
             hits=F.when(F.size(column) > 0, F.flatten(F.transform(column, of_rule))),
         )
