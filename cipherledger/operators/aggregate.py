@@ -56,15 +56,16 @@ def summarise(findings: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
-def advanced_score(findings: DataFrame, files_scanned: int | Column) -> DataFrame:
+def advanced_score(findings: DataFrame, files_scanned: int | Column, by: list[str] = ()) -> DataFrame:
     """Score with heavier severities and the share of affected files (A4)."""
     scanned = files_scanned if isinstance(files_scanned, Column) else F.lit(files_scanned)
     weight = severity_weight(F.col("severity")) * text.lookup(F.col("severity"), t.ADVANCED_MULTIPLIER, 1.0)
-    sums = findings.agg(
+    sums = findings.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum(weight).alias("penalty"), F.countDistinct("location.file_path").alias("affected_files")
     )
     adjusted = F.col("penalty") * (F.lit(1.0) + F.col("affected_files") / scanned)
     return sums.select(
+        *by,
         "affected_files",
         F.when((F.col("n") == 0) | (scanned == 0), F.lit(100.0))
         .otherwise(F.bround(scoring.clip(100.0 - adjusted, 0.0, 100.0), 1)).alias("advanced_score"),
@@ -145,7 +146,7 @@ def compliance_gaps(findings: DataFrame, frameworks: list[str] | None = None) ->
     ).agg(F.count("*").alias("n"))
     refs = profiles.select(
         "n",
-        F.inline(compliance_refs(F.col("family"), F.col("quantum_risk"), F.col("key_size"), F.lit("-"), frameworks)),
+        F.inline(compliance_refs("family", "quantum_risk", "key_size", "'-'", frameworks)),
     )
 
     def having(status):

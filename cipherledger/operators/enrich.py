@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cipherledger.fixed import compliance_rules, text_rules
 from cipherledger.functions import text
+from cipherledger.functions.text import sql_literal
 
 MIN_CONFIDENCE = 0.2
 
@@ -48,45 +49,39 @@ def adjust_confidence(findings: DataFrame) -> DataFrame:
 
 
 
-def compliance_refs(family: Column, risk: Column, key_size: Column, name: Column,
-                    frameworks: list[str] | None = None) -> Column:
+def compliance_refs(family: str = "algorithm.family", risk: str = "quantum_risk", key_size: str = "algorithm.key_size",
+                    name: str = "algorithm.name", frameworks: list[str] | None = None) -> Column:
     """Requirements a finding falls under, as an array of structs.
 
-    One literal test per condition; a missing key size satisfies no size bound.
+    Arguments are SQL expressions over the finding. One literal test per
+    condition, made in a single call; a missing key size satisfies no bound.
     """
+    def told(description: str) -> str:
+        text_ = sql_literal(description)
+        for mark, value in (("{family}", family), ("{algorithm}", name)):
+            if mark in description:
+                text_ = f"replace({text_}, '{mark}', {value})"
+        return text_
+
     candidates = []
     for order, row in enumerate(compliance_rules.REQUIREMENTS):
         framework, requirement, families, risks, below, status, deadline, description = row
         if frameworks is not None and framework not in frameworks:
             continue
-        applies = F.lit(True)
-        if families:
-            applies = applies & family.isin(families)
-        if risks:
-            applies = applies & risk.isin(risks)
-        if below is not None:
-            applies = applies & F.coalesce(key_size < below, F.lit(False))
-        told = F.replace(F.replace(F.lit(description), F.lit("{family}"), family), F.lit("{algorithm}"), name)
-        candidates.append(F.when(applies, F.struct(
-            F.lit(order).alias("requirement_ord"),
-            F.lit(framework).alias("framework"),
-            F.lit(requirement).alias("requirement_id"),
-            (told if "{" in description else F.lit(description)).alias("description"),
-            F.lit(status).alias("status"),
-            F.lit(deadline).cast("string").alias("deadline"),
-        )))
-    return F.filter(F.array(*candidates), lambda ref: ref.isNotNull())
-
-
-def refs_of_finding(frameworks: list[str] | None = None) -> Column:
-    return compliance_refs(
-        F.col("algorithm.family"), F.col("quantum_risk"), F.col("algorithm.key_size"), F.col("algorithm.name"), frameworks
-    )
+        tests = [f"{family} IN ({', '.join(map(sql_literal, families))})"] if families else []
+        tests += [f"{risk} IN ({', '.join(map(sql_literal, risks))})"] if risks else []
+        tests += [f"{key_size} < {below}"] if below is not None else []
+        candidates.append(
+            f"CASE WHEN {' AND '.join(tests)} THEN named_struct('requirement_ord', {order}, 'framework', {sql_literal(framework)}, "
+            f"'requirement_id', {sql_literal(requirement)}, 'description', {told(description)}, 'status', {sql_literal(status)}, "
+            f"'deadline', CAST({sql_literal(deadline)} AS STRING)) END"
+        )
+    return F.expr(f"filter(array({', '.join(candidates)}), ref -> ref IS NOT NULL)")
 
 
 def explode_compliance(findings: DataFrame, frameworks: list[str] | None = None) -> DataFrame:
     """One row per finding and requirement."""
-    return findings.withColumn("ref", F.explode(refs_of_finding(frameworks))).select("*", "ref.*").drop("ref")
+    return findings.withColumn("ref", F.explode(compliance_refs(frameworks=frameworks))).select("*", "ref.*").drop("ref")
 
 
 def ref_text(ref: Column) -> Column:
@@ -98,4 +93,4 @@ def ref_text(ref: Column) -> Column:
 
 def attach_compliance(findings: DataFrame, frameworks: list[str] | None = None) -> DataFrame:
     """Replace the compliance strings of every finding."""
-    return findings.withColumn("compliance_refs", F.transform(refs_of_finding(frameworks), ref_text))
+    return findings.withColumn("compliance_refs", F.transform(compliance_refs(frameworks=frameworks), ref_text))

@@ -87,7 +87,7 @@ class Corpus:
         lines = F.transform(
             F.split("text", "\n"),
             lambda line, i: F.when(
-                (d * 7 + i) % self.every == 0, F.get(snippets, ((d + i * 3) % len(self.snippets)).cast("int"))
+                (d * 7 + i + 1) % self.every == 0, F.get(snippets, ((d + i * 3) % len(self.snippets)).cast("int"))
             ).otherwise(line),
         )
         content = F.concat(F.lit(self.head), F.array_join(lines, "\n"))
@@ -106,7 +106,7 @@ class Corpus:
         return f"""
 made AS (SELECT {path} AS path,
   concat({quote(self.head)}, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
-    CASE WHEN (doc_id * 7 + (i - 1)) % {self.every} = 0 THEN {snippet} ELSE line END), chr(10))) AS content FROM documents),
+    CASE WHEN (doc_id * 7 + i) % {self.every} = 0 THEN {snippet} ELSE line END), chr(10))) AS content FROM documents),
 named AS (SELECT path, string_split(path, '/')[-1] AS name, content FROM made),
 files AS (SELECT path, name, regexp_extract(name, '.(\\.[^.]+)$', 1) AS suffix, content FROM named),
 split AS (SELECT *, string_split_regex(content, '{LINE_BREAK_SQL}') AS parts FROM files),
@@ -172,6 +172,9 @@ CODE = Corpus(
     ),
 )
 
+# the documents as they are; the suffix makes them readable to the secrets detector
+DOCUMENTS = Corpus(names=("text.ini",), snippets=("unused",), every=10**9)
+
 SSH = Corpus(
     names=("sshd_config", "ssh_config", "notes_config"),
     every=2,

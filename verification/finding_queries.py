@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cipherledger.fixed import compliance_rules, dimensions, endpoint_rules, scoring_tables as t, text_rules
-from cipherledger.functions import scoring, text
+from cipherledger.functions import scoring
 from cipherledger.operators import aggregate, compare, detect_endpoints, enrich, migration, post, report
 from cipherledger.plans import scan as scan_plan
 from cipherledger.sources import findings as finding_sources
@@ -13,7 +13,7 @@ from cipherledger.sources import rules as rule_tables
 from verification import corpus
 from verification.corpus import facts, facts_sql, literal, sql_lookup, sql_pick, sql_values
 from verification.registry import query
-from verification.text_queries import ALGS, flat, words_sql
+from verification.text_queries import ALGS, SECRET_RULES, SECRETS_SQL, SOURCE_SQL, flat, sql_context, words_sql
 
 FACTS = facts_sql()
 SEV_ORD = {name: order for name, order, _ in dimensions.SEVERITIES}
@@ -51,11 +51,7 @@ def confidence(spark, sf_dir):
     )
 
 
-REQUIREMENTS = sql_values(
-    [(i, *row) for i, row in enumerate(compliance_rules.REQUIREMENTS)], "reqs",
-    "requirement_ord, framework, requirement_id, families, risks, below, status, deadline, description",
-)
-# the VALUES table mixes empty and filled lists, so conditions are spelled per rule
+# one spelled-out condition per requirement
 _REF_CONDITIONS = []
 for _i, (_fw, _req, _families, _risks, _below, *_rest) in enumerate(compliance_rules.REQUIREMENTS):
     _c = [f"requirement_ord = {_i}"]
@@ -187,13 +183,18 @@ def scan_summary(spark, sf_dir):
     )
 
 
-# one small scan per file: scores between 0 and 100
-@query("file_scores", f"""WITH {FACTS} SELECT file_path, total_findings, round_even(raw, 1)::DOUBLE AS score, {sql_grade('raw')} AS grade, pqc_readiness_pct FROM (
-  SELECT file_path, {SUMMARY} FROM facts WHERE line_number % 40 = 0 GROUP BY file_path)""")
-def file_scores(spark, sf_dir):
-    """A2, A3 over groups small enough for every grade"""
-    few = facts(spark, sf_dir).where(F.col("location.line_number") % 40 == 0).withColumn("file_path", F.col("location.file_path"))
-    return aggregate.summarise(few, ["file_path"]).select("file_path", "total_findings", "score", "grade", "pqc_readiness_pct")
+# every (file, line) as a scan of its own: groups small enough for every grade
+@query("small_scans", f"""WITH {FACTS} SELECT file_path, line_number, total_findings, round_even(raw, 1)::DOUBLE AS score, {sql_grade('raw')} AS grade, pqc_readiness_pct FROM (
+  SELECT file_path, line_number, {SUMMARY} FROM facts GROUP BY file_path, line_number)""")
+def small_scans(spark, sf_dir):
+    """A2, A3"""
+    return aggregate.summarise(_placed(spark, sf_dir), ["file_path", "line_number"]).select(
+        "file_path", "line_number", "total_findings", "score", "grade", "pqc_readiness_pct"
+    )
+
+
+def _placed(spark, sf_dir):
+    return facts(spark, sf_dir).withColumn("file_path", F.col("location.file_path")).withColumn("line_number", F.col("location.line_number"))
 
 
 @query("empty_scan", """SELECT 0 AS total_findings, CAST(100.0 AS DOUBLE) AS score, 'A' AS grade, CAST(100.0 AS DOUBLE) AS pqc_readiness_pct, 0 AS files_scanned
@@ -204,15 +205,12 @@ def empty_scan(spark, sf_dir):
     return aggregate.summarise(none).select("total_findings", "score", "grade", "pqc_readiness_pct", "files_scanned")
 
 
-@query("advanced_score", f"""WITH {FACTS}, few AS (SELECT * FROM facts WHERE scan_id = '1995' AND line_number = 7 AND severity IN ('low', 'medium', 'info')),
-s AS (SELECT count(DISTINCT file_path) AS affected_files, sum(weight * {sql_lookup('severity', t.ADVANCED_MULTIPLIER)}) AS penalty FROM few)
-SELECT affected_files, round_even(greatest(0.0, least(100.0, 100.0 - penalty * (1.0 + affected_files / 200))), 1)::DOUBLE AS advanced_score FROM s""")
+@query("advanced_score", f"""WITH {FACTS}, s AS (SELECT rule_id, line_number, count(DISTINCT file_path) AS affected_files, sum(weight * {sql_lookup('severity', t.ADVANCED_MULTIPLIER)}) AS penalty
+  FROM facts GROUP BY rule_id, line_number)
+SELECT rule_id, line_number, affected_files, round_even(greatest(0.0, least(100.0, 100.0 - penalty * (1.0 + affected_files / 200))), 1)::DOUBLE AS advanced_score FROM s""")
 def advanced_score(spark, sf_dir):
-    """A4"""
-    few = facts(spark, sf_dir).where(
-        (F.col("scan_id") == "1995") & (F.col("location.line_number") == 7) & F.col("severity").isin("low", "medium", "info")
-    )
-    return aggregate.advanced_score(few, 200)
+    """A4, per rule and line so that scores vary"""
+    return aggregate.advanced_score(_placed(spark, sf_dir), 200, ["rule_id", "line_number"])
 
 
 @query("quality_gate", f"""WITH {FACTS}, s AS (SELECT {SUMMARY} FROM facts)
@@ -224,14 +222,14 @@ def quality_gate(spark, sf_dir):
     return gate.withColumn("reasons", F.array_join("reasons", "|"))
 
 
-@query("score_display", f"""WITH {FACTS} SELECT file_path, concat(CAST(round_even(round_even(raw, 1), 0) AS INTEGER), '/100 (Grade ', {sql_grade('raw')}, ')') AS score_text,
-  concat(CAST(round_even(pqc_readiness_pct, 0) AS INTEGER), '%') AS readiness_text FROM (SELECT file_path, {SUMMARY} FROM facts WHERE line_number % 40 = 0 GROUP BY file_path)""")
+@query("score_display", f"""WITH {FACTS} SELECT file_path, line_number, concat(CAST(round_even(round_even(raw, 1), 0) AS INTEGER), '/100 (Grade ', {sql_grade('raw')}, ')') AS score_text,
+  concat(CAST(round_even(pqc_readiness_pct, 0) AS INTEGER), '%') AS readiness_text FROM (SELECT file_path, line_number, {SUMMARY} FROM facts GROUP BY file_path, line_number)""")
 def score_display(spark, sf_dir):
     """S9"""
-    few = facts(spark, sf_dir).where(F.col("location.line_number") % 40 == 0).withColumn("file_path", F.col("location.file_path"))
-    summary = aggregate.summarise(few, ["file_path"])
+    summary = aggregate.summarise(_placed(spark, sf_dir), ["file_path", "line_number"])
     return summary.select(
-        "file_path", scoring.score_text(F.col("score"), F.col("grade")).alias("score_text"), scoring.readiness_text(F.col("pqc_readiness_pct")).alias("readiness_text")
+        "file_path", "line_number", scoring.score_text(F.col("score"), F.col("grade")).alias("score_text"),
+        scoring.readiness_text(F.col("pqc_readiness_pct")).alias("readiness_text"),
     )
 
 
@@ -547,10 +545,9 @@ def finding_status(spark, sf_dir):
     return compare.finding_status(*_two_scans(spark, sf_dir))
 
 
-# small sides, so that the scores differ
 @query("scan_comparison", f"""WITH {FACTS}, {KEYED}, {STATUS}, n AS (SELECT count(*) FILTER (status = 'new') AS new_count, count(*) FILTER (status = 'resolved') AS resolved_count,
   count(*) FILTER (status IN ('changed', 'unchanged')) AS unchanged_count FROM status),
-s AS (SELECT scan_id, round_even(raw, 1)::DOUBLE AS score, {sql_grade('raw')} AS grade FROM (SELECT scan_id, {SUMMARY} FROM facts WHERE line_number = 3 AND severity IN ('low', 'info') GROUP BY scan_id)),
+s AS (SELECT scan_id, round_even(raw, 1)::DOUBLE AS score, {sql_grade('raw')} AS grade FROM (SELECT scan_id, {SUMMARY} FROM facts GROUP BY scan_id)),
 j AS (SELECT n.*, sa.score AS score_a, sa.grade AS grade_a, sb.score AS score_b, sb.grade AS grade_b, round_even(sb.score - sa.score, 1)::DOUBLE AS score_change
   FROM n, s sa, s sb WHERE sa.scan_id = '1996' AND sb.scan_id = '1998')
 SELECT *, concat(CASE WHEN score_change > 0 THEN concat('Score improved by ', score_change, ' points') WHEN score_change < 0 THEN concat('Score decreased by ', abs(score_change), ' points') ELSE 'Score unchanged' END,
@@ -559,11 +556,7 @@ SELECT *, concat(CASE WHEN score_change > 0 THEN concat('Score improved by ', sc
 def scan_comparison(spark, sf_dir):
     """S9, J3, J4"""
     a, b = _two_scans(spark, sf_dir)
-
-    def small(side):
-        return aggregate.summarise(side.where((F.col("location.line_number") == 3) & F.col("severity").isin("low", "info")))
-
-    return compare.compare_scans(a, b, small(a), small(b))
+    return compare.compare_scans(a, b, aggregate.summarise(a), aggregate.summarise(b))
 
 
 def _scans(spark, sf_dir):
@@ -782,11 +775,60 @@ def target_ports(spark, sf_dir):
 
 # -- whole scans -----------------------------------------------------------------------------
 
-SCAN_COLUMNS = ["path", "line_number", "rule_id", "severity", "quantum_risk", "confidence", "refs"]
-
 
 def _scan_rows(found):
     return found.select(
         F.col("location.file_path").alias("path"), "location.line_number", "rule_id", "severity", "quantum_risk",
-        F.round("confidence", 6).alias("confidence"), F.size("compliance_refs").cast("long").alias("refs"),
+        F.round("confidence", 6).alias("confidence"), F.size("compliance_refs").cast("long").alias("refs"), "scanner_type",
+    )
+
+
+def _scan_sql(parts: list[tuple[str, str]], where: str = "TRUE") -> str:
+    """Detectors' SQL put together, with confidence, duplicates and requirement counts."""
+    union = " UNION ALL ".join(f"SELECT *, {literal(scanner)} AS scanner_type FROM ({sql})" for scanner, sql in parts)
+    return f"""WITH facts AS (SELECT path AS file_path, concat(before, ' ', after) AS around, algorithm AS name, * EXCLUDE (path) FROM ({union})),
+{CONFIDENCE}, {REQS}, kept AS (SELECT * FROM adjusted WHERE confidence >= CAST(0.2 AS DOUBLE) AND {where}
+  QUALIFY row_number() OVER (PARTITION BY rule_id, file_path, line_number ORDER BY line_content) = 1)
+SELECT file_path AS path, line_number, rule_id, severity, quantum_risk, round(confidence, 6) AS confidence, scanner_type,
+  count(requirement_ord) AS refs FROM kept LEFT JOIN reqs ON {' OR '.join(_REF_CONDITIONS)} GROUP BY ALL"""
+
+
+@query("code_scan", _scan_sql([("source", SOURCE_SQL), ("secrets", SECRETS_SQL)]))
+def code_scan(spark, sf_dir):
+    """Source and secrets in one pass over the files"""
+    return _scan_rows(scan_plan.scan(corpus.CODE.files(spark, sf_dir), detectors=["source", "secrets"]))
+
+
+@query("quick_profile", _scan_sql([("source", SOURCE_SQL)], "severity IN ('critical', 'high')"))
+def quick_profile(spark, sf_dir):
+    """P9, R7"""
+    return _scan_rows(scan_plan.scan(corpus.CODE.files(spark, sf_dir), profile="quick"))
+
+
+@query("document_secrets", f"""WITH facts AS (SELECT path AS file_path, concat(before, ' ', after) AS around, * EXCLUDE (path) FROM (
+  WITH {corpus.DOCUMENTS.sql()}, {SECRET_RULES} SELECT path, CAST(n AS INTEGER) AS line_number, rule_id, severity, quantum_risk,
+    trim(line, ' ' || chr(9)) AS line_content, {sql_context(3)} FROM lines, rules WHERE regexp_matches(line, pattern))), {CONFIDENCE}
+SELECT file_path AS path, line_number, rule_id, severity, quantum_risk, round(confidence, 6) AS confidence FROM adjusted
+WHERE confidence >= CAST(0.2 AS DOUBLE)""")
+def document_secrets(spark, sf_dir):
+    """L1, D8, L2, E1, W1, R7 over the documents as they are"""
+    found = scan_plan.scan(corpus.DOCUMENTS.files(spark, sf_dir), detectors=["secrets"])
+    return _scan_rows(found).drop("refs", "scanner_type")
+
+
+@query("every_detector")
+def every_detector(spark, sf_dir):
+    """All corpora at once under the widest preset, counted by detector and severity.
+
+    Stated without SQL: each corpus is read by several detectors, and their
+    twins are compared one by one above.
+    """
+    texts = [
+        corpus.CODE, corpus.SSH, corpus.TLS, corpus.PYTHON_MANIFESTS, corpus.POM, corpus.GO_MOD, corpus.TERRAFORM, corpus.CLOUDFORMATION,
+        corpus.ANSIBLE, corpus.DOCKER, corpus.KUBERNETES,
+    ]
+    files = post.union_all([c.files(spark, sf_dir) for c in texts])
+    found = scan_plan.scan(
+        files, certificates=corpus.certificates(spark, sf_dir), endpoints=corpus.endpoints(spark, sf_dir), ssh_offers=corpus.ssh_offers(spark, sf_dir)
     )
+    return found.groupBy("scanner_type", "severity").agg(F.count("*").alias("findings"), F.countDistinct("location.file_path").alias("places"))

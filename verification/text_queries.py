@@ -82,30 +82,30 @@ def source_usage(spark, sf_dir):
     return flat(detect_text.detect_source(corpus.CODE.files(spark, sf_dir)))
 
 
-@query("line_rule_join", f"""WITH {corpus.CODE.sql()}, {ROUTED}, {SOURCE_RULES}
-SELECT path, CAST(n AS INTEGER) AS line_number, rule_id FROM routed JOIN rules USING (language)
-WHERE regexp_matches(line, pattern) AND language IN ('python', 'golang', 'rust')""")
+@query("line_rule_join", f"WITH {SOURCE_HITS} SELECT path, CAST(n AS INTEGER) AS line_number, rule_id FROM hits")
 def line_rule_join(spark, sf_dir):
     """The theta join with rules as a table"""
-    rows = [r for r in _source_rows() if r[0] not in LOOKAHEAD and r[1] in ("python", "golang", "rust")]
     rules = rule_tables.table(
-        spark, rows, "rule_id string, language string, algorithm_key string, pattern string, severity_override string, risk_override string"
+        spark, _source_rows(),
+        "rule_id string, language string, algorithm_key string, pattern string, severity_override string, risk_override string",
     )
-    numbered = lines.split_numbered(routing.source_files(corpus.CODE.files(spark, sf_dir)), keep=("path", "language"))
+    numbered = lines.split_numbered(_sources(spark, sf_dir), keep=("path", "language"))
     return lines.match_lines_with_table(numbered, rules).select("path", "line_number", "rule_id")
 
 
-@query("line_literal_match", f"""WITH {corpus.CODE.sql()}, {ROUTED}, {SOURCE_RULES}, {ALGS}
-SELECT path, CAST(n AS INTEGER) AS line_number, rule_id, coalesce(severity_override, {SEVERITY}) AS severity
-FROM routed JOIN rules USING (language) JOIN algs ON algorithm_key = algs.name
-WHERE regexp_matches(line, pattern) AND language IN ('java', 'php')""")
+@query("line_literal_match", f"""WITH {SOURCE_HITS}
+SELECT path, CAST(n AS INTEGER) AS line_number, rule_id, coalesce(severity_override, {SEVERITY}) AS severity FROM hits JOIN algs ON algorithm_key = algs.name""")
 def line_literal_match(spark, sf_dir):
     """L3, L4: patterns as literals over a table of lines"""
-    rules = [r for r in rule_tables.resolve_rules(rule_tables.load_source_rules()) if r[2] in ("java", "php")]
-    numbered = lines.split_numbered(routing.source_files(corpus.CODE.files(spark, sf_dir)), keep=("path", "language"))
+    rules = rule_tables.resolve_rules(rule_tables.load_source_rules())
+    numbered = lines.split_numbered(_sources(spark, sf_dir), keep=("path", "language"))
     return lines.match_lines(numbered, rules).select("path", "line_number", "rule_id", "severity")
 
 
+def _sources(spark, sf_dir):
+    return routing.source_files(corpus.CODE.files(spark, sf_dir))
+
+
 @query("rule_resolution", f"""WITH {sql_values(_source_rows(), 'rules', 'rule_id, language, algorithm_key, pattern, severity_override, risk_override')}, {ALGS},
 uses AS (SELECT 'python' AS language, count(*) AS docs FROM documents)
 SELECT rule_id, name AS algorithm, coalesce(severity_override, {SEVERITY}) AS severity, coalesce(risk_override, algorithm_risk) AS quantum_risk,
@@ -192,7 +192,7 @@ def joined_continuations(spark, sf_dir):
 
 
 PEM = corpus.Corpus(
-    names=("bundle.pem",), every=2,
+    names=("bundle.pem",), every=3,
     snippets=("-----BEGIN CERTIFICATE-----", "MIIBdata", "-----END CERTIFICATE-----", "MIICmore"),
 )
 # a block: from the last begin marker before an end marker up to that end marker
