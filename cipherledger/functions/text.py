@@ -76,13 +76,19 @@ def suffix_of(name: Column) -> Column:
     return F.regexp_extract(name, r"(?<=.)(\.[^.]+)$", 1)
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
+def contains_any(column: Column, words: list[str]) -> Column:
+    """True where a plain column contains one of the words."""
     test = F.lit(False)
     for word in words:
-        test = test | F.contains(text, F.lit(word))
+        test = test | F.contains(column, F.lit(word))
     return test
 
 
+def mentions(value: Column, words: list[str]) -> Column:
+    """The same for a computed value, which is worked out once."""
+    return let(value, lambda found: F.exists(constant(words), lambda word: F.contains(found, word)))
+
+
 def sql_literal(value) -> str:
     """A Python value as SQL text: strings, numbers, booleans, lists, dicts (as maps), tuples of pairs (as structs)."""
     if value is None:

@@ -14,10 +14,11 @@ MIN_CONFIDENCE = 0.2
 
 def is_test_path(path: Column) -> Column:
     """A path segment that is a test word, or a file name that contains one."""
-    segments = F.split(F.replace(F.lower(path), F.lit("\\"), F.lit("/")), "/")
-    words = F.array(*[F.lit(w) for w in text_rules.TEST_SEGMENTS])
-    return F.arrays_overlap(segments, words) | text.contains_any(
-        F.element_at(segments, -1), text_rules.TEST_SEGMENTS
+    words = text.constant(text_rules.TEST_SEGMENTS)
+    return text.let(
+        F.split(F.lower(path), r"[/\\]"),
+        lambda segments: F.arrays_overlap(segments, words)
+        | F.exists(words, lambda word: F.contains(F.element_at(segments, -1), word)),
     )
 
 
@@ -35,10 +36,10 @@ def adjusted_confidence(finding_confidence: Column, location: Column) -> Column:
 
     # each step names the value once; a value never exceeds 1 before step four
     value = finding_confidence - when(is_test_path(location["file_path"]), 0.3)
-    value = value - when(text.contains_any(F.lower(line), text_rules.SUPPRESSIONS), 0.5)
+    value = value - when(text.mentions(F.lower(line), text_rules.SUPPRESSIONS), 0.5)
     value = F.when(line.rlike("(?U)" + text_rules.COMMENT_LINE), F.lit(0.1)).otherwise(value)
-    value = F.least(value + when(text.contains_any(around, text_rules.SENSITIVE_WORDS), 0.2), F.lit(1.0))
-    value = value - when(text.contains_any(around, text_rules.DEMO_WORDS), 0.2)
+    value = F.least(value + when(text.mentions(around, text_rules.SENSITIVE_WORDS), 0.2), F.lit(1.0))
+    value = value - when(text.mentions(around, text_rules.DEMO_WORDS), 0.2)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 

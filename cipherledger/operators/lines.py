@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherledger.functions import patterns, text
-from cipherledger.operators.hits import Builder, Detector, Rule, line_hit
+from cipherledger.operators.hits import Builder, Detector, Rule, line_hit, none
 from cipherledger.sources import rules as rule_tables
 
 
@@ -97,6 +97,8 @@ def line_rule_detector(rules: list[Rule], column: str, route: Column, language:
     neighbours of the hits taken.
     """
     def build(first: int) -> Detector:
+        if not rules:
+            return Detector(rules=[], hits=none())
         numbered = [(first + i, r.pattern, "") for i, r in enumerate(rules)]
         if language is None:
             applicable = text.constant(patterns.rule_structs(numbered))

@@ -53,12 +53,14 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 def sarif_results(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One row per finding with its rule's index and level (P10).
 
-    Indexes come from a broadcast join: one row per rule of the rule tables.
+    Rule ids may end in names found in texts, so the number of rules has no
+    fixed bound: the join carries no hint, and adaptive execution broadcasts
+    the rules when they are small and splits a rule that most findings share.
     """
     rules = sarif_rules(findings) if rules is None else rules
     index = rules.select(F.col("id").alias("rule_id"), "rule_index")
     level = {k: v[0] for k, v in t.SARIF_SEVERITY.items()}
-    return findings.join(F.broadcast(index), "rule_id").select(
+    return findings.join(index, "rule_id").select(
         "ord",
         F.col("rule_id").alias("ruleId"),
         F.col("rule_index").alias("ruleIndex"),
