@@ -32,13 +32,14 @@ def resolved_findings(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def unchanged_keys(before: DataFrame, after: DataFrame) -> DataFrame:
     """Keys in both scans."""
-    return _keys(before).distinct().join(_keys(after), KEY, "left_semi")
+    return _keys(before).join(_keys(after), KEY, "left_semi")
 
 
 def _keys(findings: DataFrame) -> DataFrame:
+    """Distinct keys: copies of a key combine before the shuffle the join needs anyway."""
     return findings.select(
         "rule_id", F.col("location.file_path").alias("file_path"), F.col("algorithm.name").alias("algorithm_name")
-    )
+    ).distinct()
 
 
 def finding_status(before: DataFrame, after: DataFrame) -> DataFrame:

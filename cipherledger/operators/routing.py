@@ -61,6 +61,30 @@ def is_binary(suffix: Column, length: Column) -> Column:
     return suffix.isin(binary_rules.BINARY_SUFFIXES) & (length >= binary_rules.MIN_BINARY_BYTES)
 
 
+_SUFFIXES = sorted({
+    *source_rules.EXTENSIONS, *config_rules.TLS_SUFFIXES, *text_rules.SECRET_SUFFIXES, *text_rules.IAC_SUFFIXES,
+    *text_rules.CONTAINER_SUFFIXES, *binary_rules.BINARY_SUFFIXES,
+})
+_NAMES = [*config_rules.SSH_NAMES, *config_rules.TLS_NAMES, "Containerfile"]
+
+
+def is_scannable(name: Column, suffix: Column) -> Column:
+    """Files at least one detector reads, by name alone."""
+    return (
+        suffix.isin(_SUFFIXES) | name.isin(_NAMES) | F.lower(name).isin(list(config_rules.MANIFEST_NAMES))
+        | F.startswith(name, F.lit("Dockerfile"))
+    )
+
+
+def scannable_glob() -> str:
+    """The same as a file-name glob, so that a listing opens no other file."""
+    def any_case(name: str) -> str:
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
+
+    manifests = [any_case(name) for name in config_rules.MANIFEST_NAMES]
+    return "{" + ",".join([*(f"*{suffix}" for suffix in _SUFFIXES), *_NAMES, "Dockerfile*", *manifests]) + "}"
+
+
 def at_most(files: DataFrame, megabytes: float | None) -> DataFrame:
     """Optional size limit of a scan preset."""
     return files if megabytes is None else files.where(F.col("length") <= int(megabytes * 1024 * 1024))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import cipherledger
 from cipherledger.operators import aggregate, detect_binary, detect_config, detect_manifests, detect_text, post
+from cipherledger.operators.routing import is_scannable, scannable_glob
 from cipherledger.plans.scan import detect, finish, scan
 from cipherledger.sources.files import read_files, read_targets
 from cipherledger.sources.findings import read_findings, write_findings
@@ -57,6 +58,21 @@ def test_scan_a_directory(spark, tmp_path):
     assert confidence["PY-SHA1-USE"] == 0.7
 
 
+def test_only_scannable_files_are_opened(spark, tmp_path):
+    root = plant(tmp_path)
+    for name in ("logo.png", "notes.md", "x/PIPFILE", "Dockerfile.dev", "x/Containerfile"):
+        os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
+        with open(os.path.join(root, name), "wb") as handle:
+            handle.write(b"RUN openssl genrsa 1024\n")
+    every = read_files(spark, root)
+    chosen = read_files(spark, root, name_glob=scannable_glob())
+    kept = every.where(is_scannable(F.col("name"), F.col("suffix")))
+    names = sorted(r["name"] for r in chosen.select("name").collect())
+    assert names == sorted(r["name"] for r in kept.select("name").collect())
+    assert "PIPFILE" in names and "logo.png" not in names and "Dockerfile.dev" in names
+    assert places(scan(chosen)) == places(scan(every))
+
+
 def test_missing_targets_and_single_files(spark, tmp_path):
     root = plant(tmp_path)
     assert read_targets(spark, [f"{root}/nowhere"]).count() == 0
