@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,33 +91,40 @@ def mentions(value: Column, words: list[str]) -> Column:
     return let(value, lambda found: F.exists(constant(words), lambda word: F.contains(found, word)))
 
 
-def sql_literal(value) -> str:
-    """A Python value as SQL text: strings, numbers, booleans, lists, dicts (as maps), tuples of pairs (as structs)."""
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    if isinstance(value, float):
-        return f"{value!r}D"
+def _plain(value):
+    """A value for JSON: structs, given as tuples of (name, value), become objects."""
+    if isinstance(value, tuple):
+        return {name: _plain(part) for name, part in value}
     if isinstance(value, list):
-        return "array(" + ", ".join(map(sql_literal, value)) + ")"
+        return [_plain(part) for part in value]
     if isinstance(value, dict):
-        return "map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in value.items()) + ")"
+        return {str(key): _plain(part) for key, part in value.items()}
+    return value
+
+
+def _ddl(value) -> str:
     if isinstance(value, tuple):
-        return "named_struct(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in value) + ")"
-    return str(value)
+        return "struct<" + ",".join(f"{name}:{_ddl(part)}" for name, part in value) + ">"
+    if isinstance(value, list):
+        return f"array<{_ddl(value[0])}>"
+    if isinstance(value, dict):
+        return f"map<string,{_ddl(next(iter(value.values())))}>"
+    return {bool: "boolean", int: "int", float: "double", str: "string"}[type(value)]
 
 
 def constant(value) -> Column:
-    """A nested Python value as one literal column, made in a single call."""
-    return F.expr(sql_literal(value))
+    """A nested Python value as one literal column.
+
+    It is written as JSON, which the optimizer reads once: the plan holds two
+    nodes until then and one literal after, however large the table. Structs
+    are tuples of (name, value); map keys are strings.
+    """
+    return F.from_json(F.lit(json.dumps(_plain(value), ensure_ascii=False)), _ddl(value))
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
     """Value of a small fixed table, as one lookup in a literal map."""
-    found = F.try_element_at(constant(table), key)
+    found = F.try_element_at(constant(table), key.cast("string"))
     return found if default is None else F.coalesce(found, F.lit(default))
 
 

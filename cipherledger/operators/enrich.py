@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cipherledger.fixed import compliance_rules, text_rules
 from cipherledger.functions import text
-from cipherledger.functions.text import sql_literal
 
 MIN_CONFIDENCE = 0.2
 
@@ -50,6 +49,10 @@ def adjust_confidence(findings: DataFrame) -> DataFrame:
 
 
 
+def sql_literal(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def compliance_refs(family: str = "algorithm.family", risk: str = "quantum_risk", key_size: str = "algorithm.key_size",
                     name: str = "algorithm.name", frameworks: list[str] | None = None) -> Column:
     """Requirements a finding falls under, as an array of structs.
