@@ -90,9 +90,10 @@ def compliance_subset(spark, sf_dir):
 _REF_TEXT = "concat(framework, ' ', requirement_id, ': ', told, CASE WHEN deadline IS NOT NULL THEN concat(' (deadline: ', deadline, ')') ELSE '' END)"
 
 
-@query("compliance_strings", f"""WITH {FACTS}, {REQS}, {REFS},
-texts AS (SELECT ord, string_agg({_REF_TEXT}, '|' ORDER BY requirement_ord) AS refs FROM refs GROUP BY ord)
-SELECT f.ord.a AS order_key, f.ord.c AS part_key, f.rule_id, coalesce(refs, '') AS refs FROM facts f LEFT JOIN texts t ON f.ord = t.ord""")
+@query("compliance_strings", f"""WITH {FACTS}, {REQS}, numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS row_id FROM facts),
+refs AS (SELECT row_id, reqs.* EXCLUDE (description), {TOLD} AS told FROM numbered JOIN reqs ON {' OR '.join(_REF_CONDITIONS)}),
+texts AS (SELECT row_id, string_agg({_REF_TEXT}, '|' ORDER BY requirement_ord) AS refs FROM refs GROUP BY row_id)
+SELECT f.ord.a AS order_key, f.ord.c AS part_key, f.rule_id, coalesce(refs, '') AS refs FROM numbered f LEFT JOIN texts USING (row_id)""")
 def compliance_strings(spark, sf_dir):
     """C2"""
     return enrich.attach_compliance(facts(spark, sf_dir)).select(
