@@ -117,11 +117,21 @@ def only_if(condition: Column, hits: Column) -> Column:
     return F.when(condition, hits.cast(HITS)).otherwise(none())
 
 
-def find(files: DataFrame, builders: list[Builder]) -> DataFrame:
-    """Findings of several detectors over texts, in one pass."""
+def assemble(builders: list[Builder]) -> list[Detector]:
+    """Detectors with their rules numbered through."""
     detectors: list[Detector] = []
     for build in builders:
         detectors.append(build(sum(len(d.rules) for d in detectors)))
+    return detectors
+
+
+def find(files: DataFrame, builders: list[Builder]) -> DataFrame:
+    """Findings of several detectors over texts, in one pass."""
+    return find_with(files, assemble(builders))
+
+
+def find_with(files: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """The same for assembled detectors; they are expressions and fit any files table."""
     prepared = [column.alias(name) for d in detectors for name, column in d.prepared.items()]
     rows = files.select("path", "name", "suffix", "length", "content", *prepared)
     wanted = [d.wants_lines for d in detectors if d.wants_lines is not None]

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherledger.fixed import binary_rules, config_rules, dimensions, source_rules, text_rules
-from cipherledger.functions import globs, patterns, text
-from cipherledger.operators import detect_binary, detect_config, detect_manifests, detect_text, documents, lines, routing
+from cipherledger.functions import globs, text
+from cipherledger.operators import detect_binary, detect_config, detect_manifests, detect_text, lines, routing
 from cipherledger.sources import files as file_sources
 from cipherledger.sources import rules as rule_tables
 from verification import corpus
