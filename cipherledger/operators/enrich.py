@@ -43,10 +43,15 @@ def adjusted_confidence(finding_confidence: Column, location: Column) -> Column:
 
 
 def adjust_confidence(findings: DataFrame) -> DataFrame:
-    """Set the confidence and drop what falls below the minimum."""
-    adjusted = findings.withColumn("confidence", adjusted_confidence(F.col("confidence"), F.col("location")))
-    return adjusted.where(F.col("confidence") >= MIN_CONFIDENCE)
+    """Set the confidence and drop what falls below the minimum.
 
+    The value is kept or dropped inside a one-element array: a plain filter on
+    it would be pushed below the projection and work it out twice.
+    """
+    value = adjusted_confidence(F.col("confidence"), F.col("location"))
+    kept = F.filter(F.array(F.struct(value.alias("confidence"))), lambda v: v["confidence"] >= MIN_CONFIDENCE)
+    others = [c for c in findings.columns if c != "confidence"]
+    return findings.select(*others, F.inline(kept)).select(*findings.columns)
 
 
 def sql_literal(value: str | None) -> str:
