@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bpe, packing
+from cipherledger.llm import bpe, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,25 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2,048 tokens."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), VOCABULARY, 2048)
     return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 2048)
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with models trained on what the fixed shapes label."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train_on(docs))
+
+    def of(kind: str):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    def places(spans):
+        shown = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(shown, ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(places(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256"),
+        places(F.col("spans")).alias("spans"),
+        F.size(of("random")).cast("long").alias("n_random"),
+    )
