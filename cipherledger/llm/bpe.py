@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words and chunks kept per worker process: common ones stay at hand, memory doesn't grow with the input.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: Texts are handled in runs of about this many characters, so memory doesn't follow the Arrow batch.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 END = 256
 NO_RANK = np.int32(2**31 - 1)
 WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
