@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bpe, packing, secrets
+from cipherledger.llm import bpe, licenses, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         places(F.col("spans")).alias("spans"),
         F.size(of("random")).cast("long").alias("n_random"),
     )
+
+
+@query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence signatures of every document."""
+    base = F.filter("detections", lambda d: d["rule"].startswith("base:"))
+
+    def labels(detections):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(detections, lambda d: d["label"]))), ",")
+
+    missing = F.aggregate("detections", F.lit(1.0), lambda left, d: left * (1 - d["weight"]))
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda d: d["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda d: d["start"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("detections")).alias("labels"),
+        (1 - missing).alias("score"),
+    )
