@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bpe, licenses, packing, secrets
+from cipherledger.llm import bpe, languages, licenses, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,18 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels(F.col("detections")).alias("labels"),
         (1 - missing).alias("score"),
     )
+
+
+def held_out() -> Column:
+    """Whether a document is kept from training."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = languages.train(docs.where(~held_out()))
+    return languages.identify(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
