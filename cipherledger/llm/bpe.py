@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words and chunks kept per worker process: common ones stay at hand, memory doesn't grow with the input.
-CACHED_WORDS = 250_000
+#: Chunks and fragments kept per worker process: common ones stay at hand, memory doesn't grow with the input.
+CACHED = 300_000
 #: Texts are handled in runs of about this many characters, so memory doesn't follow the Arrow batch.
 CHUNK_CHARS = 1_000_000
 END = 256
@@ -64,13 +64,13 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         self.inside = self._pairs_inside(vocab, chars, end)
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known = self.special_ids()
+        self.fragments: dict[bytes, bytes] = {}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.controls = regex.compile(r"[\x1c-\x1f]")
         self.find_chunks = regex.compile(f"[^{WHITE}]+").findall
-        self.find_words = regex.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
+        self.find_words_and_breaks = regex.compile(
+            rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+|\n"
         ).findall
 
     @staticmethod
@@ -96,13 +96,13 @@ class Vocabulary:
         return text.lower()
 
     def chunks(self, text: str) -> list[str]:
-        """What stands between white space, special tokens apart from what adjoins them."""
+        """What stands between white space, and special tokens, in order."""
         if "<|" in text:
             parts = self.split_special.split(text)
-            return [c for p in parts for c in ([p] if p in self.special else self.chunks_of(self.normal(p)))]
-        return self.chunks_of(self.normal(text))
+            return [c for p in parts for c in ([p] if p in self.special else self.between_white(self.normal(p)))]
+        return self.between_white(self.normal(text))
 
-    def chunks_of(self, text: str) -> list[str]:
+    def between_white(self, text: str) -> list[str]:
         # str.split() also cuts at four control characters, which belong to words
         return self.find_chunks(text) if self.controls.search(text) else text.split()
 
@@ -112,55 +112,43 @@ class Vocabulary:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.chunks(t) for t in texts]
         wanted = set().union(*cut)
-        known = self.known
-        missing = wanted - known.keys()
-        if len(known) + len(missing) > CACHED_WORDS:
-            known.clear()
-            missing = wanted
+        missing = wanted - self.known.keys()
+        if len(self.known) + len(missing) > CACHED:
+            self.known = self.special_ids()
+            missing = wanted - self.known.keys()
         if missing:
-            self._cut_chunks(list(missing))
-        find = known.__getitem__
+            self._learn(list(missing))
+        find = self.known.__getitem__
         return [b"".join(map(find, text)) for text in cut]
 
-    def _cut_chunks(self, chunks: list[str]) -> None:
-        """Learn chunks: their words' ids put together."""
-        special = self.special
-        words = [[c] if c.isalpha() else [] if c in special else self.find_words(c) for c in chunks]
-        missing = set().union(*words) - self.words.keys()
-        if len(self.words) + len(missing) > CACHED_WORDS:
-            self.words.clear()
-            missing = set().union(*words)
-        if missing:
-            self._learn(list(missing))
-        find = self.words.__getitem__
-        for c, own in zip(chunks, words, strict=True):
-            self.known[c] = find(own[0]) if len(own) == 1 else b"".join(map(find, own))
-        for token in special.keys() & set(chunks):
-            self.known[token] = special[token].to_bytes(4, "little")
-
-    def _learn(self, words: list[str]) -> None:
-        """Cut words at certain boundaries, merge the distinct fragments, put the words together."""
+    def special_ids(self) -> dict[str, bytes]:
+        return {token: number.to_bytes(4, "little") for token, number in self.special.items()}
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Cut chunks at certain boundaries, merge the distinct fragments, put the chunks together."""
+        words = self.find_words_and_breaks("\n".join(chunks) + "\n")
         raw = [w.encode("utf-8") for w in words]
         symbols = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint16)
-        ends = np.cumsum([len(r) for r in raw])
-        symbols[ends - 1] += END
+        last = np.cumsum([len(r) for r in raw]) - 1
+        breaks = symbols[last] == 10
+        symbols[last] += END
         cut = ~self.inside[symbols[:-1], symbols[1:]]
-        cut[ends[:-1] - 1] = True
         stops = np.append(np.flatnonzero(cut) + 1, len(symbols))
-        starts = np.append(0, stops[:-1])
-        packed = symbols.tobytes()
-        fragments = [packed[2 * a : 2 * b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-        ids = self._merge(list(dict.fromkeys(fragments)))
-        count = np.searchsorted(stops, ends, side="right")
-        before = 0
-        for word, upto in zip(words, count.tolist(), strict=True):
-            if upto == before + 1:
-                self.words[word] = ids[fragments[before]]
-            else:
-                self.words[word] = b"".join([ids[f] for f in fragments[before:upto]])
-            before = upto
-
-    def _merge(self, fragments: list[bytes]) -> dict[bytes, bytes]:
+        upto = np.searchsorted(stops, last[breaks], side="right").tolist()
+        packed, stops = symbols.tobytes(), (2 * stops).tolist()
+        fragments = [packed[a:b] for a, b in zip([0, *stops], stops)]
+        missing = set(fragments) - self.fragments.keys()
+        if len(self.fragments) + len(missing) > CACHED:
+            self.fragments.clear()
+            missing = set(fragments)
+        self.fragments.update(self._merge(missing))
+        ids = list(map(self.fragments.__getitem__, fragments))
+        begin = 0
+        for chunk, end in zip(chunks, upto, strict=True):
+            self.known[chunk] = ids[begin] if end == begin + 1 else b"".join(ids[begin:end])
+            begin = end + 1
+
+    def _merge(self, fragments: set[bytes]) -> dict[bytes, bytes]:
         out: dict[bytes, bytes] = {}
         by_length: dict[int, list[bytes]] = {}
         for f in fragments:
