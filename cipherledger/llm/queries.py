@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bpe, languages, licenses, packing, secrets
+from cipherledger.llm import bpe, languages, licenses, mtree, neighbours, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,31 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs, model).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous"
     )
+
+
+@query
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten largest integer inner products of every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest of every twentieth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
+ORACLES["op4_top_k"] = """
+WITH rows AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM rows q JOIN rows c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
