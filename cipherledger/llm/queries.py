@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bpe, languages, licenses, mtree, neighbours, packing, secrets, sharding
+from cipherledger.llm import bpe, languages, licenses, lines, mtree, neighbours, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,33 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that three-line windows show to stand elsewhere before."""
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLES["op2_line_dedup"] = """
+WITH cut AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos
+    FROM documents
+), windows AS (
+    SELECT doc_id, pos, line, lead(line, 1) OVER w AS second, lead(line, 2) OVER w AS third
+    FROM cut WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), later AS (
+    SELECT doc_id, pos FROM windows WHERE third IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, pos) > 1
+), covered AS (
+    SELECT DISTINCT doc_id, pos + k AS pos FROM later, (VALUES (0), (1), (2)) AS t(k)
+), judged AS (
+    SELECT cut.*, covered.pos IS NOT NULL AS gone FROM cut LEFT JOIN covered USING (doc_id, pos)
+)
+SELECT d.doc_id,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') END AS text,
+       count(pos)::INTEGER AS n_lines, (count(*) FILTER (WHERE gone))::INTEGER AS n_removed
+FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id
+GROUP BY d.doc_id, d.text
+"""
