@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bpe, languages, licenses, lines, mtree, neighbours, packing, secrets, sharding
+from cipherledger.llm import bpe, jaccard, languages, licenses, lines, mtree, neighbours, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,3 +165,9 @@ SELECT d.doc_id,
 FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id
 GROUP BY d.doc_id, d.text
 """
+
+
+@query
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose three-word shingles are equal by nine tenths."""
+    return jaccard.join(table(spark, sf_dir, "documents"), 3, 90)
