@@ -143,7 +143,7 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
     held = [t or "" for t in texts]
     lettered = np.array([bool(HAS_LETTER.search(t)) for t in held], dtype=bool)
     if not model.languages or not held:
-        return [UNKNOWN] * len(held), np.zeros(len(held)), np.ones(len(held), dtype=bool)
+        return [UNKNOWN] * len(held), np.zeros(len(held)), ~lettered  # nothing learned: only texts without letters are odd
     said = margins(held, model.weights)
     bits = max(1, model.code.shape[1])
     loss = np.stack([(np.logaddexp(0, -said * word) * model.trust).sum(axis=1) for word in model.code], axis=1) * bits
