@@ -54,7 +54,7 @@ def test_long_and_short_fragments_merge_alike():
 def test_encoding_odd_rows(odd_docs, no_docs):
     rows = bpe.decode(bpe.encode(odd_docs, queries.VOCABULARY), queries.VOCABULARY).collect()
     assert len(rows) == odd_docs.count()
-    assert {r.ids for r in rows if r.doc_id in (3, 4, 9)} == {bytearray()}
+    assert {bytes(r.ids) for r in rows if r.doc_id in (3, 4, 9)} == {b""}
     assert bpe.encode(no_docs, queries.VOCABULARY).count() == 0
 
 
