@@ -8,9 +8,9 @@ and rare ones. A set of n tokens can miss at most ``t = n - ceil(threshold n)``
   tokens, dealt into classes, whose pairs are indexed. A class of c tokens is only missed altogether if c - 1 of them
   are missing, so the extension ends where these numbers exceed t - u.
 
-Entities that share an index entry are candidates. First all are compared with the entry's pivot, the entity of fewest
-rare tokens; what is still apart after that is compared pair by pair, unless sizes and rare tokens already tell. A sketch
-of set parities discards most candidates, the others are verified on whole sets. Every link is found, or its ends are
+Entities that share an index entry are candidates, unless sizes and rare tokens already tell. Where many share one, all
+are first compared with its pivot, the entity of fewest rare tokens, and only what is still apart after that is compared
+pair by pair. A sketch of set parities discards most candidates, the others are verified on whole sets. Every link is found, or its ends are
 connected by other links.
 """
 
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from cipherledger.llm import bpe
 from cipherledger.llm.components import components
-from cipherledger.llm.shingles import folded, mixed, shingle_sets
+from cipherledger.llm.shingles import mixed, parities, shingle_sets
 from cipherledger.llm.store import written
 
 #: A token is frequent if it stands for at least this part of all tokens; so there are at most as many.
 FREQUENT = 2**20
 #: Tokens are counted in runs of this many.
 RUN = 4_000_000
+#: Entries that more entities share go by their pivot first.
+MANY = 64
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -77,17 +79,17 @@ def frequent_tokens(docs: DataFrame, n_words: int) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
-def combinations(frequent: np.ndarray, n: int, missing: int, spare: int) -> np.ndarray:
+def combinations(frequent: np.ndarray, n: int, threshold: int, spare: int) -> np.ndarray:
     """Index entries of a set's frequent tokens: pairs within classes of an extended prefix.
 
-    ``n``: size of the set; ``missing``: tokens of n it may miss at most; ``spare``: what is left for frequent ones. The
-    number of classes goes by the power of two below n; a set just above one is indexed for smaller partners as well.
+    ``n``: size of the set; ``spare``: how many of its frequent tokens it may miss at most. The number of classes goes
+    by the power of two below n alone; a set just above one is indexed for smaller partners as well.
     """
     out = []
     level = n.bit_length() - 1
-    levels = [level, level - 1] if n - missing <= 2**level else [level]
+    levels = [level, level - 1] if n * threshold <= 100 * 2**level else [level]
     for own in levels:
-        n_classes = max(1, 2**own * missing // n // 4)
+        n_classes = max(1, 2**own * (100 - threshold) // 400)
         classes = (frequent >> np.uint64(20)) % np.uint64(n_classes)
         order = np.argsort(classes, kind="stable")
         # position of each token within its class, in the order of tokens
@@ -110,12 +112,11 @@ def entries(shingles: np.ndarray, frequent: np.ndarray, threshold: int) -> tuple
     at = np.minimum(np.searchsorted(frequent, shingles), max(len(frequent) - 1, 0))
     often = frequent[at] == shingles if len(frequent) else np.zeros(n, dtype=bool)
     rare = shingles[~often]
-    none = shingles[:0]
-    if missing == 0:  # only equal sets are so near
-        return len(rare), none, none
     if len(rare) > missing:
-        return len(rare), rare[: missing + 1], none
-    return len(rare), rare, combinations(shingles[often], n, missing, missing - len(rare))
+        return len(rare), rare[: missing + 1], shingles[:0]
+    if n < 2:  # nothing but an equal set is near to one token
+        return len(rare), rare, shingles[:0]
+    return len(rare), rare, combinations(shingles[often], n, threshold, missing - len(rare))
 
 
 def index(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
@@ -134,7 +135,7 @@ def index(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
                         pa.array([f[0] for f in found], pa.int32()),
                         pa.array([int(s.sum().view(np.int64)) for s in sets], pa.int64()),
                         pa.array([int(mixed(s * s + np.uint64(1)).sum().view(np.int64)) for s in sets], pa.int64()),
-                        pa.array([folded(s) for s in sets], longs),
+                        pa.array([parities(s) for s in sets], longs),
                         pa.array([f[1].view(np.int64) for f in found], longs),
                         pa.array([f[2].view(np.int64) for f in found], longs),
                     ],
@@ -145,23 +146,53 @@ def index(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     return _rows(docs).mapInArrow(run, schema)
 
 
-def most_apart(threshold: int) -> Column:
-    """Elements in which two linked sets of sizes n_a and n_b may differ at most."""
+def _named(rows: DataFrame, side: str, *shared: str) -> DataFrame:
+    """Columns with a suffix, but for the shared ones."""
+    return rows.select(*[F.col(c) if c in shared else F.col(c).alias(f"{c}_{side}") for c in rows.columns])
+
+
+def _possible(threshold: int) -> Column:
+    """Whether sizes (n) and rare tokens (u) let two sets be near enough.
+
+    An entry's lowest bit tells that it is made of frequent tokens. Two sets that share a rare token have an entry for
+    that; else they differ in all their rare tokens.
+    """
+    often = F.col("entry").bitwiseAND(1) == 1
+    apart = F.when(
+        often, F.col("u_a") + F.col("u_b") + F.abs(F.col("n_a") - F.col("u_a") - F.col("n_b") + F.col("u_b"))
+    ).otherwise(F.abs(F.col("n_a") - F.col("n_b")))
+    return apart <= _most_apart(threshold)
+
+
+def _most_apart(threshold: int) -> Column:
+    """Elements in which two near sets may differ: the intersection is at least t / (100 + t) of the sum of sizes."""
     both = F.col("n_a") + F.col("n_b")
-    # intersection >= threshold / (100 + threshold) of the sum of sizes
     return both - 2 * F.ceil(both * threshold / (100 + threshold))
 
 
+def _pairs(both: DataFrame) -> DataFrame:
+    """``a, b`` with a < b, each once."""
+    least, most = F.least("entity_a", "entity_b"), F.greatest("entity_a", "entity_b")
+    return both.select(least.alias("a"), most.alias("b")).where("a <> b").distinct()
+
+
 def _near(pairs: DataFrame, entities: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that sizes and sketches don't rule out."""
+    """Pairs that sketches don't rule out."""
     for side in "ab":
         own = entities.select(F.col("entity").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
         pairs = pairs.join(own, side)
-    unlike = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+
+    def halved(longer: str, other: str) -> Column:
+        """A sketch brought to the other's length; near sets are at most a power of two apart."""
+        half = F.size(other)
+        twice = F.zip_with(F.slice(longer, F.lit(1), half), F.slice(longer, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(longer) > half, twice).otherwise(F.col(longer))
+
+    differing = F.zip_with(
+        halved("sketch_a", "sketch_b"), halved("sketch_b", "sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))
     )
-    apart = F.greatest(F.abs(F.col("n_a") - F.col("n_b")), unlike)
-    return pairs.where(apart <= most_apart(threshold)).select("a", "b")
+    apart = F.aggregate(differing, F.lit(0), lambda total, x: total + x)
+    return pairs.where(apart <= _most_apart(threshold)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
@@ -205,52 +236,46 @@ def _verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, n_words: i
 
 
 def _members(entities: DataFrame) -> DataFrame:
-    """``entry, often, entity, u, n, pivot`` of the index entries that several entities share."""
-    kinds = [
-        entities.select("entity", "u", "n", F.lit(often).alias("often"), F.explode("often" if often else "rare").alias("entry"))
-        for often in (False, True)
-    ]
-    listed = kinds[0].union(kinds[1])
-    shared = written(
-        listed.groupBy("entry", "often").agg(F.count("*").alias("held"), F.min(F.struct("u", "entity")).alias("first"))
-        .where("held > 1").select("entry", "often", F.col("first.entity").alias("pivot"))
+    """``entry, held, entity, u, n`` of the index entries that several entities share."""
+    rare, often = (
+        entities.select("entity", F.explode(column).alias("own")).select(
+            "entity", F.col("own").bitwiseAND(-2).bitwiseOR(bit).alias("entry"))
+        for bit, column in enumerate(("rare", "often"))
     )
-    return written(listed.join(shared, ["entry", "often"]))
+    listed = rare.union(often)
+    shared = written(listed.groupBy("entry").agg(F.count("*").alias("held")).where("held > 1"))
+    return written(listed.join(shared, "entry").join(entities.select("entity", "u", "n"), "entity"))
+
+
+def _first_pairs(members: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of entries that few share; of the others, each entity with the pivot."""
+    few = members.where(F.col("held") <= MANY).drop("held")
+    both = _named(few, "a", "entry").join(_named(few, "b", "entry"), "entry").where("entity_a < entity_b")
+    many = members.where(F.col("held") > MANY).drop("held")
+    pivot = written(many.groupBy("entry").agg(F.min(F.struct("u", "entity", "n")).alias("first")))
+    stars = _named(many, "a", "entry").join(_named(pivot.select("entry", "first.*"), "b", "entry"), "entry")
+    return _pairs(both.unionByName(stars).where(_possible(threshold)))
 
 
 def _still_apart(members: DataFrame, reached: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of entities that share an entry, lie in different components, and may be near by their sizes.
+    """Pairs of entities that share an entry with many, lie in different components, and may be near.
 
-    Entities of an entry are first taken together by size and rare tokens; only classes that can be near are unfolded.
-    Without a shared rare token (those have entries of their own) two sets differ in all their rare tokens.
+    Entities of an entry are taken together by size and rare tokens; only classes that may be near are unfolded.
     """
     placed = written(
-        members.join(reached, F.col("entity") == F.col("node"), "left")
-        .select("entry", "often", "entity", "u", "n", F.coalesce("component", "entity").alias("component"))
-    )
-    key = ["entry", "often"]
-    classes = placed.groupBy(*key, "u", "n").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-
-    def named(rows: DataFrame, side: str) -> DataFrame:
-        return rows.select(*key, *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c not in key])
-
-    apart = F.when(
-        F.col("often"),
-        F.col("u_a") + F.col("u_b") + F.abs(F.col("n_a") - F.col("u_a") - F.col("n_b") + F.col("u_b")),
-    ).otherwise(F.abs(F.col("n_a") - F.col("n_b")))
-    open_classes = classes.join(
-        classes.groupBy(*key).agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first <> last").select(*key), key
+        members.where(F.col("held") > MANY).join(reached, F.col("entity") == F.col("node"), "left")
+        .select("entry", "entity", "u", "n", F.coalesce("component", "entity").alias("component"))
     )
-    possible = named(open_classes, "a").join(named(open_classes, "b"), key).where(
+    classes = placed.groupBy("entry", "u", "n").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    possible = _named(classes, "a", "entry").join(_named(classes, "b", "entry"), "entry").where(
         (F.struct("n_a", "u_a") <= F.struct("n_b", "u_b"))
         & (F.least("least_a", "least_b") < F.greatest("most_a", "most_b"))
-        & (apart <= most_apart(threshold))
-    ).select(*key, "u_a", "n_a", "u_b", "n_b")
-    pairs = (
-        possible.join(named(placed, "a"), [*key, "u_a", "n_a"]).join(named(placed, "b"), [*key, "u_b", "n_b"])
-        .where("component_a <> component_b")
+        & _possible(threshold)
+    ).select("entry", "u_a", "n_a", "u_b", "n_b")
+    return _pairs(
+        possible.join(_named(placed, "a", "entry"), ["entry", "u_a", "n_a"])
+        .join(_named(placed, "b", "entry"), ["entry", "u_b", "n_b"]).where("component_a <> component_b")
     )
-    return pairs.select(F.least("entity_a", "entity_b").alias("a"), F.greatest("entity_a", "entity_b").alias("b")).distinct()
 
 
 def join(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
@@ -261,6 +286,8 @@ def join(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     without words have an empty set, linked with nothing. Every row gets its row back: equal rows share a component, and
     a row without an id takes its component's least id, or null. Other columns are left out.
     """
+    if not 50 < threshold <= 100:
+        raise ValueError("the threshold is a whole percentage over 50")
     rows = written(index(docs, n_words, threshold))
     entities = written(
         rows.where("n > 0").groupBy("high", "low").agg(
@@ -268,11 +295,13 @@ def join(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
         ).withColumn("entity", F.monotonically_increasing_id())
     )
     members = _members(entities)
-    stars = members.where("entity <> pivot").select(F.least("entity", "pivot").alias("a"), F.greatest("entity", "pivot").alias("b"))
-    links = _verified(_near(stars.distinct(), entities, threshold), entities, docs, n_words, threshold)
-    reached = components(links)
-    rest = _verified(_near(_still_apart(members, reached, threshold), entities, threshold), entities, docs, n_words, threshold)
-    reached = components(links.union(rest))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _verified(_near(pairs, entities, threshold), entities, docs, n_words, threshold)
+
+    links = linked(_first_pairs(members, threshold))
+    more = linked(_still_apart(members, components(links), threshold))
+    reached = components(links.union(more))
     grouped = written(
         entities.join(reached, F.col("entity") == F.col("node"), "left")
         .select("high", "low", "doc_id", F.coalesce("component", "entity").alias("component"))

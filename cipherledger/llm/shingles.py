@@ -67,8 +67,11 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return found
 
 
-def folded(shingles: np.ndarray, longs: int = 8) -> list[int]:
-    """Parity of the shingles over ``longs`` x 64 cells: two sets differ in at least as many elements as in cells."""
-    cells = shingles % np.uint64(64 * longs)
-    odd = np.bincount(cells.astype(np.int64), minlength=64 * longs) & 1
+def parities(shingles: np.ndarray) -> list[int]:
+    """Parity of the shingles over at least as many cells, a power of two from 512 on, as longs.
+
+    Two sets differ in at least as many elements as in cells. Half as many cells are the two halves' exclusive or.
+    """
+    cells = max(512, 1 << (max(len(shingles), 1) - 1).bit_length())
+    odd = np.bincount((shingles % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()

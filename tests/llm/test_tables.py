@@ -116,7 +116,7 @@ def test_near_sets_share_an_entry():
     """Any two sets near enough share an index entry, whichever of their tokens are frequent."""
     rng = np.random.default_rng(1)
     for trial in range(300):
-        size = int(rng.integers(10, 300))
+        size = int(rng.choice([rng.integers(2, 30), rng.integers(10, 300)]))
         base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
         missing = len(base) * 10 // 100
         drop = int(rng.integers(0, missing + 1))
@@ -221,7 +221,7 @@ def test_shards_by_a_plain_heap(spark, documents):
         loads[r.shard] = loads.get(r.shard, 0) + r.size
         shard_of.setdefault(texts[r.doc_id], set()).add(r.shard)
     assert all(len(s) == 1 for s in shard_of.values())
-    assert max(loads.values()) <= 1.001 * max(load for load, _ in heap)
+    assert max(loads.values()) <= 1.003 * max(load for load, _ in heap)
     for s in range(5):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
