@@ -11,11 +11,28 @@ import re
 from re import _constants as _ops
 from re import _parser as _tree
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+# an escape, a named group, a reference to one; the escapes are consumed so that none is read in halves
+_DIALECT = re.compile(r"\\.|\(\?P<(\w+)>|\(\?P=(\w+)\)", re.DOTALL)
+
+
+def translated(pattern: str) -> str:
+    """Spellings of ``re`` that the JVM has under another name: named groups and the end of the text."""
+    def spelled(found: re.Match) -> str:
+        name, reference = (g and "g" + g.encode().hex() for g in found.groups())
+        if name:
+            return f"(?<{name}>"
+        if reference:
+            return rf"\k<{reference}>"
+        return r"\z" if found.group() == r"\Z" else found.group()
+
+    return _DIALECT.sub(spelled, pattern)
+
+
 def is_valid(pattern: str) -> bool:
-    """True when the pattern compiles; rules that do not are dropped at load."""
+    """True when the pattern compiles as it is written; ``refused`` asks the JVM, which runs it."""
     try:
         re.compile(pattern)
     except re.error:
@@ -25,7 +42,23 @@ def is_valid(pattern: str) -> bool:
 
 def jvm(pattern: str, flags: str = "") -> str:
     """The pattern with the flags that give it ``str`` semantics on the JVM."""
-    return f"(?dU{flags}){pattern}"
+    return f"(?dU{flags}){translated(pattern)}"
+
+
+def refused(spark: SparkSession, patterns: list[str]) -> dict[str, str]:
+    """Patterns that can't run, with the reason: neither dialect's own features may be missing from the other."""
+    def reason(some: list[str]) -> str | None:
+        try:
+            spark.range(1).select(*[F.lit("").rlike(jvm(p)) for p in some]).collect()
+        except Exception as error:  # whichever class the session's kind raises
+            return str(error).split("\n")[0]
+        return None
+
+    found = {p: "does not compile" for p in dict.fromkeys(patterns) if not is_valid(p)}
+    rest = [p for p in dict.fromkeys(patterns) if p not in found]
+    if rest and reason(rest):
+        found |= {p: why for p in rest if (why := reason([p]))}
+    return found
 
 
 def required_literals(pattern: str, ignore_case: bool = False) -> list[str] | None:
@@ -40,6 +73,8 @@ def required_literals(pattern: str, ignore_case: bool = False) -> list[str] | No
         tree = _tree.parse(pattern)
     except re.error:
         return None
+    if tree.state.flags & re.VERBOSE or tree.state.flags & re.IGNORECASE and not ignore_case:
+        return None  # flags within the pattern: its letters are not what they look like
     best = _required(tree, ignore_case)
     if best is None or min(map(len, best)) < 2:
         return None

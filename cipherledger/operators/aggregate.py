@@ -82,6 +82,13 @@ def top_paths(findings: DataFrame, key: Column, name: str, keep: int, alias: str
     return kept.groupBy(name).agg(F.sort_array(F.collect_list("path")).alias(alias))
 
 
+def only_scan(summary: DataFrame, columns: list[str]) -> DataFrame:
+    """The row of a summary of one scan; a summary of several is an error, not a choice."""
+    rows = summary.agg(F.count("*").alias("_scans"), *[F.first(c).alias(c) for c in columns])
+    several = F.raise_error(F.lit("the summary holds several scans; choose one first")).cast("boolean")
+    return rows.where(F.when(F.col("_scans") > 1, several).otherwise(F.col("_scans") == 1)).select(*columns)
+
+
 def worst_risk(first: Column) -> Column:
     """vulnerable beats weakened beats the first finding's own risk."""
     return (
@@ -91,8 +98,17 @@ def worst_risk(first: Column) -> Column:
     )
 
 
-def crypto_inventory(findings: DataFrame, locations: int = 50) -> DataFrame:
-    """One asset per algorithm name (A5)."""
+def inventory_locations(findings: DataFrame) -> DataFrame:
+    """Every file of every asset, one row each (A5)."""
+    return findings.select(F.col("algorithm.name").alias("name"), F.col("location.file_path").alias("file_path")).distinct()
+
+
+def crypto_inventory(findings: DataFrame, locations: int | None = None) -> DataFrame:
+    """One asset per algorithm name (A5).
+
+    ``inventory_locations`` has all files of the assets; with ``locations`` each
+    asset lists its first ones as well, else none.
+    """
     narrow = findings.select(
         F.col("algorithm.name").alias("name"), "quantum_risk", "ord",
         severity_order(F.col("severity")).alias("sev_ord"),
@@ -112,8 +128,11 @@ def crypto_inventory(findings: DataFrame, locations: int = 50) -> DataFrame:
         worst_risk(first["quantum_risk"]).alias("quantum_risk"),
         severity_name(F.min("sev_ord")).alias("severity"),
     )
-    paths = top_paths(findings, F.col("algorithm.name"), "name", locations, "locations")
-    return assets.join(paths, "name").select(
+    if locations is None:
+        listed = assets.withColumn("locations", F.array().cast("array<string>"))
+    else:
+        listed = assets.join(top_paths(findings, F.col("algorithm.name"), "name", locations, "locations"), "name")
+    return listed.select(
         "name",
         text.lookup(F.col("first.scanner_type"), t.ASSET_OF_DETECTOR, "algorithm").alias("asset_type"),
         "first.family", "first.key_size", "quantum_risk", "severity", "occurrence_count", "locations",
@@ -134,8 +153,8 @@ def inventory_totals(assets: DataFrame) -> DataFrame:
     )
 
 
-def compliance_gaps(findings: DataFrame, frameworks: list[str] | None = None) -> DataFrame:
-    """Gaps per framework (A10).
+def compliance_gaps(findings: DataFrame, frameworks: list[str] | None = None, shown: int | None = None) -> DataFrame:
+    """Gaps per framework (A10), all of them or the first ``shown``.
 
     Requirements depend on family, risk and key size alone, so findings are
     first counted by those; the references are spelled out for a few hundred
@@ -153,6 +172,8 @@ def compliance_gaps(findings: DataFrame, frameworks: list[str] | None = None) ->
         return F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0))
 
     gap = F.when(F.col("status") == "non_compliant", F.concat("requirement_id", F.lit(": "), "description"))
+    # at most one entry per requirement and family of the fixed table
+    gaps = F.sort_array(F.collect_set(gap))
     compliant, broken, open_ = having("compliant"), having("non_compliant"), having("action_required")
     return refs.groupBy("framework").agg(
         F.sum("n").alias("total_findings_checked"),
@@ -162,8 +183,7 @@ def compliance_gaps(findings: DataFrame, frameworks: list[str] | None = None) ->
         F.coalesce(
             F.bround(F.try_divide(compliant * 100.0, compliant + broken + open_), 1), F.lit(100.0)
         ).alias("compliance_percentage"),
-        # at most one entry per requirement and family of the fixed table
-        F.slice(F.sort_array(F.collect_set(gap)), 1, 20).alias("critical_gaps"),
+        (gaps if shown is None else F.slice(gaps, 1, shown)).alias("critical_gaps"),
         F.min("deadline").alias("earliest_deadline"),
     )
 
@@ -249,10 +269,10 @@ def timelines(findings: DataFrame) -> DataFrame:
     )
 
 
-def distinct_references(findings: DataFrame, shown: int | None = 50) -> DataFrame:
-    """Distinct compliance strings in order, the first ``shown``."""
-    refs = findings.select(F.explode("compliance_refs").alias("reference")).distinct().orderBy("reference")
-    return refs if shown is None else refs.limit(shown)
+def distinct_references(findings: DataFrame, shown: int | None = None) -> DataFrame:
+    """Distinct compliance strings (A15), or the first ``shown`` in order."""
+    refs = findings.select(F.explode("compliance_refs").alias("reference")).distinct()
+    return refs if shown is None else refs.orderBy("reference").limit(shown)
 
 
 def quality_gate(summary: DataFrame, min_score: float = 70.0, max_critical: int = 0, max_high: int = 5) -> DataFrame:

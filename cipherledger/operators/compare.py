@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherledger.functions import scoring
+from cipherledger.operators import aggregate
 from cipherledger.operators.findings import first_rows
 
 KEY = ["rule_id", "file_path", "algorithm_name"]
@@ -68,7 +69,8 @@ def compare_scans(before: DataFrame, after: DataFrame, summary_before: DataFrame
     )
 
     def side(summary, name):
-        return F.broadcast(summary.select(F.col("score").alias(f"score_{name}"), F.col("grade").alias(f"grade_{name}")).limit(1))
+        scan = aggregate.only_scan(summary, ["score", "grade"])
+        return F.broadcast(scan.select(F.col("score").alias(f"score_{name}"), F.col("grade").alias(f"grade_{name}")))
 
     return (
         counts.crossJoin(side(summary_before, "a")).crossJoin(side(summary_after, "b"))

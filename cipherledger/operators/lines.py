@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cipherledger.functions import patterns, text
 from cipherledger.operators.hits import Builder, Detector, Rule, line_hit, none
@@ -78,14 +79,28 @@ def match_lines(lines: DataFrame, rules: list[tuple], language: str | None = "la
 def match_lines_with_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """The same pairs for rules that are a table: a theta join.
 
-    Equality on language with the pattern test as residual of a broadcast join.
-    ``rules`` needs columns language and pattern; its size is checked.
+    ``rules`` needs columns language and pattern; tables beyond ``MAX_RULES`` are
+    refused. The rules become one literal per language that a lambda walks
+    through, so a line meets a pattern only if it holds one of its strings, and
+    what else the table says comes from one broadcast join.
     """
-    if rules.limit(rule_tables.MAX_RULES + 1).count() > rule_tables.MAX_RULES:
-        pairs = lines.join(rules, "language")
-    else:
-        pairs = lines.join(F.broadcast(rules), "language")
-    return pairs.where(F.expr("line rlike concat('(?dU)', pattern)"))
+    held = rules.limit(rule_tables.MAX_RULES + 1).collect()
+    by_language: dict[str, list[tuple]] = {}
+    for order, rule in enumerate(held):
+        by_language.setdefault(rule["language"], []).append((order, rule["pattern"], ""))
+    numbered = rule_tables.table(
+        lines.sparkSession, [(order, *rule) for order, rule in enumerate(held)],
+        T.StructType([T.StructField("rule_ord", T.IntegerType()), *rules.schema.fields]),
+    )
+    if not held:
+        return lines.join(numbered.drop("rule_ord"), "language")
+    tables = text.constant({name: patterns.rule_structs(rows) for name, rows in by_language.items()})
+    hits = F.filter(
+        F.try_element_at(tables, F.col("language")),
+        lambda rule: patterns.may_match(F.col("line"), rule) & patterns.matches(F.col("line"), rule),
+    )
+    found = lines.withColumn("rule_ord", F.explode(F.transform(hits, lambda rule: rule["rule_ord"])))
+    return found.join(F.broadcast(numbered.drop("language")), "rule_ord").drop("rule_ord")
 
 
 def line_rule_detector(rules: list[Rule], column: str, route: Column, language: Column | None, width: int, trim) -> Builder:

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from cipherledger.fixed import scoring_tables as t
 from cipherledger.functions import scoring
 from cipherledger.functions.text import lookup
-from cipherledger.operators.aggregate import severity_name, top_paths
+from cipherledger.operators.aggregate import only_scan, severity_name, top_paths
 from cipherledger.operators.post import quantum_exposed, severity_order
 from cipherledger.sources import rules as rule_tables
 
 
-def migration_tasks(findings: DataFrame, rate: float = t.HOURLY_RATE, shown_files: int = 20) -> DataFrame:
-    """One task per algorithm family with exposed findings."""
+def migration_tasks(findings: DataFrame, rate: float = t.HOURLY_RATE, shown_files: int | None = None) -> DataFrame:
+    """One task per algorithm family with exposed findings.
+
+    ``migration_files`` has all files of the tasks; with ``shown_files`` each
+    task lists its first ones as well.
+    """
     exposed = quantum_exposed(findings)
     families = exposed.groupBy(F.col("algorithm.family").alias("from_algorithm")).agg(
         F.count("*").alias("instances"),
@@ -47,10 +51,19 @@ def migration_tasks(findings: DataFrame, rate: float = t.HOURLY_RATE, shown_file
         .withColumn("title", F.concat(F.lit("Migrate "), "from_algorithm", F.lit(" to "), "to_algorithm"))
         .drop("vulnerable")
     )
+    if shown_files is None:
+        return tasks
     files = top_paths(exposed, F.col("algorithm.family"), "from_algorithm", shown_files, "affected_files")
     return tasks.join(files, "from_algorithm")
 
 
+def migration_files(findings: DataFrame) -> DataFrame:
+    """Every file of every task, one row each."""
+    return quantum_exposed(findings).select(
+        F.col("algorithm.family").alias("from_algorithm"), F.col("location.file_path").alias("file_path")
+    ).distinct()
+
+
 def migration_phases(tasks: DataFrame) -> DataFrame:
     """Hours and cost per phase that has tasks."""
     names = rule_tables.table(tasks.sparkSession, t.PHASES, "phase int, name string")
@@ -85,8 +98,8 @@ def migration_plan(tasks: DataFrame, summary: DataFrame | None = None) -> DataFr
     )
     if summary is None:
         return totals.withColumn("plan_text", plan_text)
-    scanned = summary.select("total_findings", "files_scanned", "score", "grade", "pqc_readiness_pct")
-    return totals.crossJoin(F.broadcast(scanned.limit(1))).withColumn(
+    scanned = only_scan(summary, ["total_findings", "files_scanned", "score", "grade", "pqc_readiness_pct"])
+    return totals.crossJoin(F.broadcast(scanned)).withColumn(
         "plan_text",
         F.concat(F.col("total_findings"), F.lit(" findings in "), F.col("files_scanned"), F.lit(" files. "), plan_text),
     )

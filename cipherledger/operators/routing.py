@@ -85,6 +85,6 @@ def scannable_glob() -> str:
     return "{" + ",".join([*(f"*{suffix}" for suffix in _SUFFIXES), *_NAMES, "Dockerfile*", *manifests]) + "}"
 
 
-def at_most(files: DataFrame, megabytes: float | None) -> DataFrame:
-    """Optional size limit of a scan preset."""
-    return files if megabytes is None else files.where(F.col("length") <= int(megabytes * 1024 * 1024))
+def at_most(files: DataFrame, megabytes: float) -> DataFrame:
+    """Files up to a size; nothing but a caller's own call drops larger ones."""
+    return files.where(F.col("length") <= int(megabytes * 1024 * 1024))

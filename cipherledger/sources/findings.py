@@ -77,7 +77,7 @@ def sarif_results(findings: DataFrame, rules: DataFrame | None = None) -> DataFr
     )
 
 
-def cyclonedx_components(assets: DataFrame, shown: int = 20) -> DataFrame:
+def cyclonedx_components(assets: DataFrame, shown: int | None = None) -> DataFrame:
     """One component per inventory asset."""
     return assets.select(
         F.lit("cryptographic-asset").alias("type"),
@@ -90,5 +90,5 @@ def cyclonedx_components(assets: DataFrame, shown: int = 20) -> DataFrame:
             F.when(F.size("pqc_replacements") > 0, F.col("pqc_replacements")).alias("certificationLevel"),
         ).alias("cryptoProperties"),
         F.struct("quantum_risk", "severity", F.col("occurrence_count").cast("string").alias("occurrence_count"), "family").alias("properties"),
-        F.slice("locations", 1, shown).alias("occurrences"),
+        (F.col("locations") if shown is None else F.slice("locations", 1, shown)).alias("occurrences"),
     )

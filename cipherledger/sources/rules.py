@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cipherledger import schema
 from cipherledger.fixed import dimensions, scoring_tables, source_rules
-from cipherledger.functions.patterns import is_valid
+from cipherledger.functions.patterns import is_valid, refused
 
 MAX_RULES = 20_000
 
@@ -74,6 +74,12 @@ def load_source_rules(language: str | None = None, extra: list[SourceRule] = ())
     return [r for r in rules if (language is None or r.language == language) and is_valid(r.pattern)]
 
 
+def refused_rules(spark: SparkSession, rules: list[SourceRule]) -> list[tuple[str, str]]:
+    """(rule_id, reason) of the rules whose pattern can't run; a scan warns of them and runs the others."""
+    why = refused(spark, [r.pattern for r in rules])
+    return [(r.rule_id, why[r.pattern]) for r in rules if r.pattern in why]
+
+
 def algorithms(spark: SparkSession) -> DataFrame:
     """The algorithm dimension."""
     return table(spark, dimensions.ALGORITHMS, schema.ALGORITHM)

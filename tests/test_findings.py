@@ -95,10 +95,11 @@ def test_grades_use_the_unrounded_score(spark):
 
 def test_inventory(findings):
     many = [row(name="RSA", path=f"f{i:03d}", severity="low", risk="weakened", scanner="secrets", key_size=1, a=i) for i in range(60)]
-    got = aggregate.crypto_inventory(findings(*many, row(name="RSA", path="f000", severity="critical", risk="unknown", a=99))).first()
+    got = aggregate.crypto_inventory(findings(*many, row(name="RSA", path="f000", severity="critical", risk="unknown", a=99)), locations=50).first()
     assert (got["occurrence_count"], got["severity"], got["quantum_risk"], got["asset_type"]) == (61, "critical", "weakened", "key")
     assert got["locations"] == [f"f{i:03d}" for i in range(50)]
-    component = finding_sources.cyclonedx_components(aggregate.crypto_inventory(findings(*many))).first()
+    assert aggregate.inventory_locations(findings(*many)).count() == 60
+    component = finding_sources.cyclonedx_components(aggregate.crypto_inventory(findings(*many), locations=50), shown=20).first()
     assert component["cryptoProperties"]["assetType"] == "related-crypto-material" and len(component["occurrences"]) == 20
 
 
@@ -118,6 +119,14 @@ def test_gaps_debt_and_distribution(findings):
     assert spread == {"critical": (0, 0.0), "high": (1, 50.0), "medium": (0, 0.0), "low": (1, 50.0), "info": (0, 0.0)}
 
 
+def test_a_summary_of_several_scans_is_an_error(findings):
+    one = aggregate.summarise(findings(row()))
+    tasks = migration.migration_tasks(findings(row()))
+    assert migration.migration_plan(tasks, one).first()["total_findings"] == 1
+    with pytest.raises(Exception, match="several scans"):
+        migration.migration_plan(tasks, one.union(one)).collect()
+
+
 def test_timelines_follow_the_first_finding(findings):
     got = aggregate.timelines(findings(row(risk="safe", a=1), row(risk="vulnerable", a=2), row(key_size=1024), row(family="MD5"))).collect()
     assert [(r["timeline_key"], r["break_year_moderate"]) for r in got] == [("RSA-1024", 2032)]

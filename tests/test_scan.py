@@ -2,15 +2,18 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 import cipherledger
+from cipherledger import schema
 from cipherledger.operators import aggregate, detect_binary, detect_config, detect_manifests, detect_text, post
 from cipherledger.operators.routing import is_scannable, scannable_glob
 from cipherledger.plans.scan import detect, finish, scan
 from cipherledger.sources.files import read_files, read_targets
 from cipherledger.sources.findings import read_findings, write_findings
-from cipherledger.sources.rules import SourceRule, load_source_rules
+from cipherledger.sources.rules import SourceRule, load_source_rules, refused_rules
 from cipherledger.streaming.incremental import findings_of, scan_stream, watch_files
 from tests.conftest import places
 
@@ -117,7 +120,34 @@ def test_presets_and_severity(spark, tmp_path):
     quick = scan(files, profile="quick")
     assert {r["scanner_type"] for r in quick.collect()} == {"source"}
     assert {r["severity"] for r in scan(files, min_severity="critical").collect()} == {"critical"}
-    assert scan(files.withColumn("length", F.lit(2 * 1024 * 1024)), profile="quick").count() == 0
+    # the size that a preset names drops no file
+    assert scan(files.withColumn("length", F.lit(2**40)), profile="quick").count() == quick.count()
+
+
+def test_each_input_alone_gives_its_findings(spark, make_files):
+    files = make_files({"a.py": "hashlib.md5(x)\n"})
+    assert scan(files, detectors=["certificate"]).collect() == []
+    with pytest.raises(ValueError):
+        scan()
+    offers = spark.createDataFrame(
+        [("h", 22, ["diffie-hellman-group1-sha1"], [], [], [], [], [])], schema.SSH_OFFERS)
+    assert {r["scanner_type"] for r in scan(ssh_offers=offers).collect()} == {"network"}
+    hot = "".join(map(chr, range(256)))
+    blob = make_files({"a.so": hot + "ab" * 512})
+    assert "BIN-ENTROPY-HIGH" in {r["rule_id"] for r in scan(blob, detectors=["binary"]).collect()}
+
+
+def test_user_rules_with_flags_and_foreign_spellings(make_files):
+    files = make_files({"a.py": "h = MD5(x)\nweak weak\nlast"})
+    own = [
+        SourceRule("FLAG", "python", "MD5", r"(?i)md5\("), SourceRule("SPACED", "python", "MD5", "(?xi) md5 \\( # call"),
+        SourceRule("NAMED", "python", "MD5", r"(?P<a_word>weak)\s(?P=a_word)"), SourceRule("END", "python", "MD5", r"last\Z"),
+        SourceRule("BROKEN", "python", "MD5", r"md5(?"), SourceRule("FOREIGN", "python", "MD5", r"(weak)?(?(1)a|b)"),
+    ]
+    with pytest.warns(UserWarning, match="FOREIGN"):
+        found = detect(files, detectors=["source"], rules=own)
+    assert sorted(r["rule_id"] for r in found.collect()) == ["END", "FLAG", "NAMED", "SPACED"]
+    assert [r for r, _ in refused_rules(files.sparkSession, own)] == ["BROKEN", "FOREIGN"]
 
 
 def test_pushing_the_severity_down_changes_nothing(make_files):

@@ -76,6 +76,15 @@ def test_required_literals_are_in_every_match():
     assert checked > 300
 
 
+def test_flags_within_a_pattern_give_up_required_strings():
+    for pattern in (r"(?i)md5", r"(?x) foo bar", r"(?ix)md5"):
+        assert patterns.required_literals(pattern) is None
+    for pattern in (r"(?s)md5", r"(?m)md5", r"(?u)md5"):
+        assert patterns.required_literals(pattern) == ["md5"]
+    assert patterns.required_literals(r"(?i)MD5", True) == ["md5"]
+    assert patterns.translated(r"\\Z\Z(?P<a_b>x)(?P=a_b)") == r"\\Z\z(?<g615f62>x)\k<g615f62>"
+
+
 def test_source_rules_agree_with_python(make_files):
     """Each rule on its own examples, and every other rule of the language on them."""
     contents, expected = {}, []

@@ -101,7 +101,7 @@ def compliance_strings(spark, sf_dir):
     )
 
 
-@query("distinct_references", f"""WITH {FACTS}, {REQS}, {REFS} SELECT DISTINCT {_REF_TEXT} AS reference FROM refs ORDER BY 1 LIMIT 50""")
+@query("distinct_references", f"""WITH {FACTS}, {REQS}, {REFS} SELECT DISTINCT {_REF_TEXT} AS reference FROM refs""")
 def distinct_references(spark, sf_dir):
     """A15"""
     return aggregate.distinct_references(enrich.attach_compliance(facts(spark, sf_dir)))
@@ -149,10 +149,11 @@ def severity_ranking(spark, sf_dir):
     )
 
 
-@query("severity_sorted", f"WITH {FACTS} SELECT {PLACE} FROM facts ORDER BY sev_ord, ord LIMIT 500")
+@query("severity_sorted", f"""WITH {FACTS} SELECT {PLACE}, sev_ord::INTEGER AS level FROM facts ORDER BY sev_ord, ord""")
 def severity_sorted(spark, sf_dir):
-    """The head of the sorted report"""
-    return place(post.by_severity(facts(spark, sf_dir)).limit(500))
+    """The sorted report, all rows"""
+    ordered = post.by_severity(facts(spark, sf_dir))
+    return place(ordered).withColumn("level", post.severity_order(F.col("severity")).cast("int"))
 
 
 # -- summary and scores --------------------------------------------------------------
@@ -198,14 +199,6 @@ def _placed(spark, sf_dir):
     return facts(spark, sf_dir).withColumn("file_path", F.col("location.file_path")).withColumn("line_number", F.col("location.line_number"))
 
 
-@query("empty_scan", """SELECT 0 AS total_findings, CAST(100.0 AS DOUBLE) AS score, 'A' AS grade, CAST(100.0 AS DOUBLE) AS pqc_readiness_pct, 0 AS files_scanned
-FROM (SELECT count(*) FROM lineitem WHERE l_orderkey < 0)""")
-def empty_scan(spark, sf_dir):
-    """A1 to A3 without findings"""
-    none = facts(spark, sf_dir).where(F.col("ord.a") < 0)
-    return aggregate.summarise(none).select("total_findings", "score", "grade", "pqc_readiness_pct", "files_scanned")
-
-
 @query("advanced_score", f"""WITH {FACTS}, s AS (SELECT rule_id, line_number, count(DISTINCT file_path) AS affected_files, sum(weight * {sql_lookup('severity', t.ADVANCED_MULTIPLIER)}) AS penalty
   FROM facts GROUP BY rule_id, line_number)
 SELECT rule_id, line_number, affected_files, round_even(greatest(0.0, least(100.0, 100.0 - penalty * (1.0 + affected_files / 200))), 1)::DOUBLE AS advanced_score FROM s""")
@@ -248,7 +241,7 @@ assets AS (SELECT name, count(*) AS occurrence_count, {RISK_OF_GROUP} AS quantum
   coalesce(array_to_string(replacements, '|'), '') AS replacements, description FROM assets JOIN paths USING (name)""")
 def crypto_inventory(spark, sf_dir):
     """A5, W5"""
-    return aggregate.crypto_inventory(facts(spark, sf_dir)).select(
+    return aggregate.crypto_inventory(facts(spark, sf_dir), locations=50).select(
         "name", "occurrence_count", "quantum_risk", "severity", "asset_type", "family", "key_size", F.array_join("locations", "|").alias("locations"),
         F.array_join("pqc_replacements", "|").alias("replacements"), "description",
     )
@@ -267,7 +260,7 @@ def inventory_totals(spark, sf_dir):
   quantum_risk, severity, array_to_string(all_paths[1:20], '|') AS evidence FROM assets JOIN paths USING (name)""")
 def cyclonedx_components(spark, sf_dir):
     """P11"""
-    components = finding_sources.cyclonedx_components(aggregate.crypto_inventory(facts(spark, sf_dir)))
+    components = finding_sources.cyclonedx_components(aggregate.crypto_inventory(facts(spark, sf_dir), locations=50), shown=20)
     return components.select(
         "type", "name", "description", F.col("cryptoProperties.assetType").alias("asset_type"), "cryptoProperties.primitive",
         F.col("cryptoProperties.parameterSetIdentifier").alias("parameter_set"),
@@ -289,7 +282,7 @@ GAPS = f"""gaps AS (SELECT framework, count(*) AS total_findings_checked, count(
 @query("compliance_gaps", f"WITH {FACTS}, {REQS}, {REFS}, {GAPS} SELECT * FROM gaps")
 def compliance_gaps(spark, sf_dir):
     """A10"""
-    return aggregate.compliance_gaps(facts(spark, sf_dir)).withColumn("critical_gaps", F.array_join("critical_gaps", "|"))
+    return aggregate.compliance_gaps(facts(spark, sf_dir), shown=20).withColumn("critical_gaps", F.array_join("critical_gaps", "|"))
 
 
 @query("gap_totals", f"""WITH {FACTS}, {REQS}, {REFS}, {GAPS} SELECT coalesce(round_even(avg(compliance_percentage), 1), 0)::DOUBLE AS overall_compliance_pct,
@@ -480,7 +473,7 @@ tasks AS (SELECT format('MIG-{{:03d}}', row_number() OVER (ORDER BY family)) AS
 @query("migration_tasks", f"WITH {FACTS}, {TASKS} SELECT * FROM tasks")
 def migration_tasks(spark, sf_dir):
     """A7"""
-    return migration.migration_tasks(facts(spark, sf_dir)).withColumn("affected_files", F.array_join("affected_files", "|")).drop("title")
+    return migration.migration_tasks(facts(spark, sf_dir), shown_files=20).withColumn("affected_files", F.array_join("affected_files", "|")).drop("title")
 
 
 PHASES = f"""phases AS (SELECT tasks.phase, p.name, count(*) AS tasks, sum(estimated_hours) AS total_hours, sum(estimated_cost_eur) AS total_cost_eur
@@ -833,3 +826,22 @@ def every_detector(spark, sf_dir):
         files, certificates=corpus.certificates(spark, sf_dir), endpoints=corpus.endpoints(spark, sf_dir), ssh_offers=corpus.ssh_offers(spark, sf_dir)
     )
     return found.groupBy("scanner_type", "severity").agg(F.count("*").alias("findings"), F.countDistinct("location.file_path").alias("places"))
+
+
+@query("inventory_locations", f"WITH {FACTS} SELECT DISTINCT name, file_path FROM facts")
+def inventory_locations(spark, sf_dir):
+    """A5: every file of every asset"""
+    return aggregate.inventory_locations(facts(spark, sf_dir))
+
+
+@query("migration_files", f"WITH {FACTS} SELECT DISTINCT family AS from_algorithm, file_path FROM facts WHERE quantum_risk IN ('vulnerable', 'weakened')")
+def migration_files(spark, sf_dir):
+    """Every file of every task"""
+    return migration.migration_files(facts(spark, sf_dir))
+
+
+@query("gap_requirements", f"""WITH {FACTS}, {REQS}, {REFS} SELECT DISTINCT framework, concat(requirement_id, ': ', told) AS gap
+  FROM refs WHERE status = 'non_compliant'""")
+def gap_requirements(spark, sf_dir):
+    """A10: every gap of every framework"""
+    return aggregate.compliance_gaps(facts(spark, sf_dir)).select("framework", F.explode("critical_gaps").alias("gap"))

@@ -521,6 +521,13 @@ SELECT path, CAST(place AS INTEGER) AS line_number, 'BIN-ENTROPY-HIGH' AS rule_i
 @query("binary_entropy", ENTROPY_SQL)
 def binary_entropy(spark, sf_dir):
     """D16, S8, W5"""
+    found = flat(detect_binary.detect_entropy(blobs(spark, sf_dir), shown=5))
+    return found.select("path", "line_number", "rule_id", "line_content")
+
+
+@query("entropy_regions", ENTROPY_SQL.replace(" AND r <= 5", ""))
+def entropy_regions(spark, sf_dir):
+    """Every region of every file"""
     found = flat(detect_binary.detect_entropy(blobs(spark, sf_dir)))
     return found.select("path", "line_number", "rule_id", "line_content")
 
