@@ -16,6 +16,7 @@ connected by other links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from cipherledger.llm.store import written
 FREQUENT = 2**20
 #: Tokens are counted in runs of this many.
 RUN = 4_000_000
+#: Bits of the filter that picks the documents to verify; documents let through in vain only cost time.
+FILTER_BITS = 2**27
 #: Entries that more entities share go by their pivot first.
 MANY = 64
 
@@ -47,6 +50,12 @@ def _sets(batch: pa.RecordBatch, column: int, n_words: int) -> Iterator[tuple[in
         yield a, shingle_sets([t.encode("utf-8").lower() for t in texts[a:b]], n_words)
 
 
+def _keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two hashes of each set."""
+    sums = ([s.sum(dtype=np.uint64) for s in sets], [mixed(s * s + np.uint64(1)).sum(dtype=np.uint64) for s in sets])
+    return [pa.array(np.array(own, dtype=np.uint64).view(np.int64), pa.int64()) for own in sums]
+
+
 def frequent_tokens(docs: DataFrame, n_words: int) -> np.ndarray:
     """Tokens of great share, sorted. What is missed here is handled as rare, only more slowly.
 
@@ -54,20 +63,25 @@ def frequent_tokens(docs: DataFrame, n_words: int) -> np.ndarray:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def report(held: list[np.ndarray]) -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(2, counts.sum() / FREQUENT)
-            columns = [np.append(tokens[often].view(np.int64), 0), np.append(counts[often], 0), np.zeros(often.sum() + 1, np.int64)]
-            columns[2][-1] = counts.sum()
+            tokens = np.concatenate([np.zeros(0, dtype=np.uint64), *held])
+            held.clear()
+            tokens.sort()
+            least = max(2, math.ceil(len(tokens) / FREQUENT))
+            often = np.unique(tokens[: 1 - least][tokens[least - 1 :] == tokens[: 1 - least]])
+            counts = np.searchsorted(tokens, often, side="right") - np.searchsorted(tokens, often)
+            # one row more tells how many tokens there were
+            columns = [np.append(often.view(np.int64), 0), np.append(counts, 0), np.append(np.zeros(len(often), np.int64), len(tokens))]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "n", "total"])
 
-        held, size = [np.zeros(0, dtype=np.uint64)], 0
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for _, sets in _sets(batch, 0, n_words):
                 held += sets
                 size += sum(map(len, sets))
                 if size >= RUN:
                     yield report(held)
-                    held, size = [np.zeros(0, dtype=np.uint64)], 0
+                    size = 0
         yield report(held)
 
     counted = written(
@@ -133,8 +147,7 @@ def index(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
                         batch.column(0).slice(a, len(sets)),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([f[0] for f in found], pa.int32()),
-                        pa.array([int(s.sum().view(np.int64)) for s in sets], pa.int64()),
-                        pa.array([int(mixed(s * s + np.uint64(1)).sum().view(np.int64)) for s in sets], pa.int64()),
+                        *_keys(sets),
                         pa.array([parities(s) for s in sets], longs),
                         pa.array([f[1].view(np.int64) for f in found], longs),
                         pa.array([f[2].view(np.int64) for f in found], longs),
@@ -176,12 +189,8 @@ def _pairs(both: DataFrame) -> DataFrame:
     return both.select(least.alias("a"), most.alias("b")).where("a <> b").distinct()
 
 
-def _near(pairs: DataFrame, entities: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that sketches don't rule out."""
-    for side in "ab":
-        own = entities.select(F.col("entity").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
-        pairs = pairs.join(own, side)
-
+def _alike(threshold: int) -> Column:
+    """Whether sketches let two sets be near enough."""
     def halved(longer: str, other: str) -> Column:
         """A sketch brought to the other's length; near sets are at most a power of two apart."""
         half = F.size(other)
@@ -191,35 +200,63 @@ def _near(pairs: DataFrame, entities: DataFrame, threshold: int) -> DataFrame:
     differing = F.zip_with(
         halved("sketch_a", "sketch_b"), halved("sketch_b", "sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))
     )
-    apart = F.aggregate(differing, F.lit(0), lambda total, x: total + x)
-    return pairs.where(apart <= _most_apart(threshold)).select("a", "b")
+    return F.aggregate(differing, F.lit(0), lambda total, x: total + x) <= _most_apart(threshold)
 
 
-def _verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
-    """Pairs whose whole sets are near enough."""
-    pairs = written(pairs)
-    if pairs.isEmpty():
-        return pairs
-    needed = pairs.select(F.col("a").alias("entity")).union(pairs.select("b")).distinct()
-    wanted = written(entities.join(needed, "entity").select("entity", F.col("doc_id").alias("doc"), "high", "low"))
-    texts = _rows(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("entity", "high", "low", "text")
+def _near(pairs: DataFrame, entities: DataFrame, threshold: int) -> DataFrame:
+    """Pairs that sketches don't rule out."""
+    for side in "ab":
+        own = entities.select(F.col("entity").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        pairs = pairs.join(own, side)
+    return pairs.where(_alike(threshold)).select("a", "b")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
+    """``entity, tokens``: the sets of the wanted entities, made again from their texts.
+
+    A filter of bounded size over the wanted ids goes to the texts, so that no text is shuffled; the join decides.
+    """
+    bits = min(FILTER_BITS, 1 << max(16, (16 * wanted.count()).bit_length()))
+
+    def cells(ids: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(k), F.col(ids)), F.lit(bits)) for k in range(2)]
+
+    words = (
+        wanted.select(F.explode(F.array(*cells("doc_id"))).alias("cell"))
+        .groupBy(F.shiftright("cell", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, int(cell & 7))")).alias("held"))
+        .toArrow()
+    )
+    held = np.zeros(bits // 8, dtype=np.uint8)
+    held[words.column(0).to_numpy()] = words.column(1).to_numpy()
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, sets in _sets(batch, 3, n_words):
-                # an id may stand for several texts; the entity is the one with its key
-                same = [
-                    int(s.sum().view(np.int64)) == batch.column(1)[a + i].as_py()
-                    and int(mixed(s * s + np.uint64(1)).sum().view(np.int64)) == batch.column(2)[a + i].as_py()
-                    for i, s in enumerate(sets)
-                ]
-                keep = pa.array(same)
-                tokens = pa.array([s.tobytes() for s in sets], pa.binary())
+            marked = [held[c >> 3] >> (c & 7) & 1 for c in (batch.column(k).to_numpy() for k in (2, 3))]
+            batch = batch.filter(pa.array((marked[0] & marked[1]).astype(bool)))
+            for a, sets in _sets(batch, 1, n_words):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(sets)).filter(keep), tokens.filter(keep)], ["entity", "tokens"]
+                    [batch.column(0).slice(a, len(sets)), *_keys(sets), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["doc", "high", "low", "tokens"],
                 )
 
-    sets = written(texts.mapInArrow(collect, "entity long, tokens binary"))
+    first, second = cells("doc_id")
+    made = _rows(docs).select("doc_id", "text", first.alias("first"), second.alias("second")).mapInArrow(
+        collect, "doc long, high long, low long, tokens binary"
+    )
+    # an id may stand for several texts; the entity is the one with its key
+    return made.join(
+        wanted, F.col("doc").eqNullSafe(F.col("doc_id")) & (made["high"] == wanted["high"]) & (made["low"] == wanted["low"])
+    ).select("entity", "tokens")
+
+
+def _verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
+    """Pairs whose whole sets are near enough."""
+    pairs = written(pairs)
+    if pairs.isEmpty():
+        return pairs
+    needed = pairs.select(F.col("a").alias("entity")).union(pairs.select("b")).distinct()
+    wanted = written(entities.join(needed, "entity").select("entity", "doc_id", "high", "low"))
+    sets = written(_sets_of(docs, wanted, n_words))
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("entity").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
 
@@ -257,7 +294,7 @@ def _first_pairs(members: DataFrame, threshold: int) -> DataFrame:
     return _pairs(both.unionByName(stars).where(_possible(threshold)))
 
 
-def _still_apart(members: DataFrame, reached: DataFrame, threshold: int) -> DataFrame:
+def _still_apart(members: DataFrame, reached: DataFrame, entities: DataFrame, threshold: int) -> DataFrame:
     """Pairs of entities that share an entry with many, lie in different components, and may be near.
 
     Entities of an entry are taken together by size and rare tokens; only classes that may be near are unfolded.
@@ -265,6 +302,7 @@ def _still_apart(members: DataFrame, reached: DataFrame, threshold: int) -> Data
     placed = written(
         members.where(F.col("held") > MANY).join(reached, F.col("entity") == F.col("node"), "left")
         .select("entry", "entity", "u", "n", F.coalesce("component", "entity").alias("component"))
+        .join(entities.select("entity", "sketch"), "entity")
     )
     classes = placed.groupBy("entry", "u", "n").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     possible = _named(classes, "a", "entry").join(_named(classes, "b", "entry"), "entry").where(
@@ -274,7 +312,8 @@ def _still_apart(members: DataFrame, reached: DataFrame, threshold: int) -> Data
     ).select("entry", "u_a", "n_a", "u_b", "n_b")
     return _pairs(
         possible.join(_named(placed, "a", "entry"), ["entry", "u_a", "n_a"])
-        .join(_named(placed, "b", "entry"), ["entry", "u_b", "n_b"]).where("component_a <> component_b")
+        .join(_named(placed, "b", "entry"), ["entry", "u_b", "n_b"])
+        .where((F.col("component_a") != F.col("component_b")) & _alike(threshold))
     )
 
 
@@ -297,10 +336,10 @@ def join(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     members = _members(entities)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return _verified(_near(pairs, entities, threshold), entities, docs, n_words, threshold)
+        return _verified(pairs, entities, docs, n_words, threshold)
 
-    links = linked(_first_pairs(members, threshold))
-    more = linked(_still_apart(members, components(links), threshold))
+    links = linked(_near(_first_pairs(members, threshold), entities, threshold))
+    more = linked(_still_apart(members, components(links), entities, threshold))
     reached = components(links.union(more))
     grouped = written(
         entities.join(reached, F.col("entity") == F.col("node"), "left")
