@@ -87,8 +87,8 @@ def contains_any(column: Column, words: list[str]) -> Column:
 
 
 def mentions(value: Column, words: list[str]) -> Column:
-    """The same for a computed value, which is worked out once."""
-    return let(value, lambda found: F.exists(constant(words), lambda word: F.contains(found, word)))
+    """The same for a computed value, by one pattern, so that it is worked out once and in generated code."""
+    return value.rlike("|".join(rf"\Q{word}\E" for word in words))
 
 
 def _plain(value):
@@ -106,7 +106,7 @@ def _ddl(value) -> str:
     if isinstance(value, tuple):
         return "struct<" + ",".join(f"{name}:{_ddl(part)}" for name, part in value) + ">"
     if isinstance(value, list):
-        return f"array<{_ddl(value[0])}>"
+        return f"array<{_ddl(value[0]) if value else 'string'}>"
     if isinstance(value, dict):
         return f"map<string,{_ddl(next(iter(value.values())))}>"
     return {bool: "boolean", int: "int", float: "double", str: "string"}[type(value)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,8 @@ MIN_CONFIDENCE = 0.2
 
 def is_test_path(path: Column) -> Column:
     """A path segment that is a test word, or a file name that contains one."""
-    words = text.constant(text_rules.TEST_SEGMENTS)
-    return text.let(
-        F.split(F.lower(path), r"[/\\]"),
-        lambda segments: F.arrays_overlap(segments, words)
-        | F.exists(words, lambda word: F.contains(F.element_at(segments, -1), word)),
-    )
+    word = "(?:" + "|".join(text_rules.TEST_SEGMENTS) + ")"
+    return F.lower(path).rlike(rf"(?:^|[/\\]){word}(?:[/\\]|$)|{word}[^/\\]*$")
 
 
 def adjusted_confidence(finding_confidence: Column, location: Column) -> Column:
@@ -46,43 +44,53 @@ def adjust_confidence(findings: DataFrame) -> DataFrame:
     """Set the confidence and drop what falls below the minimum.
 
     The value is kept or dropped inside a one-element array: a plain filter on
-    it would be pushed below the projection and work it out twice.
+    it would be pushed below the projection and work it out twice. All of it
+    stays in generated code.
     """
     value = adjusted_confidence(F.col("confidence"), F.col("location"))
-    kept = F.filter(F.array(F.struct(value.alias("confidence"))), lambda v: v["confidence"] >= MIN_CONFIDENCE)
+    none = F.lit(-1.0)
+    kept = F.array_remove(F.array(F.when(value >= MIN_CONFIDENCE, value).otherwise(none)), none)
     others = [c for c in findings.columns if c != "confidence"]
-    return findings.select(*others, F.inline(kept)).select(*findings.columns)
+    return findings.select(*others, F.explode(kept).alias("confidence")).select(*findings.columns)
 
 
 def sql_literal(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _tests(row: tuple, family: str, risk: str, key_size: str) -> str:
+    """When a requirement applies, in SQL; a missing key size satisfies no bound."""
+    _, _, families, risks, below, *_ = row
+    tests = [f"{family} IN ({', '.join(map(sql_literal, families))})"] if families else []
+    tests += [f"{risk} IN ({', '.join(map(sql_literal, risks))})"] if risks else []
+    tests += [f"{key_size} < {below}"] if below is not None else []
+    return " AND ".join(tests)
+
+
+def _told(description: str, family: str, name: str) -> str:
+    """A requirement's text with the finding's family and algorithm, in SQL."""
+    told = sql_literal(description)
+    for mark, value in (("{family}", family), ("{algorithm}", name)):
+        if mark in description:
+            told = f"replace({told}, '{mark}', {value})"
+    return told
+
+
 def compliance_refs(family: str = "algorithm.family", risk: str = "quantum_risk", key_size: str = "algorithm.key_size",
                     name: str = "algorithm.name", frameworks: list[str] | None = None) -> Column:
     """Requirements a finding falls under, as an array of structs.
 
     Arguments are SQL expressions over the finding. One literal test per
-    condition, made in a single call; a missing key size satisfies no bound.
+    condition, made in a single call.
     """
-    def told(description: str) -> str:
-        text_ = sql_literal(description)
-        for mark, value in (("{family}", family), ("{algorithm}", name)):
-            if mark in description:
-                text_ = f"replace({text_}, '{mark}', {value})"
-        return text_
-
     candidates = []
     for order, row in enumerate(compliance_rules.REQUIREMENTS):
-        framework, requirement, families, risks, below, status, deadline, description = row
+        framework, requirement, *_, status, deadline, description = row
         if frameworks is not None and framework not in frameworks:
             continue
-        tests = [f"{family} IN ({', '.join(map(sql_literal, families))})"] if families else []
-        tests += [f"{risk} IN ({', '.join(map(sql_literal, risks))})"] if risks else []
-        tests += [f"{key_size} < {below}"] if below is not None else []
         candidates.append(
-            f"CASE WHEN {' AND '.join(tests)} THEN named_struct('requirement_ord', {order}, 'framework', {sql_literal(framework)}, "
-            f"'requirement_id', {sql_literal(requirement)}, 'description', {told(description)}, 'status', {sql_literal(status)}, "
+            f"CASE WHEN {_tests(row, family, risk, key_size)} THEN named_struct('requirement_ord', {order}, 'framework', {sql_literal(framework)}, "
+            f"'requirement_id', {sql_literal(requirement)}, 'description', {_told(description, family, name)}, 'status', {sql_literal(status)}, "
             f"'deadline', CAST({sql_literal(deadline)} AS STRING)) END"
         )
     return F.expr(f"filter(array({', '.join(candidates)}), ref -> ref IS NOT NULL)")
@@ -93,13 +101,61 @@ def explode_compliance(findings: DataFrame, frameworks: list[str] | None = None)
     return findings.withColumn("ref", F.explode(compliance_refs(frameworks=frameworks))).select("*", "ref.*").drop("ref")
 
 
-def ref_text(ref: Column) -> Column:
-    return F.concat(
-        ref["framework"], F.lit(" "), ref["requirement_id"], F.lit(": "), ref["description"],
-        F.when(ref["deadline"].isNotNull(), F.concat(F.lit(" (deadline: "), ref["deadline"], F.lit(")"))).otherwise(F.lit("")),
+def _applies(row: tuple, family: str | None, risk: str | None, size_class: int, bounds: list[int]) -> bool:
+    """Whether a requirement holds for a family, a risk and a class of key sizes."""
+    _, _, families, risks, below, *_ = row
+    return (
+        (not families or family in families) and (not risks or risk in risks)
+        and (below is None or size_class < len(bounds) and bounds[size_class] <= below)
+    )
+
+
+def _filled(mark: str, column: str, told: Column) -> Column:
+    return F.replace(told, F.lit(mark), F.col(column))
+
+
+def compliance_strings(frameworks: list[str] | None = None) -> Column:
+    """The same as strings, looked up by family, risk and class of key sizes, on which alone they depend.
+
+    Only the algorithm's name, where a text has it, is filled in per finding.
+    """
+    rows = [r for r in compliance_rules.REQUIREMENTS if frameworks is None or r[0] in frameworks]
+    families = sorted({f for r in rows for f in r[2]})
+    risks = sorted({k for r in rows for k in r[3]})
+    bounds = sorted({r[4] for r in rows if r[4] is not None})
+
+    def texts(family: str | None, risk: str | None, size_class: int) -> list[str]:
+        return [
+            f"{r[0]} {r[1]}: {r[7].replace('{family}', family or '{family}')}" + (f" (deadline: {r[6]})" if r[6] else "")
+            for r in rows if _applies(r, family, risk, size_class, bounds)
+        ]
+
+    table = {
+        family or "": {
+            f"{risk or ''} {size}": texts(family, risk, size) for risk in [None, *risks] for size in range(len(bounds) + 1)
+        }
+        for family in [None, *families]
+    }
+    key_size = F.col("algorithm.key_size")
+    size_class = F.lit(str(len(bounds)))  # no bound holds, nor for a missing size
+    for i, bound in reversed(list(enumerate(bounds))):
+        size_class = F.when(key_size < bound, F.lit(str(i))).otherwise(size_class)
+
+    def known(column: Column, names: list[str]) -> Column:
+        return F.when(column.isin(names), column).otherwise(F.lit("")) if names else F.lit("")
+
+    found = F.try_element_at(
+        F.try_element_at(text.constant(table), known(F.col("algorithm.family"), families)),
+        F.concat(known(F.col("quantum_risk"), risks), F.lit(" "), size_class),
     )
+    for mark, value, left in (
+        ("{algorithm}", "algorithm.name", rows), ("{family}", "algorithm.family", [r for r in rows if not r[2]]),
+    ):
+        if any(mark in r[7] for r in left):
+            found = F.transform(found, partial(_filled, mark, value))
+    return found
 
 
 def attach_compliance(findings: DataFrame, frameworks: list[str] | None = None) -> DataFrame:
     """Replace the compliance strings of every finding."""
-    return findings.withColumn("compliance_refs", F.transform(compliance_refs(frameworks=frameworks), ref_text))
+    return findings.withColumn("compliance_refs", compliance_strings(frameworks))
