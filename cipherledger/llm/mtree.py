@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from cipherledger.llm import vectors
 
-PAGE = 64
+PAGE = 256
 FAN_OUT = 16
 SCALE = 1024
 
