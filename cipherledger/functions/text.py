@@ -16,9 +16,11 @@ WHITESPACE = (
 
 
 def decode_utf8(raw: Column) -> Column:
-    """Bytes as text; malformed sequences are left out."""
+    """Bytes as text; malformed sequences are left out, replacement characters of the text's own stay."""
     text = raw.cast("string")
-    repaired = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    sign, mark = F.lit("\ufffd"), F.lit("\ufdd0\ufdd1\ufdd0")
+    repaired = F.replace(F.make_valid_utf8(F.replace(text, sign, mark)), sign, F.lit(""))
+    repaired = F.replace(repaired, mark, sign)
     return F.when(F.is_valid_utf8(text), text).otherwise(repaired)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,13 @@ def with_names(files: DataFrame) -> DataFrame:
     return files.withColumn("name", text.basename(F.col("path"))).withColumn("suffix", text.suffix_of(F.col("name")))
 
 
+def _load(spark: SparkSession, targets: list[str], name_glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if name_glob:
+        reader = reader.option("pathGlobFilter", name_glob)
+    return with_names(reader.load(targets).select("path", "length", "content"))
+
+
 def read_files(spark: SparkSession, target: str, *, excludes: list[str] = (), name_glob: str | None = None) -> DataFrame:
     """Every file below a directory, or one file, as (path, name, suffix, length, content bytes).
 
@@ -22,14 +28,17 @@ def read_files(spark: SparkSession, target: str, *, excludes: list[str] = (), na
     opened. ``excludes`` are gitignore-style and relative to the target; a
     target that is itself a file is never excluded.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if name_glob:
-        reader = reader.option("pathGlobFilter", name_glob)
-    files = with_names(reader.load(target).select("path", "length", "content"))
-    if not excludes:
-        return files
-    relative = relative_to(F.col("path"), target)
-    return files.where((relative == "") | ~globs.is_excluded(relative, list(excludes)))
+    files = _load(spark, [target], name_glob)
+    return _without(files, [target], excludes)
+
+
+def _without(files: DataFrame, targets: list[str], excludes: list[str]) -> DataFrame:
+    """Files that no exclude names, read relative to the target they lie in."""
+    for target in targets if excludes else []:
+        relative = relative_to(F.col("path"), target)
+        inside = F.contains(F.col("path"), F.lit(target.rstrip("/"))) | F.lit(len(targets) == 1)
+        files = files.where(~inside | (relative == "") | ~globs.is_excluded(relative, list(excludes)))
+    return files
 
 
 def relative_to(path: Column, target: str) -> Column:
@@ -45,8 +54,8 @@ def _literal(value: str) -> str:
     return r"\Q" + value + r"\E"
 
 
-def read_targets(spark: SparkSession, targets: list[str], **options) -> DataFrame:
-    """Several targets at once; a target that does not exist has no files."""
+def read_targets(spark: SparkSession, targets: list[str], *, excludes: list[str] = (), name_glob: str | None = None) -> DataFrame:
+    """Several targets by one reader; a target that does not exist has no files."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     present = []
@@ -56,7 +65,7 @@ def read_targets(spark: SparkSession, targets: list[str], **options) -> DataFram
             present.append(target)
     if not present:
         return spark.createDataFrame([], "path string, length long, content binary, name string, suffix string")
-    return reduce(DataFrame.unionByName, [read_files(spark, t, **options) for t in present])
+    return _without(_load(spark, present, name_glob), present, excludes)
 
 
 def excluding(files: DataFrame, patterns: list[str], column: str = "path") -> DataFrame:

@@ -43,6 +43,8 @@ class SourceRule:
     recommendation: str | None = None
     severity_override: str | None = None
     quantum_risk_override: str | None = None
+    #: An algorithm of the rule's own, as a row of the dimension; else the key's.
+    algorithm: tuple | None = None
 
 
 _ALGORITHMS = {row[0]: row for row in dimensions.ALGORITHMS}
@@ -74,6 +76,31 @@ def load_source_rules(language: str | None = None, extra: list[SourceRule] = ())
     return [r for r in rules if (language is None or r.language == language) and is_valid(r.pattern)]
 
 
+def rules_of(table: DataFrame) -> list[SourceRule]:
+    """Line rules from a table: rule_id, pattern, and ``languages`` (an array) or ``language``.
+
+    Further columns are read if they are there: algorithm_key, message,
+    recommendation, severity, quantum_risk, and for an algorithm of the rule's
+    own algorithm_name, family, key_size. A rule of several languages becomes one
+    for each. Tables of more than ``MAX_RULES`` rows are refused.
+    """
+    rows = [row.asDict() for row in table.limit(MAX_RULES + 1).collect()]
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    found = []
+    for row in rows:
+        own = None
+        if row.get("algorithm_name"):
+            risk = row.get("quantum_risk") or "unknown"
+            own = (row["algorithm_name"], row.get("family") or "Unknown", row.get("key_size"), risk, [], None, "")
+        for language in row.get("languages") or [row["language"]]:
+            found.append(SourceRule(
+                row["rule_id"], language, row.get("algorithm_key") or row.get("algorithm_name") or "", row["pattern"], row.get("message"),
+                row.get("recommendation"), row.get("severity"), row.get("quantum_risk"), own,
+            ))
+    return found
+
+
 def refused_rules(spark: SparkSession, rules: list[SourceRule]) -> list[tuple[str, str]]:
     """(rule_id, reason) of the rules whose pattern can't run; a scan warns of them and runs the others."""
     why = refused(spark, [r.pattern for r in rules])
@@ -103,7 +130,7 @@ def resolve_rules(rules: list[SourceRule]) -> list[tuple]:
     """
     resolved = []
     for order, rule in enumerate(rules):
-        known = _ALGORITHMS.get(rule.algorithm_key)
+        known = rule.algorithm or _ALGORITHMS.get(rule.algorithm_key)
         algorithm = known or (rule.algorithm_key, "Unknown", None, "unknown", [], None, "")
         severity = dimensions.SEVERITY_OF_RISK[known[3]] if known else "medium"
         risk = rule.quantum_risk_override or algorithm[3]

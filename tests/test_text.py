@@ -76,6 +76,11 @@ def test_required_literals_are_in_every_match():
     assert checked > 300
 
 
+def test_own_replacement_characters_stay(spark):
+    raw = spark.createDataFrame([(b"a\xef\xbf\xbdb\xffc",), (b"a\xef\xbf\xbdb",), (b"\xfe",)], "raw binary")
+    assert [r[0] for r in raw.select(text.decode_utf8(F.col("raw"))).collect()] == ["a\ufffdbc", "a\ufffdb", ""]
+
+
 def test_flags_within_a_pattern_give_up_required_strings():
     for pattern in (r"(?i)md5", r"(?x) foo bar", r"(?ix)md5"):
         assert patterns.required_literals(pattern) is None

@@ -91,6 +91,42 @@ def line_rule_join(spark, sf_dir):
     return lines.match_lines_with_table(numbered, rules).select("path", "line_number", "rule_id")
 
 
+# several languages, a rule's own algorithm, severity and risk, flags within the pattern
+USER_RULES = [
+    ("OWN-HASH", ["python", "java", "go"], "(?i)md5", "MD5", None, None, None),
+    ("OWN-RANDOM", ["python", "php", "ruby"], "(?i)RANDOM|rand\\(", "PRNG-house", "Homegrown", "low", "weakened"),
+    ("OWN-WORD", ["javascript", "typescript", "rust", "c"], "(?is)the\\b", "Plain", "Words", "info", "safe"),
+]
+_KNOWN = {row[0]: row for row in dimensions.ALGORITHMS}
+
+
+def _user_rows() -> list[tuple]:
+    rows = []
+    for rule_id, languages, pattern, name, family, severity, risk in USER_RULES:
+        known = _KNOWN.get(name) if family is None else None
+        own_risk = known[3] if known else risk
+        for language in languages:
+            rows.append((rule_id, language, pattern, name, known[1] if known else family,
+                         severity or dimensions.SEVERITY_OF_RISK[own_risk], risk or own_risk))
+    return rows
+
+
+@query("user_rules", f"""WITH {corpus.CODE.sql()}, {ROUTED}, {sql_values(_user_rows(), 'own', 'rule_id, language, pattern, algorithm, family, severity, quantum_risk')}
+SELECT path, CAST(n AS INTEGER) AS line_number, rule_id, severity, quantum_risk, algorithm, family FROM routed JOIN own USING (language)
+WHERE regexp_matches(line, pattern)""")
+def user_rules(spark, sf_dir):
+    """L3, L4, P5: a user's rules as a table, with flags, several languages and their own algorithm"""
+    from cipherledger.plans.scan import detect
+
+    rules = spark.createDataFrame(
+        [(i, p, ls, n if f is None else None, s, r, None if f is None else n, f) for i, ls, p, n, f, s, r in USER_RULES],
+        "rule_id string, pattern string, languages array<string>, algorithm_key string, severity string, quantum_risk string, "
+        "algorithm_name string, family string",
+    )
+    found = detect(corpus.CODE.files(spark, sf_dir), detectors=["source"], rules=rules)
+    return flat(found).select("path", "line_number", "rule_id", "severity", "quantum_risk", "algorithm", "family")
+
+
 @query("line_literal_match", f"""WITH {SOURCE_HITS}
 SELECT path, CAST(n AS INTEGER) AS line_number, rule_id, coalesce(severity_override, {SEVERITY}) AS severity FROM hits JOIN algs ON algorithm_key = algs.name""")
 def line_literal_match(spark, sf_dir):
