@@ -15,6 +15,7 @@ import functools
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks and fragments kept per worker process: common ones stay at hand, memory doesn't grow with the input.
-CACHED = 300_000
+CACHED = 200_000
+#: Rows of an Arrow batch that are taken out at once.
+SLICE_ROWS = 256
 #: Texts are handled in runs of about this many characters, so memory doesn't follow the Arrow batch.
 CHUNK_CHARS = 1_000_000
 END = 256
@@ -231,6 +234,11 @@ class Vocabulary:
                 offer(before[i], i)
         return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
 
+    def forget(self) -> None:
+        """Give the cache's memory back: the worker process goes on to other work."""
+        self.known = self.special_ids()
+        self.fragments = {}
+
     # ---- ids to text
 
     def decode(self, ids: bytes) -> str:
@@ -257,6 +265,12 @@ def runs(texts: list[str]):
         yield begin, len(texts)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in small slices: what is made of its texts never fills memory as the whole batch would."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(at, SLICE_ROWS)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids``: ids of every whole text, packed as little-endian unsigned 32-bit integers.
 
@@ -266,10 +280,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def batches(source):
         vocabulary = load(path)
         for batch in source:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in runs(texts):
-                ids = vocabulary.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for some in slices(batch):
+                keys, texts = some.column(0), some.column(1).to_pylist()
+                for a, b in runs(texts):
+                    ids = vocabulary.encode(texts[a:b])
+                    yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        vocabulary.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(batches, "doc_id long, ids binary")

@@ -45,9 +45,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _sets(batch: pa.RecordBatch, column: int, n_words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Runs of a batch: where they begin, and their texts' sets."""
-    texts = batch.column(column).to_pylist()
-    for a, b in bpe.runs(texts):
-        yield a, shingle_sets([t.encode("utf-8").lower() for t in texts[a:b]], n_words)
+    begin = 0
+    for some in bpe.slices(batch):
+        texts = some.column(column).to_pylist()
+        for a, b in bpe.runs(texts):
+            yield begin + a, shingle_sets([t.encode("utf-8").lower() for t in texts[a:b]], n_words)
+        begin += len(texts)
 
 
 def _keys(sets: list[np.ndarray]) -> list[pa.Array]:

@@ -96,7 +96,7 @@ def train(labelled: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (some for whole in batches for some in bpe.slices(whole)):
             texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=object)
             for a, b in in_runs(texts):
                 counts = profiles(texts[a:b])
@@ -122,7 +122,7 @@ def train(labelled: DataFrame) -> Model:
     weights = odds.T.astype(np.float32)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in bpe.slices(whole)):
             said = margins(batch.column(0).to_pylist(), weights)
             right = (said * code[[place[x] for x in batch.column(1).to_pylist()]] > 0).sum(axis=0)
             bits = np.arange(code.shape[1])
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Only the text decides. Rows are judged one by one, so repeated rows and null ids stay; other columns are left out.
     """
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (some for whole in source for some in bpe.slices(whole)):
             names, score, unsure = predict(batch.column(1).to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(unsure)],
@@ -178,7 +178,7 @@ def recognised(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (some for whole in source for some in bpe.slices(whole)):
             unsure = predict(batch.column(at).to_pylist(), model)[2]
             yield batch.filter(pa.array(~unsure))
 

@@ -85,7 +85,7 @@ def scan(docs: DataFrame) -> DataFrame:
     other columns are left out.
     """
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (some for whole in source for some in bpe.slices(whole)):
             texts = batch.column(1).to_pylist()
             for a, b in bpe.runs(texts):
                 lower = [t.encode("utf-8").lower() for t in texts[a:b]]

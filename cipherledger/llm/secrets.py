@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cipherledger.llm import bpe
+
 ORDER = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -77,7 +79,7 @@ def samples_of(docs: DataFrame) -> DataFrame:
     Words of under 6 characters tell little and are left out.
     """
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in bpe.slices(whole)):
             samples, secret = [], []
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
@@ -184,7 +186,7 @@ def scan(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD) -> Da
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (some for whole in source for some in bpe.slices(whole)):
             found = find(batch.column(1).to_pylist(), model, threshold)
             spans = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in text] for text in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
@@ -208,7 +210,7 @@ def redact(docs: DataFrame, model: np.ndarray, by: str = "[SECRET]") -> DataFram
     at = docs.columns.index("text")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (some for whole in source for some in bpe.slices(whole)):
             texts = batch.column(at).to_pylist()
             found = find([t or "" for t in texts], model)
             clean = [mask(t, s, by) if s else t for t, s in zip(texts, found, strict=True)]
