@@ -51,7 +51,7 @@ def drain(result: DataFrame) -> None:
 
 def main() -> None:
     spark = session()
-    work = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    work = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("BENCH_WORK_DIR", "/tmp"))
     store = f"{work}/files"
     corpus.CODE.files(spark, SF_DIR).repartition(4 * int(CPUS)).write.parquet(store)
     files = spark.read.parquet(store)
