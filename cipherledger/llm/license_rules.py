@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 
 class Rule(NamedTuple):
-    """``gates``: strings that every match contains; ``priority``: the higher one wins an overlap."""
+    """``gates``: every match contains one of these strings; ``priority``: the higher one wins an overlap."""
 
     name: str
     label: str
@@ -31,7 +31,7 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-#: label: (string in every name, name, identifier as words, address as words or nothing)
+#: label: (strings, separated by |, of which every name holds one; name, identifier as words, address as words or nothing)
 LICENSES = {
     "mit": ("mit", r"mit (?:x11 )?licen[sc]e|expat licen[sc]e mit", "mit", "opensource org licenses mit"),
     "apache-2": ("apache", rf"apache (?:software )?licen[sc]e{V('2')}", "apache 2 0", "apache org licenses license 2 0"),
@@ -52,7 +52,7 @@ LICENSES = {
     "bsd-4": ("bsd", r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)(?: licen[sc]e)?", "bsd 4 clause", ""),
     "bsd-0": ("bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[sc]e)?", "0bsd", "opensource org licenses 0bsd"),
     "bsd": ("bsd", r"bsd(?: style)? licen[sc]e", "bsd", ""),
-    "isc": ("isc", r"isc licen[sc]e|internet systems consortium licen[sc]e", "isc", "opensource org licenses isc"),
+    "isc": ("isc|systems consortium", r"isc licen[sc]e|internet systems consortium licen[sc]e", "isc", "opensource org licenses isc"),
     "mpl-1.1": ("mozilla", rf"mozilla public licen[sc]e{V('1', '1')}", "mpl 1 1", "mozilla org mpl mpl 1 1"),
     "mpl-2": ("mozilla", rf"mozilla public licen[sc]e{V('2')}", "mpl 2 0", "mozilla org mpl 2 0"),
     "mpl": ("mozilla", r"mozilla public licen[sc]e", "mpl", "mozilla org mpl"),
@@ -87,7 +87,7 @@ LICENSES = {
     "ms-rl": ("microsoft reciprocal", r"microsoft reciprocal licen[sc]e", "ms rl", ""),
     "upl-1": ("universal permissive", rf"universal permissive licen[sc]e(?:{V('1')})?", "upl 1 0", ""),
     "ofl-1.1": ("open font", rf"sil open font licen[sc]e(?:{V('1', '1')})?", "ofl 1 1", "scripts sil org ofl"),
-    "odbl-1": ("open database", rf"open (?:data commons )?(?:open )?database licen[sc]e(?:{V('1')})?", "odbl 1 0", "opendatacommons org licenses odbl"),
+    "odbl-1": ("database", rf"open (?:data commons )?(?:open )?database licen[sc]e(?:{V('1')})?", "odbl 1 0", "opendatacommons org licenses odbl"),
     "pddl-1": ("public domain dedication", r"(?:open data commons )?public domain dedication and licen[sc]e", "pddl 1 0", "opendatacommons org licenses pddl"),
     "odc-by-1": ("open data commons", r"open data commons attribution licen[sc]e", "odc by 1 0", "opendatacommons org licenses by"),
     "sspl-1": ("server side", rf"server side public licen[sc]e(?:{V('1')})?", "sspl 1 0", ""),
@@ -99,7 +99,7 @@ LICENSES = {
     "cc-by-nc": ("commercial", rf"creative commons attribution non ?commercial(?:{V('[1-4]', '[05]')})?", r"cc by nc(?: [1-4] [05])?", "creativecommons org licenses by nc"),
     "cc-by-nc-sa": ("commercial", rf"creative commons attribution non ?commercial share ?alike(?:{V('[1-4]', '[05]')})?", r"cc by nc sa(?: [1-4] [05])?", "creativecommons org licenses by nc sa"),
     "cc-by-nc-nd": ("commercial", rf"creative commons attribution non ?commercial no ?derivs?(?:atives)?(?:{V('[1-4]', '[05]')})?", r"cc by nc nd(?: [1-4] [05])?", "creativecommons org licenses by nc nd"),
-    "cc0": ("cc0", rf"(?:creative commons (?:zero|cc0)|cc0)(?:{V('1')})?(?: universal)?", r"cc0(?: 1 0)?", "creativecommons org publicdomain zero"),
+    "cc0": ("cc0|commons zero", rf"(?:creative commons (?:zero|cc0)|cc0)(?:{V('1')})?(?: universal)?", r"cc0(?: 1 0)?", "creativecommons org publicdomain zero"),
 }
 
 #: label: (string in every match, words of the licence's own text)
@@ -130,13 +130,13 @@ def rules() -> list[Rule]:
     """All rules, in order of priority."""
     found = [Rule(f"base:{label}", label, (phrase.encode(),), _compiled(phrase), 100, 0.95) for phrase, label in BASE.items()]
     for label, (gate, name, short, address) in LICENSES.items():
-        key, first = gate.encode(), short.split(" ")[0].split("(")[0].encode()
+        keys, first = tuple(gate.encode().split(b"|")), short.split(" ")[0].split("(")[0].encode()
         found.append(Rule(f"tag:{label}", label, (b"spdx",), _compiled(rf"spdx licen[sc]e identifier (?:{short})"), 90, 1.0))
         if address:
             found.append(Rule(f"address:{label}", label, (address.encode(),), _compiled(address), 80, 0.9))
-        found.append(Rule(f"grant:{label}", label, (key,), _compiled(rf"{GRANT}(?:{name})"), 70, 0.95))
+        found.append(Rule(f"grant:{label}", label, keys, _compiled(rf"{GRANT}(?:{name})"), 70, 0.95))
         found.append(Rule(f"short:{label}", label, (first,), _compiled(rf"{GRANT}(?:{short})(?: licen[sc]e)?"), 60, 0.85))
-        found.append(Rule(f"name:{label}", label, (key,), _compiled(name), 50, 0.7))
+        found.append(Rule(f"name:{label}", label, keys, _compiled(name), 50, 0.7))
     for label, (gate, words) in CLAUSES.items():
         found.append(Rule(f"clause:{label}", label, (gate.encode(),), _compiled(words), 40, 0.8))
     return sorted(found, key=lambda r: -r.priority)

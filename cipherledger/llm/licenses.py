@@ -1,6 +1,6 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A rule's pattern runs only over texts that hold its keywords. Detections are places in words; they are taken in order of
+A rule's pattern runs only over texts that hold one of its keywords. Detections are places in words; they are taken in order of
 priority, longer ones first, and one that lies within a kept one is suppressed. Base phrases are never suppressed.
 """
 
@@ -34,11 +34,12 @@ DETECTION = pa.struct([
 
 
 @functools.lru_cache(maxsize=1)
-def by_first_gate() -> dict[bytes, list[Rule]]:
-    """Rules by their first keyword, so one search decides for all that share it."""
-    table: dict[bytes, list[Rule]] = {}
-    for rule in rules():
-        table.setdefault(rule.gates[0], []).append(rule)
+def by_gate() -> dict[bytes, list[tuple[int, Rule]]]:
+    """Numbered rules by keyword, so one search decides for all that share it."""
+    table: dict[bytes, list[tuple[int, Rule]]] = {}
+    for number, rule in enumerate(rules()):
+        for gate in rule.gates:
+            table.setdefault(gate, []).append((number, rule))
     return table
 
 
@@ -57,15 +58,12 @@ def detect(lower: bytes) -> list[tuple[int, int, Rule]]:
     line = b" ".join(words)
     starts: np.ndarray | None = None
     found = []
-    for gate, own in by_first_gate().items():
-        if gate not in line:
-            continue
-        for rule in own:
-            if all(g in line for g in rule.gates[1:]):
-                for m in rule.pattern.finditer(line):
-                    if starts is None:
-                        starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])]).tolist()
-                    found.append((bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1) - 1, rule))
+    opened = {number: rule for gate, own in by_gate().items() if gate in line for number, rule in own}
+    for rule in opened.values():
+        for m in rule.pattern.finditer(line):
+            if starts is None:
+                starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])]).tolist()
+            found.append((bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1) - 1, rule))
     return resolve(found)
 
 

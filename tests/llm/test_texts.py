@@ -185,6 +185,47 @@ def test_the_sieve_lets_every_rule_through():
     assert len(license_rules.rules()) > 200
 
 
+def alternatives(tree):
+    """One text for each way through a parsed pattern, a set of characters standing for its first."""
+    ways = [""]
+    for kind, what in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            own = [chr(what)]
+        elif name == "IN":
+            first, value = what[0]
+            own = {"LITERAL": lambda v: [chr(v)], "RANGE": lambda v: [chr(v[0])], "CATEGORY": lambda v: ["x"]}[str(first)](value)
+        elif name == "BRANCH":
+            own = [w for branch in what[1] for w in alternatives(branch)]
+        elif name == "SUBPATTERN":
+            own = alternatives(what[3])
+        elif name == "MAX_REPEAT":
+            own = alternatives(what[2]) + ([""] if what[0] == 0 else [])
+        else:
+            assert name == "ASSERT_NOT"
+            continue
+        ways = [a + b for a in ways for b in own]
+    return ways
+
+
+@pytest.mark.parametrize("family", ["base", "tag", "address", "grant", "short", "name", "clause"])
+def test_gates_and_sieve_hold_for_every_alternative(family):
+    for rule in license_rules.rules():
+        if rule.name.startswith(f"{family}:"):
+            for text in alternatives(re._parser.parse(rule.pattern.pattern.decode())):
+                raw = text.encode()
+                assert rule.pattern.fullmatch(raw), (rule.name, text)
+                assert any(g in raw for g in rule.gates) and any(s in raw for s in licenses.SIEVE), (rule.name, text)
+
+
+@pytest.mark.parametrize("text,label", [
+    ("licensed under the Creative Commons Zero v1.0 Universal", "cc0"), ("Internet Systems Consortium License", "isc"),
+    ("Open Data Commons Database License", "odbl-1"),
+])
+def test_every_name_of_a_licence_is_found(text, label):
+    assert {r.label for *_, r in licenses.detect(text.encode().lower())} == {label}
+
+
 def test_contained_detections_of_lower_rank_go():
     labels = [{r.label for *_, r in licenses.detect(t.encode().lower())} for t in LICENSED]
     assert labels[5] == {"lgpl-2.1"} and labels[6] == {"gpl-3"} and labels[7] == {"cc-by-nc-sa"}
