@@ -98,11 +98,11 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def chunks(self, text: str) -> list[str]:
-        """What stands between white space, and special tokens, in order."""
+    def chunks(self, text: str) -> list[str | tuple[str]]:
+        """What stands between white space, and special tokens (each in a tuple, as a chunk may read the same), in order."""
         if "<|" in text:
             parts = self.split_special.split(text)
-            return [c for p in parts for c in ([p] if p in self.special else self.between_white(self.normal(p)))]
+            return [c for p in parts for c in ([(p,)] if p in self.special else self.between_white(self.normal(p)))]
         return self.between_white(self.normal(text))
 
     def between_white(self, text: str) -> list[str]:
@@ -124,8 +124,8 @@ class Vocabulary:
         find = self.known.__getitem__
         return [b"".join(map(find, text)) for text in cut]
 
-    def special_ids(self) -> dict[str, bytes]:
-        return {token: number.to_bytes(4, "little") for token, number in self.special.items()}
+    def special_ids(self) -> dict[str | tuple[str], bytes]:
+        return {(token,): number.to_bytes(4, "little") for token, number in self.special.items()}
 
     def _learn(self, chunks: list[str]) -> None:
         """Cut chunks at certain boundaries, merge the distinct fragments, put the chunks together."""

@@ -33,6 +33,12 @@ def test_ids_and_text_are_those_of_the_library(documents, library):
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", ["<|EndOfText|>", "a <|STARTOFTEXT|> b", "<|endoftext|> <|ENDOFTEXT|> <|endoftext|>"])
+def test_special_strings_in_other_case_are_ordinary_words(library, text):
+    ids = bpe.load(queries.VOCABULARY).encode([text])[0]
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_no_merge_crosses_a_cut():
     own = bpe.load(queries.VOCABULARY)
     byte_of = {c: i for i, c in enumerate(bpe.byte_characters())}
