@@ -123,11 +123,13 @@ def train(labelled: DataFrame) -> Model:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (some for whole in batches for some in bpe.slices(whole)):
-            said = margins(batch.column(0).to_pylist(), weights)
-            right = (said * code[[place[x] for x in batch.column(1).to_pylist()]] > 0).sum(axis=0)
+            # a language is not learned if none of its texts has an n-gram
+            rows = [(t, place[x]) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x in place]
+            said = margins([t for t, _ in rows], weights)
+            right = (said * code[[k for _, k in rows]] > 0).sum(axis=0)
             bits = np.arange(code.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bits), pa.array(right), pa.array(np.full(len(bits), batch.num_rows))], ["bit", "right", "n"]
+                [pa.array(bits), pa.array(right), pa.array(np.full(len(bits), len(rows)))], ["bit", "right", "n"]
             )
 
     trust = np.ones(code.shape[1])

@@ -270,3 +270,9 @@ def test_languages_odd_rows(spark, odd_docs, no_docs, documents):
     for few in (no_docs, odd_docs.where("lang = 'en'"), odd_docs):
         small = languages.train(few)
         assert set(small.languages) <= {"en", "fr"} and languages.identify(odd_docs, small).count() == odd_docs.count()
+
+
+def test_languages_without_a_letter_are_not_learned(spark, odd_docs):
+    odd = spark.createDataFrame([(20, "", "xx"), (21, "2024 12", "zxx")], "doc_id long, text string, lang string")
+    model = languages.train(odd_docs.select("doc_id", "text", "lang").union(odd))
+    assert model.languages == ["en", "fr"] and languages.identify(odd_docs, model).count() == odd_docs.count()
