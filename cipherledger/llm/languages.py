@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 
 from cipherledger.llm import bpe
 
-#: The model is fitted on about this many labelled rows (all, if fewer), chosen by a hash of doc_id.
+#: The model is fitted on one share of the labelled rows, chosen by a hash: this many to twice as many (all, if fewer).
 TRAIN_DOCS = 20_000
+#: Of each language at least this many rows are used, and all, if it has fewer than twice as many.
+TRAIN_DOCS_EACH = 1_000
 BUCKETS = 8192
 #: A text is ambiguous if the chosen language has less than this share against the next.
 CLEAR = 0.6
 UNKNOWN = "und"
 HAS_LETTER = regex.compile(r"\p{L}")
+#: What an n-gram needs.
+TEACHES = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 #: ASCII that is no letter counts as a blank.
 BYTES = np.array([b if b >= 0x80 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint32)
 TEXTS_AT_ONCE = 64
@@ -86,13 +90,20 @@ def margins(texts: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame) -> Model:
-    """A model from rows ``doc_id, text, lang``; rows without text or language teach nothing.
+    """A model from rows ``doc_id, text, lang``; rows without a letter or language teach nothing.
 
-    About TRAIN_DOCS rows are used. What comes together on the driver are counts by language and bucket.
+    At most about 2 x TRAIN_DOCS rows and 2 x TRAIN_DOCS_EACH of each language are used, and some of every language that
+    has any. What comes together on the driver are counts by language and bucket.
     """
-    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    share = max(1, known.count() // TRAIN_DOCS)
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text", "lang")
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(TEACHES)).select(
+        "text", "lang", F.xxhash64("doc_id", "text").alias("hash")
+    )
+    held = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).collect()
+    common = max(1, sum(r["n"] for r in held) // TRAIN_DOCS)
+    shares = [(r["lang"], max(1, min(common, r["n"] // TRAIN_DOCS_EACH)), r["least"]) for r in held]
+    # a language's sample is dealt from its least hash, so it is never empty
+    dealt = known.sparkSession.createDataFrame([(lang, n, least % n) for lang, n, least in shares], "lang string, share long, rest long")
+    sample = known.join(F.broadcast(dealt), "lang").where(F.pmod("hash", "share") == F.col("rest")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}

@@ -276,3 +276,11 @@ def test_languages_without_a_letter_are_not_learned(spark, odd_docs):
     odd = spark.createDataFrame([(20, "", "xx"), (21, "2024 12", "zxx")], "doc_id long, text string, lang string")
     model = languages.train(odd_docs.select("doc_id", "text", "lang").union(odd))
     assert model.languages == ["en", "fr"] and languages.identify(odd_docs, model).count() == odd_docs.count()
+
+
+def test_rare_languages_are_learned_from_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(languages, "TRAIN_DOCS", 20)
+    monkeypatch.setattr(languages, "TRAIN_DOCS_EACH", 5)
+    rows = [(i, f"the {i} words of this text", "en") for i in range(900)] + [(i, "", f"y{i}") for i in range(5)]
+    rows += [(1000 + i, f"{i} zwölf boxkämpfer", f"x{i}") for i in range(5)] + [(None, "le même", "fr")] * 60
+    assert languages.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["en", "fr", "x0", "x1", "x2", "x3", "x4"]
