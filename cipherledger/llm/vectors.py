@@ -34,6 +34,12 @@ def once_each(queries: DataFrame) -> DataFrame:
     return queries.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
 
 
+def few_copies(rows: DataFrame, k: int) -> DataFrame:
+    """Of equal rows k at most: a query's k best can hold no more of them, and blocks stay bounded."""
+    counted = rows.groupBy("vec_id", "vector", "dim").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    return counted.select("vec_id", "vector", "dim", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")
+
+
 def _packed(rows: DataFrame, n_blocks: int, make: Callable[[np.ndarray, np.ndarray], object]) -> DataFrame:
     """``dim, block, held``: what ``make`` makes of the ids and vectors of each block."""
     def pack(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
@@ -60,7 +66,7 @@ def search(
     """
     n_blocks = max(LEAST_BLOCKS, -(-candidates.count() // BLOCK_ROWS))
     n_queries = max(1, -(-queries.count() // QUERY_ROWS))
-    blocks = _packed(candidates, n_blocks, make).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    blocks = _packed(few_copies(candidates, k), n_blocks, make).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
     asked = _packed(queries, n_queries, lambda ids, vectors: (ids, vectors)).select(
         "dim", F.col("block").alias("part"), F.col("held").alias("asked"),
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),

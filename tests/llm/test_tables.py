@@ -5,11 +5,12 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cipherledger.llm import jaccard, lines, mtree, neighbours, queries, sharding, shingles
+from cipherledger.llm import jaccard, lines, mtree, neighbours, queries, sharding, shingles, vectors
 from cipherledger.llm.components import components
 from tests.llm.conftest import SF
 
@@ -192,6 +193,17 @@ def test_searches_by_brute_force(spark, vectors, run, step, k, measure, skip_zer
     assert run(vectors.limit(0), vectors.limit(0), k).count() == 0
 
 
+def test_copies_of_a_vector_leave_blocks_bounded(spark):
+    rows = spark.createDataFrame([(1, [9.0, 9.0])] * 3000 + [(i, [1.0, i / 100]) for i in range(2, 50)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id = 2")
+    assert [r.vec_id for r in mtree.top_k(rows, asked, 5).collect()] == [1] * 5
+    sizes = vectors.search(
+        vectors.usable(rows), vectors.once_each(vectors.usable(asked)), 5, lambda ids, _: len(ids),
+        lambda size, own: pd.DataFrame({"query_id": own[0], "vec_id": own[0], "score": size}), "long",
+    )
+    assert sizes.agg(F.max("score")).first()[0] <= 5 + 48
+
+
 def test_tree_search_equals_a_scan():
     rng = np.random.default_rng(2)
     centres = rng.integers(-900, 900, (6, 12))
