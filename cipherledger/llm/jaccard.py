@@ -215,7 +215,7 @@ def _near(pairs: DataFrame, entities: DataFrame, threshold: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """``entity, tokens``: the sets of the wanted entities, made again from their texts.
+    """``entity, tokens``: the sets of the wanted entities, each once, made again from their texts.
 
     A filter of bounded size over the wanted ids goes to the texts, so that no text is shuffled; the join decides.
     """
@@ -238,18 +238,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
             batch = batch.filter(pa.array((marked[0] & marked[1]).astype(bool)))
             for a, sets in _sets(batch, 1, n_words):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(sets)), *_keys(sets), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["doc", "high", "low", "tokens"],
+                    [*_keys(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["high", "low", "tokens"]
                 )
 
     first, second = cells("doc_id")
     made = _rows(docs).select("doc_id", "text", first.alias("first"), second.alias("second")).mapInArrow(
-        collect, "doc long, high long, low long, tokens binary"
+        collect, "high long, low long, tokens binary"
     )
-    # an id may stand for several texts; the entity is the one with its key
-    return made.join(
-        wanted, F.col("doc").eqNullSafe(F.col("doc_id")) & (made["high"] == wanted["high"]) & (made["low"] == wanted["low"])
-    ).select("entity", "tokens")
+    # an id may stand for several texts, and a text may be repeated; an entity is what has its key
+    return made.dropDuplicates(["high", "low"]).join(wanted, ["high", "low"]).select("entity", "tokens")
 
 
 def _verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:

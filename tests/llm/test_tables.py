@@ -139,6 +139,14 @@ def test_jaccard_odd_rows(odd_docs, no_docs):
     assert jaccard.join(no_docs, 3, 90).count() == 0
 
 
+def test_sets_to_verify_stand_once(spark):
+    """Repeated rows must not meet each other's repeats."""
+    rows = spark.createDataFrame([(1, "a b c d e")] * 40 + [(None, "f g h i")] * 30 + [(1, "k l m n")], "doc_id long, text string")
+    wanted = jaccard.index(rows, 3, 90).groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("entity"))
+    made = jaccard._sets_of(rows, wanted.where("entity > 2 OR doc_id IS NULL"), 3).collect()
+    assert sorted((r.entity, len(r.tokens)) for r in made) == [(2, 16), (3, 24)]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (200, 201), (201, 200)]
     rows = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
