@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bpe, jaccard, languages, licenses, lines, mtree, neighbours, packing, secrets, sharding
+from cipherledger.llm import (
+    bpe,
+    jaccard,
+    languages,
+    licenses,
+    lines,
+    mtree,
+    neighbours,
+    packing,
+    prefix_counts,
+    secrets,
+    sharding,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +183,10 @@ GROUP BY d.doc_id, d.text
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose three-word shingles are equal by nine tenths."""
     return jaccard.join(table(spark, sf_dir, "documents"), 3, 90)
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, from the tables of its prefixes."""
+    counted = prefix_counts.count_prefixes(table(spark, sf_dir, "documents"), VOCABULARY)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
