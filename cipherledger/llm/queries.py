@@ -20,6 +20,8 @@ from cipherledger.llm import (
     prefix_counts,
     secrets,
     sharding,
+    trie,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +192,55 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, from the tables of its prefixes."""
     counted = prefix_counts.count_prefixes(table(spark, sf_dir, "documents"), VOCABULARY)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 components of largest variance, to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 32)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations: each begins with up to five turns of its hundred's first."""
+    turns = table(spark, sf_dir, "conversations")
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    rebuilt = trie.with_heads(trie.own_paths(turns), F.col("conv_id") - F.col("conv_id") % 100, head, 5)
+    return trie.nodes(rebuilt).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH own AS (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns,
+        list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))
+        ) AS crc
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+    SELECT *, (xor(crc, 4294967295) % 6)::BIGINT AS head FROM own
+), rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(list_slice(b.turns, 1, o.head), []), list_slice(o.turns, o.head + 1, len(o.turns))) AS turns
+    FROM heads o LEFT JOIN heads b ON b.conv_id = o.conv_id - o.conv_id % 100
+), places AS (
+    SELECT conv_id, d, len(turns) = d AS ends, md5(to_json(list_slice(turns, 1, d))::VARCHAR) AS name,
+        CASE WHEN d > 0 THEN md5(to_json(list_slice(turns, 1, d - 1))::VARCHAR) END AS parent,
+        CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS size
+    FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT name, d, any_value(parent) AS parent, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM places GROUP BY name, d
+), kids AS (
+    SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), sums AS (
+    SELECT p.name, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved_tokens
+    FROM nodes n JOIN places p ON p.conv_id = n.conv_id AND p.d <= n.d LEFT JOIN kids k ON k.parent = n.name
+    GROUP BY p.name
+)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+    s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.name = n.name LEFT JOIN nodes u ON u.name = n.parent LEFT JOIN kids k ON k.parent = n.name
+"""
