@@ -27,7 +27,8 @@ from pyspark.sql.types import LongType
 from cipherledger.llm import bpe
 
 #: Bytes that a worker's tables of words, of chunks and of token pairs may take, each; what is there goes when more comes.
-CACHE_BYTES = 48_000_000
+#: Words stay from task to task, chunks go with the task.
+CACHE_BYTES = 96_000_000
 #: What an entry of a table costs besides the characters of its key and value.
 ENTRY_BYTES = 220
 #: A change of the count beyond this is written in four bytes, as are all others of that text.
@@ -171,9 +172,10 @@ class PrefixCounter:
         self.words: dict[str, bytes] = {}
         self.wide: dict[str, np.ndarray] = {}
         self.of_words = 0
-        self._forget_chunks()
+        self.forget_chunks()
 
-    def _forget_chunks(self) -> None:
+    def forget_chunks(self) -> None:
+        """Give the memory of chunks back; words stay."""
         self.chunks: dict[str, bytes] = {}
         self.of_chunks = 0
 
@@ -218,7 +220,7 @@ class PrefixCounter:
         if self.of_words > CACHE_BYTES:
             self.forget()
         elif self.of_chunks > CACHE_BYTES:
-            self._forget_chunks()
+            self.forget_chunks()
         missing = [p for p in wanted if p not in self.chunks]
         white = [p for p in missing if p.isspace() and not self.vocabulary.find_words_and_breaks(p.replace("\n", " "))]
         for p in white:
@@ -288,7 +290,7 @@ def count_prefixes(docs: DataFrame, path: str) -> DataFrame:
                         ],
                         ["doc_id", "n_bytes", "n_tokens", "prefixes"],
                     )
-        counter.forget()
+        counter.forget_chunks()
         pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
