@@ -19,11 +19,12 @@ def is_test_path(path: Column) -> Column:
     return F.lower(path).rlike(rf"(?:^|[/\\]){word}(?:[/\\]|$)|{word}[^/\\]*$")
 
 
-def adjusted_confidence(finding_confidence: Column, location: Column) -> Column:
+def adjusted_confidence(finding_confidence: Column, location: Column, in_test: Column | None = None) -> Column:
     """Confidence after five steps in this order, on plain doubles.
 
     A comment line sets the value, the other steps add or subtract; the order
     and the unrounded arithmetic decide what falls below the threshold.
+    ``in_test`` says of the location's path what ``is_test_path`` would.
     """
     line = location["line_content"]
     around = F.lower(F.array_join(F.concat(location["context_before"], location["context_after"]), " "))
@@ -32,7 +33,7 @@ def adjusted_confidence(finding_confidence: Column, location: Column) -> Column:
         return F.when(condition, F.lit(amount)).otherwise(F.lit(0.0))
 
     # each step names the value once; a value never exceeds 1 before step four
-    value = finding_confidence - when(is_test_path(location["file_path"]), 0.3)
+    value = finding_confidence - when(is_test_path(location["file_path"]) if in_test is None else in_test, 0.3)
     value = value - when(text.mentions(F.lower(line), text_rules.SUPPRESSIONS), 0.5)
     value = F.when(line.rlike("(?U)" + text_rules.COMMENT_LINE), F.lit(0.1)).otherwise(value)
     value = F.least(value + when(text.mentions(around, text_rules.SENSITIVE_WORDS), 0.2), F.lit(1.0))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from cipherledger import schema
 from cipherledger.fixed.dimensions import DETECTORS
 from cipherledger.functions import text
+from cipherledger.operators import enrich
 from cipherledger.sources import rules as rule_tables
 
 HITS = (
@@ -132,6 +133,52 @@ def find(files: DataFrame, builders: list[Builder]) -> DataFrame:
 
 def find_with(files: DataFrame, detectors: list[Detector]) -> DataFrame:
     """The same for assembled detectors; they are expressions and fit any files table."""
+    rows, every, rules = _arrays(files, detectors)
+    return _with_rules(rows.select("path", F.inline(every)), rules)
+
+
+def find_first(files: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """Findings with their confidence, the unlikely ones and duplicates left out (E1, R8, W1), still in one pass.
+
+    All findings of a file stand in its row's array, so what they repeat is dropped there: the array is sorted by rule,
+    line and order, and a hit goes where its left neighbour has the same rule and line. Nothing is shuffled. A path must
+    name one row of ``files``.
+    """
+    rows, every, rules = _arrays(files, detectors)
+    if not rules:
+        return find_with(files, detectors)
+    told = text.constant([
+        (("rule_id", r.rule_id), ("detector", DETECTORS.index(r.scanner)), ("confidence", float(r.confidence))) for r in rules
+    ])
+
+    def judged(hit):
+        def with_rule(rule):
+            place = F.struct(
+                hit["line"].alias("line_content"), hit["context_before"].alias("context_before"), hit["context_after"].alias("context_after")
+            )
+            return F.struct(
+                F.concat(rule["rule_id"], F.coalesce(hit["tail"], F.lit(""))).alias("rule_id"), hit["line_number"].alias("line_number"),
+                rule["detector"].alias("detector"), hit["a"].alias("a"), hit["b"].alias("b"), hit["c"].alias("c"),
+                enrich.adjusted_confidence(rule["confidence"], place, F.col("in_test")).alias("confidence"), hit.alias("hit"),
+            )
+
+        return text.let(F.get(told, hit["rule_ord"]), with_rule)
+
+    def first_of_each(ordered):
+        def is_first(found, i):
+            left = F.get(ordered, i - 1)
+            return (i == 0) | (left["rule_id"] != found["rule_id"]) | (left["line_number"] != found["line_number"])
+
+        return F.filter(ordered, is_first)
+
+    likely = F.filter(F.transform(every, judged), lambda found: found["confidence"] >= enrich.MIN_CONFIDENCE)
+    kept = F.transform(text.let(F.sort_array(likely), first_of_each), lambda found: F.struct(found["confidence"].alias("own"), found["hit"].alias("hit")))
+    rows = rows.withColumn("in_test", enrich.is_test_path(F.col("path")))
+    return _with_rules(rows.select("path", F.inline(kept)).select("path", "own", "hit.*"), rules, F.col("own"))
+
+
+def _arrays(files: DataFrame, detectors: list[Detector]) -> tuple[DataFrame, Column, list[Rule]]:
+    """Texts with what the detectors prepare, the array of all their hits, and their rules."""
     prepared = [column.alias(name) for d in detectors for name, column in d.prepared.items()]
     rows = files.select("path", "name", "suffix", "length", "content", *prepared)
     wanted = [d.wants_lines for d in detectors if d.wants_lines is not None]
@@ -139,10 +186,10 @@ def find_with(files: DataFrame, detectors: list[Detector]) -> DataFrame:
         cut = reduce(lambda x, y: x | y, [F.coalesce(w, F.lit(False)) for w in wanted])
         rows = rows.withColumn("lines", F.when(cut, text.split_lines(F.col("content"))))
     every = F.concat(*[F.coalesce(d.hits.cast(HITS), none()) for d in detectors])
-    return _with_rules(rows.select("path", F.inline(every)), [r for d in detectors for r in d.rules])
+    return rows, every, [r for d in detectors for r in d.rules]
 
 
-def _with_rules(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+def _with_rules(hits: DataFrame, rules: list[Rule], confidence: Column | None = None) -> DataFrame:
     dimension = rule_tables.table(hits.sparkSession, [
         (i, r.rule_id, r.scanner, DETECTORS.index(r.scanner), r.severity, r.quantum_risk, r.algorithm, r.message,
          r.recommendation, r.confidence)
@@ -163,7 +210,7 @@ def _with_rules(hits: DataFrame, rules: list[Rule]) -> DataFrame:
         told("message").alias("message"),
         told("recommendation").alias("recommendation"),
         F.array().cast("array<string>").alias("compliance_refs"),
-        "confidence",
+        (F.col("confidence") if confidence is None else confidence).alias("confidence"),
         "scanner_type",
         F.struct("detector", "path", "a", "b", "c").alias("ord"),
     )

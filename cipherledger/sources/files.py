@@ -33,29 +33,35 @@ def read_files(spark: SparkSession, target: str, *, excludes: list[str] = (), na
 
 
 def _without(files: DataFrame, targets: list[str], excludes: list[str]) -> DataFrame:
-    """Files that no exclude names, read relative to the target they lie in."""
-    for target in targets if excludes else []:
-        relative = relative_to(F.col("path"), target)
-        inside = F.contains(F.col("path"), F.lit(target.rstrip("/"))) | F.lit(len(targets) == 1)
-        files = files.where(~inside | (relative == "") | ~globs.is_excluded(relative, list(excludes)))
-    return files
+    """Files that no exclude names, read relative to the target they lie in; of nested targets, the innermost."""
+    if not excludes:
+        return files
+    relative = F.col("path")
+    for target in sorted(targets, key=len):  # a longer one within a shorter one is asked first
+        root = _plain_path(F.lit(target.rstrip("/")))
+        inside = _is_inside(_plain_path(F.col("path")), root)
+        relative = F.when(inside, relative_to(F.col("path"), target)).otherwise(relative)
+    return files.where((relative == "") | ~globs.is_excluded(relative, list(excludes)))
 
 
-def relative_to(path: Column, target: str) -> Column:
-    """Path below a target; empty for the target itself."""
-    root = target.rstrip("/")
-    return F.ltrim(
-        F.when(F.contains(path, F.lit(root)), F.element_at(F.split(path, _literal(root), 2), -1)).otherwise(path),
-        F.lit("/"),
-    )
+def _plain_path(path: Column) -> Column:
+    """A path without scheme and host, so that one spelling can be compared with another."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
+def _is_inside(path: Column, root: Column) -> Column:
+    """By whole segments: ``/a/bc`` is not inside ``/a/b``."""
+    return (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
 
 
-def _literal(value: str) -> str:
-    return r"\Q" + value + r"\E"
+def relative_to(path: Column, target: str) -> Column:
+    """Path below a target; empty for the target itself, the whole path outside it."""
+    plain, root = _plain_path(path), _plain_path(F.lit(target.rstrip("/")))
+    return F.when(_is_inside(plain, root), F.ltrim(F.substr(plain, F.length(root) + 1), F.lit("/"))).otherwise(path)
 
 
 def read_targets(spark: SparkSession, targets: list[str], *, excludes: list[str] = (), name_glob: str | None = None) -> DataFrame:
-    """Several targets by one reader; a target that does not exist has no files."""
+    """Several targets by one reader; a target that does not exist has no files, one within another adds none."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     present = []
@@ -65,7 +71,13 @@ def read_targets(spark: SparkSession, targets: list[str], *, excludes: list[str]
             present.append(target)
     if not present:
         return spark.createDataFrame([], "path string, length long, content binary, name string, suffix string")
-    return _without(_load(spark, present, name_glob), present, excludes)
+    outer = [t for t in present if not any(o != t and _within(t, o) for o in present)]
+    return _without(_load(spark, list(dict.fromkeys(outer)), name_glob), present, excludes)
+
+
+def _within(target: str, other: str) -> bool:
+    """Whether a target lies below another one."""
+    return target.rstrip("/").startswith(other.rstrip("/") + "/")
 
 
 def excluding(files: DataFrame, patterns: list[str], column: str = "path") -> DataFrame:

@@ -110,6 +110,50 @@ def test_files_are_read_once(spark, tmp_path):
     assert text.count("FileScan") == 1 and "Exchange hashpartitioning" not in text and "CartesianProduct" not in text
 
 
+def test_a_text_scan_shuffles_nothing(spark, tmp_path):
+    plan = scan(read_files(spark, plant(tmp_path)), detectors=["source", "config", "dependency", "secrets", "iac", "container"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and text.count("Exchange") == text.count("BroadcastExchange")
+    assert "Sort" not in text and "Window" not in text
+
+
+def test_duplicates_dropped_in_the_row_are_those_dropped_by_a_window(spark, make_files):
+    twice = "h = hashlib.md5(x); g = hashlib.md5(y)\nrequire_once = sha1(x)  # nosec\n"
+    files = make_files({
+        "tests/a.py": twice * 5, "b.py": "# demo\n" + twice, "pom.xml": "<dependency>\n<artifactId>jasypt</artifactId>\n</dependency>\n" * 3,
+        "sshd_config": "Ciphers 3des-cbc,3des-cbc,arcfour\n" * 2, "n.conf": "ssl_ciphers RC4-SHA:RC4-SHA:DES-CBC3-SHA;\n",
+        "m.tf": "rsa_bits = 2048 rsa_bits = 2048\n" * 2, "empty.py": "", "go.mod": "require golang.org/x/crypto v0\n" * 2,
+    })
+    one_by_one = finish(detect(files))
+    in_rows = scan(files)
+    columns = ["rule_id", "severity", "algorithm", "location", "message", "confidence", "compliance_refs", "scanner_type", "ord"]
+    assert in_rows.select(columns).exceptAll(one_by_one.select(columns)).count() == 0
+    assert one_by_one.select(columns).exceptAll(in_rows.select(columns)).count() == 0 and in_rows.count() < detect(files).count()
+    own = [SourceRule("SAME", lang, "MD5", pattern) for lang in ("python",) for pattern in ("md5", "hashlib", "h =")]
+    assert places(scan(files, detectors=["source"], rules=own)) == places(finish(detect(files, detectors=["source"], rules=own)))
+
+
+def test_domains_and_calls_are_inputs_of_a_scan(spark):
+    domains = spark.createDataFrame([("a.org",), ("b.org",)], "domain string")
+    records = spark.createDataFrame([("b.org",)], "domain string")
+    calls = spark.createDataFrame([("m.py", 3, "hashlib.md5", None, "h = hashlib.md5(x)")], schema.CALLS)
+    found = scan(domains=domains, tlsa_records=records, calls=calls)
+    assert short(found) == [("a.org", "NET-DNS-NO-DANE"), ("m.py", "AST-PY-MD5")]
+    assert short(scan(domains=domains)) == [("a.org", "NET-DNS-NO-DANE"), ("b.org", "NET-DNS-NO-DANE")]
+    assert scan(domains=domains, calls=calls, profile="quick").count() == 1
+
+
+def test_targets_are_told_apart_by_whole_segments(spark, tmp_path):
+    for path in ("a/x.py", "ab/x.py", "a/sub/build/x.py", "a/build/y.py"):
+        os.makedirs(os.path.dirname(tmp_path / path), exist_ok=True)
+        (tmp_path / path).write_text("x")
+    both = read_targets(spark, [f"{tmp_path}/a", f"{tmp_path}/ab"], excludes=["/x.py"])
+    assert sorted(r["path"].split(str(tmp_path))[1] for r in both.collect()) == ["/a/build/y.py", "/a/sub/build/x.py"]
+    # a target within another adds no file twice, and anchored excludes are read from the innermost
+    nested = read_targets(spark, [f"{tmp_path}/a", f"{tmp_path}/a/sub"], excludes=["/build/"])
+    assert sorted(r["path"].split(str(tmp_path))[1] for r in nested.collect()) == ["/a/x.py"]
+
+
 def test_entropy_is_worked_out_once(spark, tmp_path):
     plan = detect_binary.detect_entropy(read_files(spark, plant(tmp_path)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
