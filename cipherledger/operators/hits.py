@@ -133,7 +133,7 @@ def find(files: DataFrame, builders: list[Builder]) -> DataFrame:
 
 def find_with(files: DataFrame, detectors: list[Detector]) -> DataFrame:
     """The same for assembled detectors; they are expressions and fit any files table."""
-    rows, every, rules = _arrays(files, detectors)
+    rows, every, rules = with_arrays(files, detectors)
     return _with_rules(rows.select("path", F.inline(every)), rules)
 
 
@@ -144,9 +144,14 @@ def find_first(files: DataFrame, detectors: list[Detector]) -> DataFrame:
     line and order, and a hit goes where its left neighbour has the same rule and line. Nothing is shuffled. A path must
     name one row of ``files``.
     """
-    rows, every, rules = _arrays(files, detectors)
+    rows, every, rules = with_arrays(files, detectors)
+    return finished(rows.select("path", every.alias("hits")), rules)
+
+
+def finished(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Findings of ``path, hits``, with confidence and without the unlikely ones and duplicates; a row has all hits of its lines."""
     if not rules:
-        return find_with(files, detectors)
+        return _with_rules(rows.select("path", F.inline("hits")), rules)
     told = text.constant([
         (("rule_id", r.rule_id), ("detector", DETECTORS.index(r.scanner)), ("confidence", float(r.confidence))) for r in rules
     ])
@@ -171,20 +176,25 @@ def find_first(files: DataFrame, detectors: list[Detector]) -> DataFrame:
 
         return F.filter(ordered, is_first)
 
-    likely = F.filter(F.transform(every, judged), lambda found: found["confidence"] >= enrich.MIN_CONFIDENCE)
+    likely = F.filter(F.transform("hits", judged), lambda found: found["confidence"] >= enrich.MIN_CONFIDENCE)
     kept = F.transform(text.let(F.sort_array(likely), first_of_each), lambda found: F.struct(found["confidence"].alias("own"), found["hit"].alias("hit")))
     rows = rows.withColumn("in_test", enrich.is_test_path(F.col("path")))
     return _with_rules(rows.select("path", F.inline(kept)).select("path", "own", "hit.*"), rules, F.col("own"))
 
 
-def _arrays(files: DataFrame, detectors: list[Detector]) -> tuple[DataFrame, Column, list[Rule]]:
-    """Texts with what the detectors prepare, the array of all their hits, and their rules."""
+def with_arrays(files: DataFrame, detectors: list[Detector], keep: list[str] = (), cut: bool = False) -> tuple[DataFrame, Column, list[Rule]]:
+    """Texts with what the detectors prepare, the array of all their hits, and their rules.
+
+    ``keep`` names further columns of the texts to keep; with ``cut`` every text is cut into lines.
+    """
     prepared = [column.alias(name) for d in detectors for name, column in d.prepared.items()]
-    rows = files.select("path", "name", "suffix", "length", "content", *prepared)
+    rows = files.select("path", "name", "suffix", "length", "content", *keep, *prepared)
     wanted = [d.wants_lines for d in detectors if d.wants_lines is not None]
-    if wanted:
-        cut = reduce(lambda x, y: x | y, [F.coalesce(w, F.lit(False)) for w in wanted])
-        rows = rows.withColumn("lines", F.when(cut, text.split_lines(F.col("content"))))
+    if cut:
+        rows = rows.withColumn("lines", text.split_lines(F.col("content")))
+    elif wanted:
+        some = reduce(lambda x, y: x | y, [F.coalesce(w, F.lit(False)) for w in wanted])
+        rows = rows.withColumn("lines", F.when(some, text.split_lines(F.col("content"))))
     every = F.concat(*[F.coalesce(d.hits.cast(HITS), none()) for d in detectors])
     return rows, every, [r for d in detectors for r in d.rules]
 
