@@ -7,6 +7,8 @@ gathered, so a group that holds most findings is never collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,30 +25,63 @@ def severity_name(order: Column) -> Column:
     return text.lookup(order, {o: name for name, o, _ in dimensions.SEVERITIES})
 
 
-def _count_map(column: str, levels: list[str]) -> Column:
-    counts = F.map_from_arrays(
-        F.array(*[F.lit(level) for level in levels]),
-        F.array(*[F.count_if(F.col(column) == level) for level in levels]),
-    )
-    return F.map_filter(counts, lambda _, n: n > 0)
-
-
 def summarise(findings: DataFrame, by: list[str] = ()) -> DataFrame:
     """One row per scan: counts, files, score, grade, readiness (A1 to A3).
 
     ``files_scanned`` counts files with findings. Without findings the score
     and the readiness are 100.
     """
-    total = F.count("*")
-    raw = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.coalesce(F.sum(severity_weight(F.col("severity"))), F.lit(0.0))))
-    safe = F.coalesce(F.avg(F.when(F.col("quantum_risk") == "safe", 100.0).otherwise(0.0)), F.lit(100.0))
+    return _summary(findings.select(*by, "severity", "quantum_risk", F.col("location.file_path").alias("_file"), F.lit(1).alias("n")), by)
+
+
+def summary_state(findings: DataFrame, by: list[str] = ()) -> DataFrame:
+    """What a summary is made of, as rows that add up: findings by file, severity and risk.
+
+    States of parts of a scan are put together by ``merged_state``, and a state follows a scan's changes without the rest of
+    the scan being read again (``updated_state``).
+    """
+    return findings.groupBy(*by, F.col("location.file_path").alias("file_path"), "severity", "quantum_risk").agg(F.count("*").alias("n"))
+
+
+def merged_state(states: list[DataFrame], by: list[str] = ()) -> DataFrame:
+    """Several states as one; what adds up to nothing goes."""
+    together = reduce(DataFrame.unionByName, states)
+    return together.groupBy(*by, "file_path", "severity", "quantum_risk").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def updated_state(state: DataFrame, new: DataFrame, resolved: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The state after findings have come and gone; only these are read, each as often as it came or went."""
+    gone = summary_state(resolved, by).withColumn("n", -F.col("n"))
+    return merged_state([state, summary_state(new, by), gone], by)
+
+
+def summary_of_state(state: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The summary (A1 to A3) of a state; the same row that ``summarise`` gives for its findings."""
+    return _summary(state.withColumnRenamed("file_path", "_file"), by)
+
+
+def _summary(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Summary of rows with their number ``n``."""
+    n = F.col("n")
+
+    def having(condition) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n).otherwise(0)), F.lit(0))
+
+    def count_map(column: str, levels: list[str]) -> Column:
+        counts = F.map_from_arrays(F.array(*[F.lit(x) for x in levels]), F.array(*[having(F.col(column) == x) for x in levels]))
+        return F.map_filter(counts, lambda _, count: count > 0)
+
+    total = F.coalesce(F.sum(n), F.lit(0))
+    weighed = F.coalesce(F.sum(severity_weight(F.col("severity")) * n), F.lit(0.0))
+    raw = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - weighed))
+    safe = F.coalesce(F.try_divide(having(F.col("quantum_risk") == "safe") * 100.0, total), F.lit(100.0))
     return (
-        findings.groupBy(*by)
+        counted.groupBy(*by)
         .agg(
             total.alias("total_findings"),
-            _count_map("severity", SEVERITY_NAMES).alias("by_severity"),
-            _count_map("quantum_risk", dimensions.RISKS).alias("by_quantum_risk"),
-            F.countDistinct("location.file_path").alias("files_scanned"),
+            count_map("severity", SEVERITY_NAMES).alias("by_severity"),
+            count_map("quantum_risk", dimensions.RISKS).alias("by_quantum_risk"),
+            F.countDistinct("_file").alias("files_scanned"),
             raw.alias("raw_score"),
             F.bround(safe, 1).alias("pqc_readiness_pct"),
         )
@@ -56,12 +91,22 @@ def summarise(findings: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+def advanced_of_state(state: DataFrame, files_scanned: int | Column, by: list[str] = ()) -> DataFrame:
+    """The advanced score (A4) of a state."""
+    return _advanced(state.withColumnRenamed("file_path", "_file"), files_scanned, by)
+
+
 def advanced_score(findings: DataFrame, files_scanned: int | Column, by: list[str] = ()) -> DataFrame:
     """Score with heavier severities and the share of affected files (A4)."""
+    counted = findings.select(*by, "severity", F.col("location.file_path").alias("_file"), F.lit(1).alias("n"))
+    return _advanced(counted, files_scanned, by)
+
+
+def _advanced(counted: DataFrame, files_scanned: int | Column, by: list[str]) -> DataFrame:
     scanned = files_scanned if isinstance(files_scanned, Column) else F.lit(files_scanned)
     weight = severity_weight(F.col("severity")) * text.lookup(F.col("severity"), t.ADVANCED_MULTIPLIER, 1.0)
-    sums = findings.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(weight).alias("penalty"), F.countDistinct("location.file_path").alias("affected_files")
+    sums = counted.groupBy(*by).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(weight * F.col("n")).alias("penalty"), F.countDistinct("_file").alias("affected_files")
     )
     adjusted = F.col("penalty") * (F.lit(1.0) + F.col("affected_files") / scanned)
     return sums.select(

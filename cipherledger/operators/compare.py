@@ -44,13 +44,19 @@ def _keys(findings: DataFrame) -> DataFrame:
 
 
 def finding_status(before: DataFrame, after: DataFrame) -> DataFrame:
-    """new, resolved, changed or unchanged per key.
+    """new, resolved, changed or unchanged per key."""
+    return key_status(keyed(before), keyed(after))
+
+
+def key_status(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The same from one row a key on each side, as ``keyed`` makes them and stored scans hold them.
 
     Changed means: same key, other severity or risk. One join answers all
-    four; both sides come out of their window partitioned by the key.
+    four; both sides come partitioned by the key, out of their window or out of
+    their buckets.
     """
-    a = keyed(before).select(*KEY, F.col("severity").alias("old_severity"), F.col("quantum_risk").alias("old_risk"), F.lit(True).alias("in_a"))
-    b = keyed(after).select(*KEY, F.col("severity").alias("new_severity"), F.col("quantum_risk").alias("new_risk"), F.lit(True).alias("in_b"))
+    a = before.select(*KEY, F.col("severity").alias("old_severity"), F.col("quantum_risk").alias("old_risk"), F.lit(True).alias("in_a"))
+    b = after.select(*KEY, F.col("severity").alias("new_severity"), F.col("quantum_risk").alias("new_risk"), F.lit(True).alias("in_b"))
     status = (
         F.when(F.col("in_a").isNull(), F.lit("new"))
         .when(F.col("in_b").isNull(), F.lit("resolved"))

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cipherledger.sources.stored import written
+
 #: Rows of a split, where ``order`` counts rows; also effects of a split of splits.
 SPLIT_ROWS = 10_000
 #: Effects of splits are split again so often; a window then sees a 1 / SPLIT_ROWS^LEVELS of a key's rows.
@@ -69,3 +71,21 @@ def _composed(rows: DataFrame, key: list[str], order: str, effects: dict[str, Ef
     return within.join(come_in, same, "left").select(
         *kept, *[effects[n].compose(F.col(f"_in_{n}"), F.col(n)).alias(n) for n in effects]
     )
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered 0, 1, 2, ... by ``order``, over all tasks.
+
+    Rows are dealt by ranges of the order and sorted in their task; a row's number is its place in the task behind the rows
+    of the tasks before. The dealt rows are written once, as ranges found anew might differ; what tasks tell each other is
+    one count each.
+    """
+    within = 2**33 - 1  # the part of an id that counts rows within the task
+    dealt = written(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("*", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().bitwiseAND(F.lit(within)).alias("_place"))
+    )
+    tasks = dealt.groupBy("_task").agg(F.count("*").alias("_rows")).withColumn("_all", F.floor(F.col("_task") / F.lit(2**31)))
+    before = running(tasks, ["_all"], "_task", {"_before": (F.col("_rows"), SUM)}, before=True).select("_task", "_before")
+    # as many rows as there are tasks
+    return dealt.join(F.broadcast(before), "_task").withColumn(name, F.col("_before") + F.col("_place")).drop("_task", "_place", "_before")

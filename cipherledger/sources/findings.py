@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherledger import schema
 from cipherledger.fixed import scoring_tables as t
 from cipherledger.functions import text
 from cipherledger.operators.findings import first_rows
+from cipherledger.operators.running import numbered
+
+#: Parts that a rule's findings are split into before they meet its number.
+RULE_PARTS = 64
 
 
 def read_findings(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -27,12 +31,14 @@ def as_json(findings: DataFrame) -> DataFrame:
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    """One row per rule in order of first appearance (P10)."""
-    firsts = first_rows(findings, ["rule_id"], ["ord"], 1)
+    """One row per rule in order of first appearance (P10).
+
+    Rule ids may end in names found in texts, so there can be any number of rules; they are numbered where they are.
+    """
+    firsts = numbered(first_rows(findings, ["rule_id"], ["ord"], 1), ["ord"], "rule_index")
     level = {k: v[1] for k, v in t.SARIF_SEVERITY.items()}
     return firsts.select(
-        # a row per rule: the number of rules is bounded by the rule tables
-        (F.row_number().over(Window.orderBy("ord")) - 1).alias("rule_index"),
+        F.col("rule_index").cast("int").alias("rule_index"),
         F.col("rule_id").alias("id"),
         F.struct(F.col("message").alias("text")).alias("shortDescription"),
         F.struct(F.concat("message", F.lit(". "), "recommendation").alias("text")).alias("fullDescription"),
@@ -54,13 +60,15 @@ def sarif_results(findings: DataFrame, rules: DataFrame | None = None) -> DataFr
     """One row per finding with its rule's index and level (P10).
 
     Rule ids may end in names found in texts, so the number of rules has no
-    fixed bound: the join carries no hint, and adaptive execution broadcasts
-    the rules when they are small and splits a rule that most findings share.
+    fixed bound and the join carries no hint. A rule that many findings share is
+    split by their places: its row is there once for each part.
     """
     rules = sarif_rules(findings) if rules is None else rules
-    index = rules.select(F.col("id").alias("rule_id"), "rule_index")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(RULE_PARTS - 1)))
+    index = rules.select(F.col("id").alias("rule_id"), "rule_index", parts.alias("part"))
+    part = F.pmod(F.xxhash64("location.file_path", "location.line_number", "ord.a"), F.lit(RULE_PARTS)).cast("int")
     level = {k: v[0] for k, v in t.SARIF_SEVERITY.items()}
-    return findings.join(index, "rule_id").select(
+    return findings.withColumn("part", part).join(index, ["rule_id", "part"]).select(
         "ord",
         F.col("rule_id").alias("ruleId"),
         F.col("rule_index").alias("ruleIndex"),

@@ -208,3 +208,18 @@ def test_reports(findings):
     results = {r["ruleId"]: r for r in finding_sources.sarif_results(rows).collect()}
     assert results["a"]["level"] == "error" and results["b"]["level"] == "note" and {r["ruleIndex"] for r in results.values()} == {0, 1}
     assert "ord" not in finding_sources.as_json(rows).first()["json"]
+
+
+def test_a_rule_with_most_findings_is_split_and_rules_are_numbered_in_ranges(findings):
+    rows = [row("hot", path=f"p{i % 50}.py", line=i, a=i) for i in range(2000)] + [row(f"r{i}", path=f"q{i}.py", line=1) for i in range(100)]
+    rows = findings(*rows)
+    results = finding_sources.sarif_results(rows)
+    assert results.count() == 2100
+    index = {r["id"]: r["rule_index"] for r in finding_sources.sarif_rules(rows).collect()}
+    firsts = sorted(index, key=lambda r: ("p0.py", 0) if r == "hot" else (f"q{r[1:]}.py", 1))
+    assert index == {rule: i for i, rule in enumerate(firsts)}
+    assert all(r["ruleIndex"] == index[r["ruleId"]] for r in results.collect())
+    plan = results._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "part" in plan
+    logical = results._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(ord" not in logical  # no window without a partition

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cipherledger.operators.detect_manifests import running_marker
-from cipherledger.operators.running import LAST, SUM, running
+from cipherledger.operators.running import LAST, SUM, numbered, running
 from cipherledger.plans.long_scan import around, scan_long_files, searched
 from cipherledger.plans.scan import scan
 from cipherledger.sources.files import read_files
@@ -92,3 +92,18 @@ def test_no_window_sees_a_whole_file(spark):
     assert marked.count() == 5000 and wrong.count() == 0
     windows = [w for w in marked._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1:] if "line_number" in w.split("\n")[0]]
     assert windows and all("_split_2" in w.split("\n")[0] for w in windows)
+
+
+def test_numbers_over_all_tasks(spark):
+    dice = random.Random(9)
+    rows = [(dice.randint(0, 50), dice.randint(0, 10**6)) for _ in range(3000)]
+    table = spark.createDataFrame(rows, "a int, b int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = numbered(table, ["a", "b"], "n")
+        assert sorted((r["n"], r["a"], r["b"]) for r in got.collect()) == [(i, *row) for i, row in enumerate(sorted(rows))]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert numbered(table.limit(0), ["a", "b"], "n").count() == 0

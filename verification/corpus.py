@@ -1,7 +1,7 @@
 """Inputs derived from the given tables, once in Spark and once in SQL.
 
 Text corpora come from ``documents``: each document becomes a file, every k-th
-line of it is replaced by a snippet chosen by document and position. Findings
+line of it is followed by a snippet chosen by document and position. Findings
 come from ``lineitem``, endpoints and certificates from ``supplier`` and
 ``customer``. Both sides use the same formulas, so they hold the same rows.
 """
@@ -67,7 +67,7 @@ def sql_pick(index: str, values: list) -> str:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Files made from documents: names, snippets, and how often they appear."""
+    """Files made from documents: names, snippets, and after how many lines one stands; no line is left out."""
 
     names: tuple[str, ...]
     snippets: tuple[str, ...]
@@ -81,33 +81,42 @@ class Corpus:
             return F.concat(F.lit("repo"), d % 20, F.lit("/"), pick(d, DIRS), F.lit("/f"), d, pick(d, EXTENSIONS))
         return F.concat(F.lit("repo"), d % 20, F.lit("/d"), d, F.lit("/"), pick(d, list(self.names)))
 
-    def files(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+    def content(self) -> Column:
         d = F.col("doc_id")
         snippets = F.array(*[F.lit(s) for s in self.snippets])
         lines = F.transform(
             F.split("text", "\n"),
             lambda line, i: F.when(
-                (d * 7 + i + 1) % self.every == 0, F.get(snippets, ((d + i * 3) % len(self.snippets)).cast("int"))
+                (d * 7 + i + 1) % self.every == 0,
+                F.concat(line, F.lit("\n"), F.get(snippets, ((d + i * 3) % len(self.snippets)).cast("int"))),
             ).otherwise(line),
         )
-        content = F.concat(F.lit(self.head), F.array_join(lines, "\n"))
-        rows = read(spark, sf_dir, "documents").select(self.path().alias("path"), content.alias("content"))
+        return F.concat(F.lit(self.head), F.array_join(lines, "\n"))
+
+    def files(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = read(spark, sf_dir, "documents").select(self.path().alias("path"), self.content().alias("content"))
         return with_names(rows.withColumn("length", F.octet_length("content").cast("long"))).select(
             "path", "name", "suffix", "length", "content"
         )
 
     def sql(self) -> str:
         """CTEs ``files(path, name, suffix, content)`` and ``lines(path, n, line, ls)``."""
-        snippet = f"({literal(list(self.snippets))})[CAST((doc_id + (i - 1) * 3) % {len(self.snippets)} AS INTEGER) + 1]"
         if self.code:
             path = f"concat('repo', doc_id % 20, '/', {sql_pick('doc_id', DIRS)}, '/f', doc_id, {sql_pick('doc_id', EXTENSIONS)})"
         else:
             path = f"concat('repo', doc_id % 20, '/d', doc_id, '/', {sql_pick('doc_id', list(self.names))})"
         return f"""
-made AS (SELECT {path} AS path,
-  concat({quote(self.head)}, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
-    CASE WHEN (doc_id * 7 + i) % {self.every} = 0 THEN {snippet} ELSE line END), chr(10))) AS content FROM documents),
-named AS (SELECT path, string_split(path, '/')[-1] AS name, content FROM made),
+made AS (SELECT {path} AS path, {self.content_sql()} AS content FROM documents),
+{FILES_SQL}"""
+
+    def content_sql(self) -> str:
+        snippet = f"({literal(list(self.snippets))})[CAST((doc_id + (i - 1) * 3) % {len(self.snippets)} AS INTEGER) + 1]"
+        return f"""concat({quote(self.head)}, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
+    CASE WHEN (doc_id * 7 + i) % {self.every} = 0 THEN concat(line, chr(10), {snippet}) ELSE line END), chr(10)))"""
+
+
+# from ``made(path, content)`` on
+FILES_SQL = f"""named AS (SELECT path, string_split(path, '/')[-1] AS name, content FROM made),
 files AS (SELECT path, name, regexp_extract(name, '.(\\.[^.]+)$', 1) AS suffix, content FROM named),
 split AS (SELECT *, string_split_regex(content, '{LINE_BREAK_SQL}') AS parts FROM files),
 whole AS (SELECT * EXCLUDE (parts), CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS ls FROM split),

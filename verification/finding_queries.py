@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cipherledger.fixed import compliance_rules, dimensions, endpoint_rules, scoring_tables as t, text_rules
 from cipherledger.functions import scoring
 from cipherledger.operators import aggregate, compare, detect_endpoints, enrich, migration, post, report
 from cipherledger.plans import scan as scan_plan
+from cipherledger.plans.long_scan import scan_long_files
 from cipherledger.sources import findings as finding_sources
 from cipherledger.sources import rules as rule_tables
+from cipherledger.sources import stored
+from cipherledger.sources.long_files import read_pieces
 from verification import corpus
 from verification.corpus import facts, facts_sql, literal, sql_lookup, sql_pick, sql_values
 from verification.registry import query
@@ -725,14 +730,14 @@ def cipher_suites(spark, sf_dir):
 
 
 @query("missing_dane", """SELECT concat('c', c_custkey, '.example.org') AS path, 'NET-DNS-NO-DANE' AS rule_id, 'info' AS severity, 'DANE-Missing' AS algorithm FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def missing_dane(spark, sf_dir):
     """D21"""
     def domain(column):
         return F.concat(F.lit("c"), column, F.lit(".example.org")).alias("domain")
 
     domains = corpus.read(spark, sf_dir, "customer").select(domain(F.col("c_custkey")))
-    records = corpus.read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(domain(F.col("o_custkey")))
+    records = corpus.read(spark, sf_dir, "orders").select(domain(F.col("o_custkey")))
     return flat(detect_endpoints.detect_missing_dane(domains, records)).select("path", "rule_id", "severity", "algorithm")
 
 
@@ -799,6 +804,29 @@ def quick_profile(spark, sf_dir):
     return _scan_rows(scan_plan.scan(corpus.CODE.files(spark, sf_dir), profile="quick"))
 
 
+# documents of a remainder make one long file, in order of their ids
+LONG_FILES = 40
+LONG_SUFFIXES = [".py", ".java", ".js", ".go", ".php", ".ini", ".rb", ".cs"]
+LONG_SQL = f"""
+made AS (SELECT concat('long/f', doc_id % {LONG_FILES}, {sql_pick('doc_id', LONG_SUFFIXES)}) AS path,
+  concat(string_agg({corpus.CODE.content_sql()}, chr(10) ORDER BY doc_id), chr(10)) AS content
+  FROM documents WHERE text IS NOT NULL GROUP BY 1),
+{corpus.FILES_SQL}"""
+
+
+@query("long_files", _scan_sql([(name, sql.replace(corpus.CODE.sql(), LONG_SQL)) for name, sql in (("source", SOURCE_SQL), ("secrets", SECRETS_SQL))]))
+def long_files(spark, sf_dir):
+    """Documents written as few long files, read by byte ranges and scanned in pieces"""
+    group = F.col("doc_id") % LONG_FILES
+    folder = f"{stored.shared_folder(spark)}/long-{uuid.uuid4().hex}"
+    rows = corpus.read(spark, sf_dir, "documents").where("text IS NOT NULL").select(group.alias("f"), "doc_id", corpus.CODE.content().alias("content"))
+    rows.repartition(LONG_FILES, "f").sortWithinPartitions("f", "doc_id").select("f", "content").write.partitionBy("f").text(folder)
+    number = F.regexp_extract("path", "/f=([0-9]+)/", 1).cast("int")
+    path = F.concat(F.lit("long/f"), number, corpus.pick(number, LONG_SUFFIXES))
+    pieces = read_pieces(spark, [folder], path=path, piece_bytes=20_000)
+    return _scan_rows(scan_long_files(pieces, detectors=["source", "secrets"]))
+
+
 @query("document_secrets", f"""WITH facts AS (SELECT path AS file_path, concat(before, ' ', after) AS around, * EXCLUDE (path) FROM (
   WITH {corpus.DOCUMENTS.sql()}, {SECRET_RULES} SELECT path, CAST(n AS INTEGER) AS line_number, rule_id, severity, quantum_risk,
     trim(line, ' ' || chr(9)) AS line_content, {sql_context(3)} FROM lines, rules WHERE regexp_matches(line, pattern))), {CONFIDENCE}

@@ -140,16 +140,17 @@ def _sources(spark, sf_dir):
     return routing.source_files(corpus.CODE.files(spark, sf_dir))
 
 
-@query("rule_resolution", f"""WITH {sql_values(_source_rows(), 'rules', 'rule_id, language, algorithm_key, pattern, severity_override, risk_override')}, {ALGS},
-uses AS (SELECT 'python' AS language, count(*) AS docs FROM documents)
-SELECT rule_id, name AS algorithm, coalesce(severity_override, {SEVERITY}) AS severity, coalesce(risk_override, algorithm_risk) AS quantum_risk,
-  family, docs FROM rules JOIN algs ON algorithm_key = name JOIN uses USING (language)""")
+@query("rule_resolution", f"""WITH {corpus.CODE.sql()}, {sql_values(_source_rows(), 'rules', 'rule_id, language, algorithm_key, pattern, severity_override, risk_override')}, {ALGS},
+uses AS (SELECT {sql_lookup('suffix', source_rules.EXTENSIONS)} AS language, count(*) AS files, sum(length(content)) AS characters FROM files GROUP BY 1)
+SELECT rule_id, language, name AS algorithm, coalesce(severity_override, {SEVERITY}) AS severity, coalesce(risk_override, algorithm_risk) AS quantum_risk,
+  family, files, CAST(characters AS BIGINT) AS characters FROM rules JOIN algs ON algorithm_key = name JOIN uses USING (language)""")
 def rule_resolution(spark, sf_dir):
-    """Rules of the language a corpus is read as"""
-    rules = rule_tables.table(spark, rule_tables.resolve_rules(rule_tables.load_source_rules("python")), rule_tables.RESOLVED)
-    docs = corpus.read(spark, sf_dir, "documents").agg(F.count("*").alias("docs")).withColumn("language", F.lit("python"))
-    return docs.join(F.broadcast(rules), "language").select(
-        "rule_id", F.col("algorithm.name").alias("algorithm"), "severity", "quantum_risk", F.col("algorithm.family").alias("family"), "docs"
+    """Every language's rules, with how much text of the corpus they are read over"""
+    rules = rule_tables.table(spark, rule_tables.resolve_rules(rule_tables.load_source_rules()), rule_tables.RESOLVED)
+    uses = _sources(spark, sf_dir).groupBy("language").agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("characters"))
+    return uses.join(F.broadcast(rules), "language").select(
+        "rule_id", "language", F.col("algorithm.name").alias("algorithm"), "severity", "quantum_risk", F.col("algorithm.family").alias("family"),
+        "files", "characters",
     )
 
 
