@@ -101,13 +101,14 @@ class Corpus:
 
     def sql(self) -> str:
         """CTEs ``files(path, name, suffix, content)`` and ``lines(path, n, line, ls)``."""
+        return f"\nmade AS ({self.made_sql()}),\n{FILES_SQL}"
+
+    def made_sql(self) -> str:
         if self.code:
             path = f"concat('repo', doc_id % 20, '/', {sql_pick('doc_id', DIRS)}, '/f', doc_id, {sql_pick('doc_id', EXTENSIONS)})"
         else:
             path = f"concat('repo', doc_id % 20, '/d', doc_id, '/', {sql_pick('doc_id', list(self.names))})"
-        return f"""
-made AS (SELECT {path} AS path, {self.content_sql()} AS content FROM documents),
-{FILES_SQL}"""
+        return f"SELECT {path} AS path, {self.content_sql()} AS content FROM documents"
 
     def content_sql(self) -> str:
         snippet = f"({literal(list(self.snippets))})[CAST((doc_id + (i - 1) * 3) % {len(self.snippets)} AS INTEGER) + 1]"

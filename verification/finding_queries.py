@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from cipherledger.fixed import compliance_rules, dimensions, endpoint_rules, scoring_tables as t, text_rules
+from cipherledger.fixed import compliance_rules, config_rules, dimensions, endpoint_rules, scoring_tables as t, text_rules
 from cipherledger.functions import scoring
 from cipherledger.operators import aggregate, compare, detect_endpoints, enrich, migration, post, report
 from cipherledger.plans import scan as scan_plan
@@ -15,10 +16,14 @@ from cipherledger.sources import findings as finding_sources
 from cipherledger.sources import rules as rule_tables
 from cipherledger.sources import stored
 from cipherledger.sources.long_files import read_pieces
+from cipherledger.sources.scans import write_scan
 from verification import corpus
 from verification.corpus import facts, facts_sql, literal, sql_lookup, sql_pick, sql_values
 from verification.registry import query
-from verification.text_queries import ALGS, SECRET_RULES, SECRETS_SQL, SOURCE_SQL, flat, sql_context, words_sql
+from verification.text_queries import (
+    ALGS, ANS, CFN, DOCKER, GO_SQL, JAVA_SQL, K8S, PYTHON_SQL, SECRET_RULES, SECRETS_SQL, SOURCE_SQL, SSH_SQL, STRINGS_SQL, SYMBOLS_SQL, TLS_SQL,
+    document_sql, flat, sql_context, words_sql,
+)
 
 FACTS = facts_sql()
 SEV_ORD = {name: order for name, order, _ in dimensions.SEVERITIES}
@@ -706,8 +711,11 @@ lists AS (SELECT host, port, 'KEX' AS list, kex AS names FROM offers UNION ALL S
 each AS (SELECT concat(host, ':', port) AS path, list, unnest(names) AS offered FROM lists)"""
 
 
-@query("ssh_endpoints", f"""{OFFERED} SELECT path, concat('NET-SSH-', list, '-', replace(upper(name), '-', '')) AS rule_id, severity, quantum_risk, name AS algorithm, family,
-  concat(CASE list WHEN 'HOSTKEY' THEN 'HostKey' WHEN 'CIPHER' THEN 'Cipher' ELSE list END, ': ', offered) AS line_content FROM each JOIN weak USING (list, offered)""")
+SSH_ENDPOINT_SQL = f"""{OFFERED} SELECT path, concat('NET-SSH-', list, '-', replace(upper(name), '-', '')) AS rule_id, severity, quantum_risk, name AS algorithm, family,
+  concat(CASE list WHEN 'HOSTKEY' THEN 'HostKey' WHEN 'CIPHER' THEN 'Cipher' ELSE list END, ': ', offered) AS line_content FROM each JOIN weak USING (list, offered)"""
+
+
+@query("ssh_endpoints", SSH_ENDPOINT_SQL)
 def ssh_endpoints(spark, sf_dir):
     """D19"""
     return flat(detect_endpoints.detect_ssh_endpoints(corpus.ssh_offers(spark, sf_dir))).drop("before", "after", "key_size", "line_number")
@@ -729,16 +737,23 @@ def cipher_suites(spark, sf_dir):
     return detect_endpoints.classify_suites(corpus.endpoints(spark, sf_dir).select("host", "cipher"))
 
 
-@query("missing_dane", """SELECT concat('c', c_custkey, '.example.org') AS path, 'NET-DNS-NO-DANE' AS rule_id, 'info' AS severity, 'DANE-Missing' AS algorithm FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
-def missing_dane(spark, sf_dir):
-    """D21"""
+DANE_SQL = """SELECT concat('c', c_custkey, '.example.org') AS path, 'NET-DNS-NO-DANE' AS rule_id, 'info' AS severity, 'DANE-Missing' AS algorithm FROM customer
+WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)"""
+
+
+def _domains(spark, sf_dir):
     def domain(column):
         return F.concat(F.lit("c"), column, F.lit(".example.org")).alias("domain")
 
     domains = corpus.read(spark, sf_dir, "customer").select(domain(F.col("c_custkey")))
-    records = corpus.read(spark, sf_dir, "orders").select(domain(F.col("o_custkey")))
-    return flat(detect_endpoints.detect_missing_dane(domains, records)).select("path", "rule_id", "severity", "algorithm")
+    records = corpus.read(spark, sf_dir, "supplier").select(domain(F.col("s_suppkey")))
+    return domains, records
+
+
+@query("missing_dane", DANE_SQL)
+def missing_dane(spark, sf_dir):
+    """D21"""
+    return flat(detect_endpoints.detect_missing_dane(*_domains(spark, sf_dir))).select("path", "rule_id", "severity", "algorithm")
 
 
 _GENERATES = "contains(func_name, 'generate_private_key')"
@@ -838,22 +853,126 @@ def document_secrets(spark, sf_dir):
     return _scan_rows(found).drop("refs", "scanner_type")
 
 
-@query("every_detector")
+# all text corpora as one set of files: every detector may read any of them
+TEXTS = [
+    corpus.CODE, corpus.SSH, corpus.TLS, corpus.PYTHON_MANIFESTS, corpus.POM, corpus.GO_MOD, corpus.TERRAFORM, corpus.CLOUDFORMATION,
+    corpus.ANSIBLE, corpus.DOCKER, corpus.KUBERNETES, corpus.BINARY_TEXT,
+]
+ALL_SQL = "\nmade AS (" + " UNION ALL ".join(c.made_sql() for c in TEXTS) + f"),\n{corpus.FILES_SQL}"
+
+
+def _over_all(source: corpus.Corpus, sql: str) -> str:
+    return sql.replace(source.sql(), ALL_SQL)
+
+
+_WIDE = "path, line_number, rule_id, severity, quantum_risk, algorithm, family, key_size, line_content, before, after"
+_BARE = "'' AS before, '' AS after"
+_NO_SIZE = "CAST(NULL AS INTEGER) AS key_size"
+# scanner, base confidence, SQL with the columns of _WIDE; compiled files come as texts here, so their positions count characters
+EVERY_PART = [
+    ("source", 1.0, _over_all(corpus.CODE, SOURCE_SQL)),
+    ("source", endpoint_rules.CALL_CONFIDENCE, f"SELECT path, line_number, rule_id, severity, quantum_risk, algorithm, CASE algorithm WHEN 'SHA-1' THEN 'SHA-1' WHEN 'WeakRandom' THEN 'Random' ELSE split_part(algorithm, '-', 1) END AS family, key_size, line_content, {_BARE} FROM ({CALL_SQL})"),
+    ("secrets", 1.0, _over_all(corpus.CODE, SECRETS_SQL)),
+    ("config", 1.0, _over_all(corpus.SSH, SSH_SQL)),
+    ("config", 1.0, _over_all(corpus.TLS, TLS_SQL)),
+    ("dependency", config_rules.MANIFEST_CONFIDENCE, _over_all(corpus.PYTHON_MANIFESTS, PYTHON_SQL)),
+    ("dependency", config_rules.MANIFEST_CONFIDENCE, _over_all(corpus.POM, JAVA_SQL)),
+    ("dependency", config_rules.MANIFEST_CONFIDENCE, _over_all(corpus.GO_MOD, GO_SQL)),
+    ("iac", 1.0, _over_all(corpus.TERRAFORM, document_sql(corpus.TERRAFORM, "suffix = '.tf'", text_rules.TERRAFORM))),
+    ("iac", 1.0, _over_all(corpus.CLOUDFORMATION, document_sql(corpus.CLOUDFORMATION, CFN, text_rules.CLOUDFORMATION))),
+    ("iac", 1.0, _over_all(corpus.ANSIBLE, document_sql(corpus.ANSIBLE, ANS, text_rules.ANSIBLE))),
+    ("container", 1.0, _over_all(corpus.DOCKER, document_sql(corpus.DOCKER, DOCKER, text_rules.DOCKERFILE))),
+    ("container", 1.0, _over_all(corpus.KUBERNETES, document_sql(corpus.KUBERNETES, K8S, text_rules.KUBERNETES))),
+    ("binary", 1.0, f"SELECT * EXCLUDE (algorithm, line_content), algorithm, algorithm AS family, {_NO_SIZE}, line_content, {_BARE} FROM ({STRINGS_SQL.replace('strlen(g)', 'length(g)')})"),
+    ("binary", 1.0, f"SELECT * EXCLUDE (algorithm, line_content), algorithm, algorithm AS family, {_NO_SIZE}, line_content, {_BARE} FROM ({SYMBOLS_SQL})"),
+    ("certificate", 1.0, f"SELECT *, {_BARE} FROM ({CERT_SQL})"),
+    ("network", 1.0, f"SELECT *, 0 AS line_number, 'vulnerable' AS quantum_risk, {_BARE} FROM ({TLS_ENDPOINT_SQL})"),
+    ("network", 1.0, f"SELECT *, 0 AS line_number, {_NO_SIZE}, {_BARE} FROM ({SSH_ENDPOINT_SQL})"),
+    ("network", 1.0, f"SELECT *, 0 AS line_number, 'unknown' AS quantum_risk, 'Unknown' AS family, {_NO_SIZE}, 'DNS' AS line_content, {_BARE} FROM ({DANE_SQL})"),
+]
+
+
+def _every_sql(scanners: list[str]) -> str:
+    """A whole scan by some detectors: each one's SQL over all files, then confidence, duplicates and requirement counts."""
+    union = " UNION ALL ".join(
+        f"SELECT {_WIDE}, CAST({base!r} AS DOUBLE) AS base, {literal(scanner)} AS scanner_type FROM ({sql})"
+        for scanner, base, sql in EVERY_PART if scanner in scanners
+    )
+    confidence_sql = CONFIDENCE.replace("CAST(1.0 AS DOUBLE) - CAST(0.3 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END", "base - CAST(0.3 AS DOUBLE) ELSE base END")
+    return f"""WITH facts AS (SELECT path AS file_path, concat(before, ' ', after) AS around, algorithm AS name, * EXCLUDE (path) FROM ({union})),
+{confidence_sql}, {REQS}, kept AS (SELECT *, row_number() OVER () AS id FROM adjusted WHERE confidence >= CAST(0.2 AS DOUBLE)
+  QUALIFY row_number() OVER (PARTITION BY rule_id, file_path, line_number ORDER BY line_content) = 1)
+SELECT file_path AS path, line_number, rule_id, severity, quantum_risk, round(confidence, 6) AS confidence, scanner_type,
+  count(requirement_ord) AS refs FROM kept LEFT JOIN reqs ON {' OR '.join(_REF_CONDITIONS)} GROUP BY id, 1, 2, 3, 4, 5, 6, 7"""
+
+
+def _whole_scan(spark, sf_dir, **options):
+    files = post.union_all([c.files(spark, sf_dir) for c in TEXTS])
+    domains, records = _domains(spark, sf_dir)
+    return scan_plan.scan(
+        files, certificates=corpus.certificates(spark, sf_dir), endpoints=corpus.endpoints(spark, sf_dir),
+        ssh_offers=corpus.ssh_offers(spark, sf_dir), domains=domains, tlsa_records=records, calls=corpus.calls(spark, sf_dir), **options,
+    )
+
+
+@query("every_detector", f"""SELECT scanner_type, severity, count(*) AS findings, count(DISTINCT path) AS places, CAST(sum(refs) AS BIGINT) AS refs
+FROM ({_every_sql(dimensions.DETECTORS)}) GROUP BY ALL""")
 def every_detector(spark, sf_dir):
-    """All corpora at once under the widest preset, counted by detector and severity.
-
-    Stated without SQL: each corpus is read by several detectors, and their
-    twins are compared one by one above.
-    """
-    texts = [
-        corpus.CODE, corpus.SSH, corpus.TLS, corpus.PYTHON_MANIFESTS, corpus.POM, corpus.GO_MOD, corpus.TERRAFORM, corpus.CLOUDFORMATION,
-        corpus.ANSIBLE, corpus.DOCKER, corpus.KUBERNETES,
+    """O1: all corpora, certificates, endpoints, domains and calls in one scan by all detectors, counted"""
+    found = _whole_scan(spark, sf_dir)
+    return found.groupBy("scanner_type", "severity").agg(
+        F.count("*").alias("findings"), F.countDistinct("location.file_path").alias("places"),
+        F.sum(F.size("compliance_refs")).cast("long").alias("refs"),
+    )
+
+
+def _profile(name: str):
+    def run(spark, sf_dir):
+        return _scan_rows(_whole_scan(spark, sf_dir, profile=name))
+
+    run.__doc__ = f"P9, O1: the preset {name} over everything that can be scanned"
+    return query(f"{name}_profile", _every_sql(dimensions.PROFILES[name][0]))(run)
+
+
+standard_profile, deep_profile, paranoid_profile = (_profile(name) for name in ("standard", "deep", "paranoid"))
+
+
+@query("stored_findings", f"WITH {FACTS}, {KEYED}, {STATUS} SELECT * FROM status")
+def stored_findings(spark, sf_dir):
+    """Two scans stored in buckets, read back and compared bucket by bucket"""
+    before, after = _stored_two(spark, sf_dir)
+    return compare.key_status(before.keys, after.keys)
+
+
+def _stored_two(spark, sf_dir):
+    folder = f"{stored.shared_folder(spark)}/scans-{uuid.uuid4().hex}"
+    return [
+        write_scan(found.drop("scan_id"), f"{folder}/{year}", [sf_dir], datetime(year, 12, 31), str(year), buckets=16)
+        for year, found in zip((1996, 1998), _two_scans(spark, sf_dir), strict=True)
     ]
-    files = post.union_all([c.files(spark, sf_dir) for c in texts])
-    found = scan_plan.scan(
-        files, certificates=corpus.certificates(spark, sf_dir), endpoints=corpus.endpoints(spark, sf_dir), ssh_offers=corpus.ssh_offers(spark, sf_dir)
+
+
+@query("stored_summaries", f"""WITH {FACTS} SELECT scan_id, total_findings, files_scanned, round_even(raw, 1)::DOUBLE AS score, {sql_grade('raw')} AS grade, pqc_readiness_pct
+FROM (SELECT scan_id, {SUMMARY} FROM facts WHERE scan_id IN ('1996', '1998') GROUP BY scan_id)""")
+def stored_summaries(spark, sf_dir):
+    """Summaries of stored scans, from their states"""
+    return post.union_all([s.summary for s in _stored_two(spark, sf_dir)]).select(
+        "scan_id", "total_findings", "files_scanned", "score", "grade", "pqc_readiness_pct"
     )
-    return found.groupBy("scanner_type", "severity").agg(F.count("*").alias("findings"), F.countDistinct("location.file_path").alias("places"))
+
+
+@query("updated_summary", f"""WITH {FACTS} SELECT total_findings, files_scanned, round_even(raw, 1)::DOUBLE AS score, {sql_grade('raw')} AS grade, pqc_readiness_pct
+FROM (SELECT {SUMMARY} FROM facts WHERE scan_id = '1998')""")
+def updated_summary(spark, sf_dir):
+    """A1 to A3: the earlier scan's state carried on by what came and went, against a count of the later scan"""
+    before, after = _two_scans(spark, sf_dir)
+
+    def narrow(found):
+        return found.select("location", "severity", "quantum_risk", "rule_id")
+
+    before, after = narrow(before), narrow(after)
+    state = aggregate.updated_state(aggregate.summary_state(before), after.exceptAll(before), before.exceptAll(after))
+    return aggregate.summary_of_state(state).select("total_findings", "files_scanned", "score", "grade", "pqc_readiness_pct")
 
 
 @query("inventory_locations", f"WITH {FACTS} SELECT DISTINCT name, file_path FROM facts")

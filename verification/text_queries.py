@@ -452,7 +452,7 @@ def node_dependencies(spark, sf_dir):
 
 
 JAVA_SQL = f"""WITH {corpus.POM.sql()}, {_library_sql(config_rules.JAVA_LIBRARIES)}, {ALGS},
-b AS (SELECT path, lower(name) AS manifest, ls, n, {_B} AS b FROM lines),
+b AS (SELECT path, lower(name) AS manifest, ls, n, {_B} AS b FROM lines WHERE lower(name) IN ('pom.xml', 'build.gradle', 'build.gradle.kts')),
 blocks AS (SELECT *, sum(CASE WHEN contains(b, '<dependency>') THEN 1 ELSE 0 END) OVER w AS block,
   CASE WHEN contains(b, '</dependency>') THEN 1 ELSE 0 END AS closing FROM b WHERE manifest = 'pom.xml' WINDOW w AS (PARTITION BY path ORDER BY n ROWS UNBOUNDED PRECEDING)),
 open AS (SELECT *, sum(closing) OVER (PARTITION BY path, block ORDER BY n ROWS UNBOUNDED PRECEDING) AS closed FROM blocks WHERE block > 0),
