@@ -44,11 +44,18 @@ def by_gate() -> dict[bytes, list[tuple[int, Rule]]]:
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Detections that no kept one of the same or a higher rank contains. Equal places keep the first rule's."""
+    """Detections that no kept one of the same or a higher rank contains. Equal places keep the first rule's.
+
+    What contains a detection begins before it, or with it and ends no earlier; so in that order the farthest end of each
+    priority so far tells all. What is itself suppressed may suppress: the one that contains it contains both.
+    """
     kept: list[tuple[int, int, Rule]] = []
-    for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name)):
-        if rule.name.startswith("base:") or not any(a <= start and end <= b for a, b, _ in kept):
+    reached: dict[int, int] = {}
+    for start, end, rule in sorted(found, key=lambda d: (d[0], -d[1], -d[2].priority, d[2].name)):
+        inside = any(far >= end for priority, far in reached.items() if priority >= rule.priority)
+        if rule.name.startswith("base:") or not inside:
             kept.append((start, end, rule))
+        reached[rule.priority] = max(end, reached.get(rule.priority, -1))
     return sorted(kept, key=lambda d: (d[0], d[1], d[2].name))
 
 
@@ -83,7 +90,7 @@ def scan(docs: DataFrame) -> DataFrame:
     other columns are left out.
     """
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in source for some in bpe.slices(whole)):
+        for batch in bpe.small(source):
             texts = batch.column(1).to_pylist()
             for a, b in bpe.runs(texts):
                 lower = [t.encode("utf-8").lower() for t in texts[a:b]]
