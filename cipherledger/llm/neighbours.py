@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from cipherledger.llm import vectors
 
 TILE = 2048
+#: Components of surviving pairs that are computed again at once: many ties take time, not memory.
+SURVIVORS = 1 << 20
 
 
 @dataclass
@@ -48,6 +50,7 @@ def best(block: Quantised, queries: Quantised, k: int) -> list[list[tuple[float,
     reached = np.full(len(queries.ids), -np.inf)
     whole = np.float32 if queries.small.shape[1] * 127**2 < 2**24 else np.float64
     left = queries.small.astype(whole)
+    step = max(1, SURVIVORS // queries.small.shape[1])
     for at in range(0, len(block.ids), TILE):
         part = slice(at, at + TILE)
         product = (left @ block.small[part].astype(whole).T).astype(np.float64)
@@ -59,13 +62,15 @@ def best(block: Quantised, queries: Quantised, k: int) -> list[list[tuple[float,
         if lower.shape[1] >= k:
             reached = np.maximum(reached, np.partition(lower, -k, axis=1)[:, -k])
         rows, columns = np.nonzero((product + slack >= reached[:, None]) & ~own)
-        scores = (queries.exact[rows] * block.exact[part][columns]).sum(axis=1)
-        for row, score, vec_id in zip(rows.tolist(), scores.tolist(), block.ids[part][columns].tolist(), strict=True):
-            heap = heaps[row]
-            if len(heap) < k:
-                heapq.heappush(heap, (score, -vec_id))
-            elif (score, -vec_id) > heap[0]:
-                heapq.heapreplace(heap, (score, -vec_id))
+        for some in range(0, len(rows), step):
+            row, column = rows[some : some + step], columns[some : some + step]
+            scores = (queries.exact[row] * block.exact[part][column]).sum(axis=1)
+            for i, score, vec_id in zip(row.tolist(), scores.tolist(), block.ids[part][column].tolist(), strict=True):
+                heap = heaps[i]
+                if len(heap) < k:
+                    heapq.heappush(heap, (score, -vec_id))
+                elif (score, -vec_id) > heap[0]:
+                    heapq.heapreplace(heap, (score, -vec_id))
         # a computed score may be off its bound by rounding: stay just below it
         full = [i for i, h in enumerate(heaps) if len(h) == k]
         if full:
