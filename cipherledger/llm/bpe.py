@@ -11,7 +11,9 @@ bytes as symbols, ``</w>`` at a word's end. Its path must be readable on every e
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import heapq
 import json
 import unicodedata
@@ -23,17 +25,45 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks and fragments kept per worker process: common ones stay at hand, memory doesn't grow with the input.
-CACHED = 200_000
+#: Bytes that a worker's chunks, words and fragments may take, each: common ones stay at hand, memory doesn't grow with
+#: the input, however long they are.
+CACHE_BYTES = 64_000_000
+#: What an entry costs besides the characters of its key and the bytes of its value.
+ENTRY_BYTES = 180
 #: Rows of an Arrow batch that are taken out at once.
 SLICE_ROWS = 256
 #: Texts are handled in runs of about this many characters, so memory doesn't follow the Arrow batch.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 END = 256
 NO_RANK = np.int32(2**31 - 1)
 WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
 
 
+class Kept:
+    """A map of bounded size: what was not asked for while half of it filled up goes."""
+
+    def __init__(self, always: dict | None = None):
+        self.always = always or {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.new, self.old, self.size = dict(self.always), {}, 0
+
+    def missing(self, wanted: set) -> set:
+        """What of ``wanted`` has to be added; all else is in ``new`` from here on, until the next call."""
+        if self.size > CACHE_BYTES // 2:
+            self.new, self.old, self.size = dict(self.always), self.new, 0
+        left = wanted.difference(self.new)
+        back = {key: self.old[key] for key in left if key in self.old}
+        if back:
+            self.add(back)
+        return left.difference(back)
+
+    def add(self, found: dict) -> None:
+        self.new.update(found)
+        self.size += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+
+
 def byte_characters() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -67,8 +97,7 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         self.inside = self._pairs_inside(vocab, chars, end)
-        self.known = self.special_ids()
-        self.fragments: dict[bytes, bytes] = {}
+        self.known, self.words, self.fragments = Kept(self.special_ids()), Kept(), Kept()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.controls = regex.compile(r"[\x1c-\x1f]")
         self.find_chunks = regex.compile(f"[^{WHITE}]+").findall
@@ -114,42 +143,50 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.chunks(t) for t in texts]
-        wanted = set().union(*cut)
-        missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > CACHED:
-            self.known = self.special_ids()
-            missing = wanted - self.known.keys()
+        missing = self.known.missing(set().union(*cut))
         if missing:
-            self._learn(list(missing))
-        find = self.known.__getitem__
+            self.known.add(self._of_chunks(list(missing)))
+        find = self.known.new.__getitem__
         return [b"".join(map(find, text)) for text in cut]
 
     def special_ids(self) -> dict[str | tuple[str], bytes]:
         return {(token,): number.to_bytes(4, "little") for token, number in self.special.items()}
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Cut chunks at certain boundaries, merge the distinct fragments, put the chunks together."""
+    def _of_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of each chunk, put together from its words'."""
         words = self.find_words_and_breaks("\n".join(chunks) + "\n")
+        distinct = set(words)
+        distinct.discard("\n")
+        missing = self.words.missing(distinct)
+        if missing:
+            self.words.add(self._of_words(list(missing)))
+        find, out, begin = self.words.new.__getitem__, {}, 0
+        for chunk in chunks:
+            end = words.index("\n", begin)
+            out[chunk] = find(words[begin]) if end == begin + 1 else b"".join(map(find, words[begin:end]))
+            begin = end + 1
+        return out
+
+    def _of_words(self, words: list[str]) -> dict[str, bytes]:
+        """Cut words at certain boundaries, merge the distinct fragments, put the words together."""
         raw = [w.encode("utf-8") for w in words]
         symbols = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint16)
         last = np.cumsum([len(r) for r in raw]) - 1
-        breaks = symbols[last] == 10
         symbols[last] += END
         cut = ~self.inside[symbols[:-1], symbols[1:]]
+        cut[last[:-1]] = True
         stops = np.append(np.flatnonzero(cut) + 1, len(symbols))
-        upto = np.searchsorted(stops, last[breaks], side="right").tolist()
+        upto = (np.searchsorted(stops, last, side="right") + 1).tolist()
         packed, stops = symbols.tobytes(), (2 * stops).tolist()
         fragments = [packed[a:b] for a, b in zip([0, *stops], stops)]
-        missing = set(fragments) - self.fragments.keys()
-        if len(self.fragments) + len(missing) > CACHED:
-            self.fragments.clear()
-            missing = set(fragments)
-        self.fragments.update(self._merge(missing))
-        ids = list(map(self.fragments.__getitem__, fragments))
-        begin = 0
-        for chunk, end in zip(chunks, upto, strict=True):
-            self.known[chunk] = ids[begin] if end == begin + 1 else b"".join(ids[begin:end])
-            begin = end + 1
+        missing = self.fragments.missing(set(fragments))
+        if missing:
+            self.fragments.add(self._merge(missing))
+        ids = list(map(self.fragments.new.__getitem__, fragments))
+        return {
+            word: ids[begin] if end == begin + 1 else b"".join(ids[begin:end])
+            for word, begin, end in zip(words, [0, *upto], upto)
+        }
 
     def _merge(self, fragments: set[bytes]) -> dict[bytes, bytes]:
         out: dict[bytes, bytes] = {}
@@ -235,9 +272,9 @@ class Vocabulary:
         return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
 
     def forget(self) -> None:
-        """Give the cache's memory back: the worker process goes on to other work."""
-        self.known = self.special_ids()
-        self.fragments = {}
+        """Empty the caches: the worker process goes on to other work."""
+        for kept in (self.known, self.words, self.fragments):
+            kept.clear()
 
     # ---- ids to text
 
@@ -271,6 +308,23 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, SLICE_ROWS)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker process lives on, and so does what its allocators hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def small(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary | None = None) -> Iterator[pa.RecordBatch]:
+    """A task's batches in small slices; at its end the vocabulary's caches and freed memory are given back."""
+    for batch in batches:
+        yield from slices(batch)
+    if vocabulary:
+        vocabulary.forget()
+    give_back()
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids``: ids of every whole text, packed as little-endian unsigned 32-bit integers.
 
@@ -279,13 +333,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     def batches(source):
         vocabulary = load(path)
-        for batch in source:
-            for some in slices(batch):
-                keys, texts = some.column(0), some.column(1).to_pylist()
-                for a, b in runs(texts):
-                    ids = vocabulary.encode(texts[a:b])
-                    yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-        vocabulary.forget()
+        for some in small(source, vocabulary):
+            keys, texts = some.column(0), some.column(1).to_pylist()
+            for a, b in runs(texts):
+                ids = vocabulary.encode(texts[a:b])
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(batches, "doc_id long, ids binary")

@@ -12,6 +12,7 @@ import bisect
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,25 +41,28 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
 
     def batches(source):
         vocabulary = bpe.load(path)
-        for batch in (some for whole in source for some in bpe.slices(whole)):
+        for batch in bpe.small(source, vocabulary):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in bpe.runs(texts):
-                rows, number, start, ids = [], [], [], []
-                for i, packed in enumerate(vocabulary.encode(texts[a:b])):
-                    packed += end
-                    for k, at in enumerate(range(0, len(packed), 4 * size)):
-                        rows.append(a + i)
-                        number.append(k)
-                        start.append(at // 4)
-                        ids.append(packed[at : at + 4 * size])
+                held = [packed + end for packed in vocabulary.encode(texts[a:b])]
+                n_ids = np.array([len(x) // 4 for x in held])
+                n_pieces = -(-n_ids // size)
+                row = np.repeat(np.arange(b - a), n_pieces)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+                start = number * size
+                length = np.minimum(n_ids[row] - start, size)
+                # pieces follow each other as ids do: offsets alone cut them
+                offsets = np.append(0, 4 * np.cumsum(length)).astype(np.int64)
+                data = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(held))]
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(start, pa.int64()),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                        keys.take(pa.array(a + row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()),
+                        pa.array(length, pa.int64()), data.cast(pa.binary()),
                     ],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
-        vocabulary.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(batches, "doc_id long, piece int, start long, length long, ids binary")
@@ -171,7 +175,7 @@ def _blocks(items: DataFrame, capacity: int, n_blocks: int, level: int) -> DataF
             F.col("held.item").alias("items"), F.col("held.length").alias("lengths"),
             F.lit(None).cast("array<int>").alias("genes"), F.lit(None).cast("array<int>").alias("migrant"),
         )
-        .repartition(min(n_blocks * ISLANDS, 2000), "block", "island")
+        .repartition(n_blocks * ISLANDS, "block", "island")
     )
     for epoch in range(EPOCHS):
         if epoch:
@@ -197,16 +201,16 @@ def _blocks(items: DataFrame, capacity: int, n_blocks: int, level: int) -> DataF
 
 
 def _levels(items: DataFrame, capacity: int, level: int = 0) -> DataFrame:
-    """Blocks, then what they leave open as items of the next level while that is much less."""
+    """Blocks, then what they leave open as items of the next level, until a level saves nothing."""
     n = items.count()
     n_blocks = max(1, -(-n // BLOCK_ITEMS))
     placed = written(_blocks(items, capacity, n_blocks, level))
     if n_blocks == 1:
         return placed
     bins = placed.groupBy("sequence_id").agg(F.sum("length").alias("length"))
-    left_open = written(bins.where(F.col("length") < WELL_FILLED * capacity).withColumnRenamed("sequence_id", "item"))
-    if 2 * left_open.count() > n:
+    if bins.count() == n:
         return placed
+    left_open = written(bins.where(F.col("length") < WELL_FILLED * capacity).withColumnRenamed("sequence_id", "item"))
     again = _levels(left_open, capacity, level + 1).select(
         F.col("item").alias("sequence_id"), F.col("sequence_id").alias("moved"), F.col("offset").alias("base")
     )
@@ -223,8 +227,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     length is null, below 1 or above the capacity get null places. Ties and repeated rows are items like any other.
     """
     own = pieces.drop("sequence_id", "offset")
-    numbered = written(own.withColumn("_item", F.monotonically_increasing_id()))
+    item = "_item"
+    while item in map(str.lower, own.columns):
+        item += "_"
+    numbered = written(own.withColumn(item, F.monotonically_increasing_id()))
     fits = numbered.where(F.col("length").between(1, capacity))
-    placed = _levels(fits.select(F.col("_item").alias("item"), F.col("length").cast("long")), capacity)
-    places = placed.select(F.col("item").alias("_item"), "sequence_id", "offset")
-    return numbered.join(places, "_item", "left").select(*own.columns, "sequence_id", "offset")
+    placed = _levels(fits.select(F.col(item).alias("item"), F.col("length").cast("long")), capacity)
+    places = placed.select(F.col("item").alias(item), "sequence_id", "offset")
+    return numbered.join(places, item, "left").select(*own.columns, "sequence_id", "offset")
