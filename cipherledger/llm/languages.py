@@ -33,6 +33,8 @@ TEACHES = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 #: ASCII that is no letter counts as a blank.
 BYTES = np.array([b if b >= 0x80 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint32)
 TEXTS_AT_ONCE = 64
+#: Bytes whose n-grams are counted at once: what is made of a text takes no more room the longer it is.
+BYTES_AT_ONCE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -62,15 +64,20 @@ def codewords(n: int) -> np.ndarray:
 def profiles(texts: list[str]) -> np.ndarray:
     """Counts of hashed byte pairs and triples of each whole text, text x bucket."""
     raw = [b" " + t.lower().encode("utf-8") + b"  " for t in texts]
-    at = BYTES[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-    owner = np.repeat(np.arange(len(raw)) * BUCKETS, [len(r) for r in raw])[:-2]
-    pair = at[:-1] << 8 | at[1:]
-    triple = pair[:-1] << 8 | at[2:]
-    pair = pair[:-1]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    bounds = np.cumsum([0, *map(len, raw)])
     shift = np.uint32(32 - int(math.log2(BUCKETS)))
-    cells = [owner[keep] + (gram[keep] * np.uint32(2654435761) + salt >> shift) for gram, keep, salt in (
-        (pair, pair != 0x2020, np.uint32(0x9E3779B9)), (triple, triple & 0xFFFF != 0x2020, np.uint32(0)))]
-    return np.bincount(np.concatenate(cells), minlength=len(raw) * BUCKETS).reshape(len(raw), BUCKETS)
+    out = np.zeros(len(raw) * BUCKETS, dtype=np.int64)
+    for begin in range(0, len(data) - 2, BYTES_AT_ONCE):
+        at = BYTES[data[begin : begin + BYTES_AT_ONCE + 2]]
+        owner = np.repeat(np.arange(len(raw)) * BUCKETS, np.diff(np.clip(bounds, begin, begin + len(at) - 2)))
+        pair = at[:-1] << 8 | at[1:]
+        triple = pair[:-1] << 8 | at[2:]
+        pair = pair[:-1]
+        for gram, keep, salt in ((pair, pair != 0x2020, np.uint32(0x9E3779B9)), (triple, triple & 0xFFFF != 0x2020, np.uint32(0))):
+            cells = owner[keep] + (gram[keep] * np.uint32(2654435761) + salt >> shift)
+            out += np.bincount(cells, minlength=len(out))
+    return out.reshape(len(raw), BUCKETS)
 
 
 def in_runs(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -107,7 +114,7 @@ def train(labelled: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in (some for whole in batches for some in bpe.slices(whole)):
+        for batch in bpe.small(batches):
             texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=object)
             for a, b in in_runs(texts):
                 counts = profiles(texts[a:b])
@@ -133,7 +140,7 @@ def train(labelled: DataFrame) -> Model:
     weights = odds.T.astype(np.float32)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in batches for some in bpe.slices(whole)):
+        for batch in bpe.small(batches):
             # a language is not learned if none of its texts has an n-gram
             rows = [(t, place[x]) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x in place]
             said = margins([t for t, _ in rows], weights)
@@ -175,7 +182,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Only the text decides. Rows are judged one by one, so repeated rows and null ids stay; other columns are left out.
     """
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in source for some in bpe.slices(whole)):
+        for batch in bpe.small(source):
             names, score, unsure = predict(batch.column(1).to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(unsure)],
@@ -191,7 +198,7 @@ def recognised(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in source for some in bpe.slices(whole)):
+        for batch in bpe.small(source):
             unsure = predict(batch.column(at).to_pylist(), model)[2]
             yield batch.filter(pa.array(~unsure))
 

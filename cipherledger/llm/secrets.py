@@ -79,7 +79,7 @@ def samples_of(docs: DataFrame) -> DataFrame:
     Words of under 6 characters tell little and are left out.
     """
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in batches for some in bpe.slices(whole)):
+        for batch in bpe.small(batches):
             samples, secret = [], []
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
@@ -164,11 +164,23 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def apart(tokens: list[tuple[int, int]], spans: list[tuple[str, int, int, float]]) -> list[tuple[int, int]]:
+    """Of tokens in order those that overlap no span."""
+    upcoming, far, out = iter(sorted(s[1:3] for s in spans)), 0, []
+    following = next(upcoming, None)
+    for a, b in tokens:
+        while following and following[0] < b:
+            far = max(far, following[1])
+            following = next(upcoming, None)
+        if far <= a:
+            out.append((a, b))
+    return out
+
+
 def find(texts: list[str], model: np.ndarray, threshold: float = THRESHOLD) -> list[list[tuple[str, int, int, float]]]:
     """Spans of each text by start, then kind: kind, start, end and score (1 for fixed shapes)."""
     spans = [[(*s, 1.0) for s in base_spans(t)] for t in texts]
-    asked = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t)
-             if not any(a < d and c < b for _, c, d, _ in spans[i])]
+    asked = [(i, a, b) for i, t in enumerate(texts) for a, b in apart(candidates(t), spans[i])]
     if asked:
         cells, owner = steps([texts[i][a:b] for i, a, b in asked])
         ratio = np.bincount(owner, weights=model[cells]) / np.bincount(owner)
@@ -186,7 +198,7 @@ def scan(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD) -> Da
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in source for some in bpe.slices(whole)):
+        for batch in bpe.small(source):
             found = find(batch.column(1).to_pylist(), model, threshold)
             spans = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in text] for text in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
@@ -210,7 +222,7 @@ def redact(docs: DataFrame, model: np.ndarray, by: str = "[SECRET]") -> DataFram
     at = docs.columns.index("text")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in source for some in bpe.slices(whole)):
+        for batch in bpe.small(source):
             texts = batch.column(at).to_pylist()
             found = find([t or "" for t in texts], model)
             clean = [mask(t, s, by) if s else t for t, s in zip(texts, found, strict=True)]
