@@ -74,7 +74,10 @@ def profiles(texts: list[str]) -> np.ndarray:
         pair = at[:-1] << 8 | at[1:]
         triple = pair[:-1] << 8 | at[2:]
         pair = pair[:-1]
-        for gram, keep, salt in ((pair, pair != 0x2020, np.uint32(0x9E3779B9)), (triple, triple & 0xFFFF != 0x2020, np.uint32(0))):
+        inner = triple & 0xFFFF != 0x2020
+        last = bounds[1:] - 1 - begin
+        inner[last[(last >= 0) & (last < len(inner))]] = False  # would reach into the next text
+        for gram, keep, salt in ((pair, pair != 0x2020, np.uint32(0x9E3779B9)), (triple, inner, np.uint32(0))):
             cells = owner[keep] + (gram[keep] * np.uint32(2654435761) + salt >> shift)
             out += np.bincount(cells, minlength=len(out))
     return out.reshape(len(raw), BUCKETS)

@@ -3,6 +3,7 @@
 import heapq
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -212,6 +213,18 @@ def test_copies_of_a_vector_leave_blocks_bounded(spark):
     assert sizes.agg(F.max("score")).first()[0] <= 5 + 48
 
 
+def test_many_equal_vectors_take_little_memory():
+    rows = np.tile(np.linspace(-1, 1, 64), (2048, 1))
+    block = neighbours.quantise(np.arange(2048), rows)
+    asked = neighbours.quantise(np.arange(5000, 5128), rows[:128])
+    tracemalloc.start()
+    heaps = neighbours.best(block, asked, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(sorted(-i for _, i in h) == list(range(20)) for h in heaps)
+    assert peak < 100_000_000
+
+
 def test_tree_search_equals_a_scan():
     rng = np.random.default_rng(2)
     centres = rng.integers(-900, 900, (6, 12))

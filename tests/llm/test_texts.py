@@ -1,6 +1,7 @@
 """BPE, packing, secrets, licences and languages: brute force, odd rows, empty tables."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -39,6 +40,16 @@ def test_special_strings_in_other_case_are_ordinary_words(library, text):
     assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_small_caches_give_the_same(documents, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    vocabulary = bpe.Vocabulary(queries.VOCABULARY)
+    texts = [r.text or "" for r in documents.select("text").limit(200).collect()] + HARD
+    for at in range(0, len(texts), 7):
+        some = texts[at : at + 7]
+        got = [np.frombuffer(x, dtype="<u4").tolist() for x in vocabulary.encode(some)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_no_merge_crosses_a_cut():
     own = bpe.load(queries.VOCABULARY)
     byte_of = {c: i for i, c in enumerate(bpe.byte_characters())}
@@ -237,6 +248,36 @@ def test_contained_detections_of_lower_rank_go():
     assert labels[5] == {"lgpl-2.1"} and labels[6] == {"gpl-3"} and labels[7] == {"cc-by-nc-sa"}
 
 
+def test_suppression_by_brute_force():
+    rng, own = np.random.default_rng(4), license_rules.rules()
+    some = [own[i] for i in (0, 1, 5, 80, 150, 220, 300, len(own) - 1)]
+    for _ in range(300):
+        found = [(a, a + int(rng.integers(0, 6)), some[rng.integers(len(some))]) for a in rng.integers(0, 12, 14).tolist()]
+        kept = []
+        for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name)):
+            if rule.name.startswith("base:") or not any(a <= start and end <= b for a, b, _ in kept):
+                kept.append((start, end, rule))
+        assert licenses.resolve(found) == sorted(kept, key=lambda d: (d[0], d[1], d[2].name))
+
+
+def test_long_texts_dense_in_hits_take_seconds():
+    began = time.process_time()
+    assert len(licenses.detect(b"mit license foo " * 100_000)) >= 100_000
+    token = "aB3dE5gH7jK9mN1pQ3 token=abcdef12 "
+    assert len(secrets.find([token * 50_000], np.zeros((secrets.N + 1) * secrets.N))[0]) >= 50_000
+    assert time.process_time() - began < 60
+
+
+def test_tokens_that_overlap_a_span_by_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        begins = np.sort(rng.choice(200, 12, replace=False)).tolist()
+        tokens = [(a, min(b, a + 5)) for a, b in zip(begins, [*begins[1:], 210])]
+        spans = [("hex", a, a + int(rng.integers(1, 30)), 1.0) for a in rng.integers(0, 200, 4).tolist()]
+        want = [(a, b) for a, b in tokens if not any(a < d and c < b for _, c, d, _ in spans)]
+        assert secrets.apart(tokens, spans) == want
+
+
 def test_licenses_odd_rows(odd_docs, no_docs):
     rows = licenses.scan(odd_docs).collect()
     assert len(rows) == odd_docs.count() and {r.n_words for r in rows if r.doc_id in (3, 4, 9)} == {0}
@@ -255,6 +296,17 @@ def test_held_out_accuracy(spark):
     assert {r.held_out for r in rows} == {True} and all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
 
 
+def test_profiles_are_the_same_however_they_are_cut(monkeypatch):
+    texts = ["", "Été à la mer", "x" * 300, "12 ab", "ß"]
+    whole = languages.profiles(texts)
+    alone = np.concatenate([languages.profiles([t]) for t in texts])
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(languages, "BYTES_AT_ONCE", size)
+        assert (languages.profiles(texts) == whole).all()
+    # a text does not count what stands in the next one
+    assert whole.shape == alone.shape and (whole == alone).all()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 30])
 def test_codewords_are_distinct(n):
     code = languages.codewords(n)
