@@ -21,19 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that a worker's chunks, words and fragments may take, each: common ones stay at hand, memory doesn't grow with
 #: the input, however long they are.
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 96_000_000
 #: What an entry costs besides the characters of its key and the bytes of its value.
 ENTRY_BYTES = 180
 #: Rows of an Arrow batch that are taken out at once.
 SLICE_ROWS = 256
 #: Texts are handled in runs of about this many characters, so memory doesn't follow the Arrow batch.
 CHUNK_CHARS = 500_000
+#: Bytes of text that are encoded at once: the more, the less often a word is looked for.
+RUN_BYTES = 2_000_000
 END = 256
 NO_RANK = np.int32(2**31 - 1)
 WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
@@ -54,10 +57,10 @@ class Kept:
         if self.size > CACHE_BYTES // 2:
             self.new, self.old, self.size = dict(self.always), self.new, 0
         left = wanted.difference(self.new)
-        back = {key: self.old[key] for key in left if key in self.old}
+        back = left.intersection(self.old)
         if back:
-            self.add(back)
-        return left.difference(back)
+            self.add(dict(zip(back, map(self.old.__getitem__, back), strict=True)))
+        return left - back
 
     def add(self, found: dict) -> None:
         self.new.update(found)
@@ -153,15 +156,19 @@ class Vocabulary:
         return {(token,): number.to_bytes(4, "little") for token, number in self.special.items()}
 
     def _of_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each chunk, put together from its words'."""
-        words = self.find_words_and_breaks("\n".join(chunks) + "\n")
+        """Ids of each chunk, put together from its words'; a chunk of ASCII letters alone is one word."""
+        single = [c for c in chunks if c.isalpha() and c.isascii()]
+        mixed = list(set(chunks).difference(single))
+        words = self.find_words_and_breaks("\n".join(mixed) + "\n")
         distinct = set(words)
         distinct.discard("\n")
+        distinct.update(single)
         missing = self.words.missing(distinct)
         if missing:
             self.words.add(self._of_words(list(missing)))
-        find, out, begin = self.words.new.__getitem__, {}, 0
-        for chunk in chunks:
+        find, begin = self.words.new.__getitem__, 0
+        out = dict(zip(single, map(find, single), strict=True))
+        for chunk in mixed:
             end = words.index("\n", begin)
             out[chunk] = find(words[begin]) if end == begin + 1 else b"".join(map(find, words[begin:end]))
             begin = end + 1
@@ -308,6 +315,15 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, SLICE_ROWS)
 
 
+def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (key, text) in slices of about RUN_BYTES of text, or one longer text."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64) // RUN_BYTES
+    stops = [*(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+    for begin, stop in zip([0, *stops], stops):
+        if stop > begin:
+            yield batch.slice(begin, stop - begin)
+
+
 def give_back() -> None:
     """Freed memory goes back to the system: a worker process lives on, and so does what its allocators hold."""
     gc.collect()
@@ -317,9 +333,12 @@ def give_back() -> None:
 
 
 def small(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary | None = None) -> Iterator[pa.RecordBatch]:
-    """A task's batches in small slices; at its end the vocabulary's caches and freed memory are given back."""
+    """A task's batches in small slices, by bytes of text where a vocabulary encodes them.
+
+    At the task's end the vocabulary's caches and freed memory are given back.
+    """
     for batch in batches:
-        yield from slices(batch)
+        yield from by_bytes(batch) if vocabulary else slices(batch)
     if vocabulary:
         vocabulary.forget()
     give_back()
@@ -334,10 +353,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def batches(source):
         vocabulary = load(path)
         for some in small(source, vocabulary):
-            keys, texts = some.column(0), some.column(1).to_pylist()
-            for a, b in runs(texts):
-                ids = vocabulary.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = vocabulary.encode(some.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(batches, "doc_id long, ids binary")

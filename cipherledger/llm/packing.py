@@ -42,27 +42,25 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
     def batches(source):
         vocabulary = bpe.load(path)
         for batch in bpe.small(source, vocabulary):
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in bpe.runs(texts):
-                held = [packed + end for packed in vocabulary.encode(texts[a:b])]
-                n_ids = np.array([len(x) // 4 for x in held])
-                n_pieces = -(-n_ids // size)
-                row = np.repeat(np.arange(b - a), n_pieces)
-                number = np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
-                start = number * size
-                length = np.minimum(n_ids[row] - start, size)
-                # pieces follow each other as ids do: offsets alone cut them
-                offsets = np.append(0, 4 * np.cumsum(length)).astype(np.int64)
-                data = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(held))]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys.take(pa.array(a + row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()),
-                        pa.array(length, pa.int64()), data.cast(pa.binary()),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids"],
-                )
+            held = [packed + end for packed in vocabulary.encode(batch.column(1).to_pylist())]
+            n_ids = np.array([len(x) // 4 for x in held])
+            n_pieces = -(-n_ids // size)
+            row = np.repeat(np.arange(len(held)), n_pieces)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+            start = number * size
+            length = np.minimum(n_ids[row] - start, size)
+            # pieces follow each other as ids do: offsets alone cut them
+            offsets = np.append(0, 4 * np.cumsum(length)).astype(np.int64)
+            data = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(held))]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64()), data.cast(pa.binary()),
+                ],
+                ["doc_id", "piece", "start", "length", "ids"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(batches, "doc_id long, piece int, start long, length long, ids binary")
