@@ -1,5 +1,6 @@
 """Signature rules of licences: hand-written patterns over words, in families of decreasing priority.
 
+``license_signatures`` has those of texts, notices, metadata and dual licences; here are names, identifiers and addresses.
 A pattern reads a text's words in lower case with one blank between them. ``V(n)`` is a version as it is usually written.
 """
 
@@ -8,6 +9,8 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+from cipherledger.llm.license_signatures import KINDS, SIGNATURES
+
 
 class Rule(NamedTuple):
     """``gates``: every match contains one of these strings; ``priority``: the higher one wins an overlap."""
@@ -139,4 +142,7 @@ def rules() -> list[Rule]:
         found.append(Rule(f"name:{label}", label, keys, _compiled(name), 50, 0.7))
     for label, (gate, words) in CLAUSES.items():
         found.append(Rule(f"clause:{label}", label, (gate.encode(),), _compiled(words), 40, 0.8))
+    for name, label, gate, kind, words, _ in SIGNATURES:
+        priority, weight = KINDS[kind]
+        found.append(Rule(f"{kind}:{name}", label, (gate.encode(),), _compiled(words), priority, weight))
     return sorted(found, key=lambda r: -r.priority)

@@ -27,6 +27,9 @@ SIEVE = (
     b"licen", b"spdx", b"cc", b"bsd", b"commons", b"mozilla", b"eclipse", b"joinup", b"wtfpl", b"consortium", b"scripts",
     b"permission", b"redistribut", b"warranty", b"unencumbered", b"hereby", b"domain", b"reserved", b"confidential",
     b"released", b"distributed", b"published", b"available", b"provided", b"offered", b"shared", b"covered",
+    b"software", b"copyright", b"gpl", b"apache", b"endorse", b"advertising", b"altered", b"executable", b"verbatim", b"royalty",
+    b"waived", b"remotely", b"classpath", b"bison", b"perl", b"ruby", b"mulan", b"unicode", b"beer", b"reproduction", b"forbidden",
+    b"prohibited", b"evaluation", b"internal", b"commercial",
 )
 DETECTION = pa.struct([
     ("rule", pa.string()), ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("weight", pa.float64()),
