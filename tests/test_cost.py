@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cipherledger.functions import text
 from cipherledger.operators import detect_manifests
 from verification import corpus
 
@@ -25,3 +26,9 @@ def test_manifests_are_read_once_however_many_libraries(make_files):
         ("build.gradle", 2, "DEP-JAVA-JASYPT"), ("build.gradle", 3, "DEP-JAVA-NIMBUS"), ("pom.xml", 1, "DEP-JAVA-BOUNCYCASTLE"),
     ]
     assert plan_of(found).count("<groupId>") <= 2  # its test and its pattern
+
+
+def test_entropy_measures_the_text_once(spark):
+    rows = spark.createDataFrame([("",), ("aab\U0001f600",), (None,), ("aa",)], "t string").select(text.string_entropy(F.col("t")).alias("h"))
+    assert [None if r[0] is None else round(r[0], 6) for r in rows.collect()] == [0.0, 1.5, None, 0.0]
+    assert plan_of(rows).count("length(t") == 2
