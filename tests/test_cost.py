@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from cipherledger.functions import text
-from cipherledger.operators import detect_manifests
+from cipherledger.operators import detect_manifests, lines
+from cipherledger.sources import rules as rule_tables
 from verification import corpus
 
 
@@ -32,3 +33,11 @@ def test_entropy_measures_the_text_once(spark):
     rows = spark.createDataFrame([("",), ("aab\U0001f600",), (None,), ("aa",)], "t string").select(text.string_entropy(F.col("t")).alias("h"))
     assert [None if r[0] is None else round(r[0], 6) for r in rows.collect()] == [0.0, 1.5, None, 0.0]
     assert plan_of(rows).count("length(t") == 2
+
+
+def test_lines_without_a_required_string_meet_no_pattern(spark):
+    rules = [r for r in rule_tables.resolve_rules(rule_tables.load_source_rules()) if r[2] == "python"]
+    rows = spark.createDataFrame([("digest = hashlib.md5(data)", "python"), ("nothing", "python"), (None, "python")], "line string, language string")
+    found = lines.match_lines(rows, rules)
+    assert [r[0] for r in found.select("line").collect()] == ["digest = hashlib.md5(data)"]
+    assert "Contains(line" in plan_of(found)
