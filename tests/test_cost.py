@@ -1,9 +1,11 @@
 """Work done once, where a plan could repeat it for every match, library or row."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from cipherledger.fixed import compliance_rules
 from cipherledger.functions import text
-from cipherledger.operators import detect_manifests, lines
+from cipherledger.operators import detect_manifests, enrich, lines
 from cipherledger.sources import rules as rule_tables
 from verification import corpus
 
@@ -41,3 +43,21 @@ def test_lines_without_a_required_string_meet_no_pattern(spark):
     found = lines.match_lines(rows, rules)
     assert [r[0] for r in found.select("line").collect()] == ["digest = hashlib.md5(data)"]
     assert "Contains(line" in plan_of(found)
+
+
+@pytest.mark.parametrize("frameworks", [None, ["NIST", "GDPR"], []])
+def test_requirements_are_those_of_the_tests_row_by_row(spark, frameworks):
+    families = sorted({f for r in compliance_rules.REQUIREMENTS for f in r[2]}) + [None, "Other", ""]
+    risks = ["vulnerable", "weakened", "safe", "unknown", None, ""]
+    rows = [(((f"n {f}", f, size)), k) for f in families for k in risks for size in (None, 0, 1023, 1024, 2047, 2048, 3071, 3072, 9999)]
+    findings = spark.createDataFrame(rows, "algorithm struct<name:string,family:string,key_size:int>, quantum_risk string").withColumn(
+        "algorithm", F.when(F.col("algorithm.key_size") == 0, F.lit(None)).otherwise(F.col("algorithm"))
+    )
+    got = enrich.explode_compliance(findings, frameworks)
+    if frameworks == []:
+        assert got.count() == 0
+        return
+    want = findings.withColumn("ref", F.explode(enrich.compliance_refs(frameworks=frameworks))).select("*", "ref.*").drop("ref")
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert plan_of(got).count("CASE WHEN") < 20
