@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cipherledger.fixed import compliance_rules
+from cipherledger.fixed import compliance_rules, config_rules
 from cipherledger.functions import text
-from cipherledger.operators import detect_manifests, enrich, lines
+from cipherledger.operators import detect_config, detect_manifests, enrich, lines
+from cipherledger.operators.detect_text import secrets_detector
+from cipherledger.operators.hits import assemble, find_first
 from cipherledger.sources import rules as rule_tables
 from verification import corpus
 
@@ -61,3 +63,17 @@ def test_requirements_are_those_of_the_tests_row_by_row(spark, frameworks):
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert plan_of(got).count("CASE WHEN") < 20
+
+
+def test_directives_are_numbered_once_however_many_values(make_files):
+    files = make_files({"nginx.conf": "listen 1;\nssl_protocols TLSv1;\n\n  ssl_protocols SSLv3 TLSv1.1;\n", "site.conf": "SSL\n"})
+    found = detect_config.detect_tls(files)
+    assert sorted(r[0] for r in found.where("location.file_path = 'nginx.conf'").select("location.line_number").collect()) == [2, 4, 4]
+    assert found.where("location.file_path = 'site.conf'").count() == 0
+    assert "rlike" in plan_of(found).lower()
+    assert plan_of(found).lower().count("regexp_replace(tls_text") <= len(config_rules.TLS_DIRECTIVES)
+
+
+def test_neighbours_are_lowered_once(make_files):
+    rows = find_first(make_files({"a.ini": "x"}), assemble([secrets_detector()]))
+    assert plan_of(rows).lower().count("lower(array_join") == 1
