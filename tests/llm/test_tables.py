@@ -281,11 +281,11 @@ def test_sql_twin(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    want = con.sql(queries.ORACLES[name]).df()
-    got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+    want = con.execute(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, SF).select(*[d[0] for d in want.description])
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
 
 
 def test_pipeline_stage_by_stage(spark, documents):
