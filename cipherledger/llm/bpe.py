@@ -47,6 +47,7 @@ class Kept:
 
     def __init__(self, always: dict | None = None):
         self.always = always or {}
+        self.most: int | None = None  # CACHE_BYTES
         self.clear()
 
     def clear(self) -> None:
@@ -54,7 +55,7 @@ class Kept:
 
     def missing(self, wanted: set) -> set:
         """What of ``wanted`` has to be added; all else is in ``new`` from here on, until the next call."""
-        if self.size > CACHE_BYTES // 2:
+        if self.size > (self.most or CACHE_BYTES) // 2:
             self.new, self.old, self.size = dict(self.always), self.new, 0
         left = wanted.difference(self.new)
         back = left.intersection(self.old)
@@ -278,6 +279,11 @@ class Vocabulary:
                 offer(before[i], i)
         return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
 
+    def bound(self, cache_bytes: int | None) -> None:
+        """What each cache may take from here on (None: CACHE_BYTES)."""
+        for kept in (self.known, self.words, self.fragments):
+            kept.most = cache_bytes
+
     def forget(self) -> None:
         """Empty the caches: the worker process goes on to other work."""
         for kept in (self.known, self.words, self.fragments):
@@ -315,9 +321,10 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, SLICE_ROWS)
 
 
-def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch of (key, text) in slices of about RUN_BYTES of text, or one longer text."""
-    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64) // RUN_BYTES
+def by_bytes(batch: pa.RecordBatch, run_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch of (key, text) in slices of about ``run_bytes`` of text (RUN_BYTES), or one longer text."""
+    sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes, dtype=np.int64) // (run_bytes or RUN_BYTES)
     stops = [*(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
     for begin, stop in zip([0, *stops], stops):
         if stop > begin:
@@ -332,13 +339,15 @@ def give_back() -> None:
         trim(0)
 
 
-def small(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary | None = None) -> Iterator[pa.RecordBatch]:
+def small(
+    batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary | None = None, run_bytes: int | None = None
+) -> Iterator[pa.RecordBatch]:
     """A task's batches in small slices, by bytes of text where a vocabulary encodes them.
 
     At the task's end the vocabulary's caches and freed memory are given back.
     """
     for batch in batches:
-        yield from by_bytes(batch) if vocabulary else slices(batch)
+        yield from by_bytes(batch, run_bytes) if vocabulary else slices(batch)
     if vocabulary:
         vocabulary.forget()
     give_back()
@@ -352,6 +361,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     def batches(source):
         vocabulary = load(path)
+        vocabulary.bound(None)
         for some in small(source, vocabulary):
             ids = vocabulary.encode(some.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])

@@ -32,16 +32,21 @@ WELL_FILLED = 0.98
 Bins = list[list[int]]
 
 
-def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str, size: int, end_id: int = 0, cache_bytes: int | None = None, run_bytes: int | None = None
+) -> DataFrame:
     """``doc_id, piece, start, length, ids``: each document's ids and one end id, cut every ``size`` ids.
 
-    A null or empty text is one piece of the end id alone. Repeated rows give repeated pieces.
+    A null or empty text is one piece of the end id alone. Repeated rows give repeated pieces. A worker's memory is
+    bounded by ``cache_bytes`` for each of its three caches and ``run_bytes`` of text at once (else those of ``bpe``): with
+    less of it, words are worked out more often.
     """
     end = end_id.to_bytes(4, "little")
 
     def batches(source):
         vocabulary = bpe.load(path)
-        for batch in bpe.small(source, vocabulary):
+        vocabulary.bound(cache_bytes)
+        for batch in bpe.small(source, vocabulary, run_bytes):
             held = [packed + end for packed in vocabulary.encode(batch.column(1).to_pylist())]
             n_ids = np.array([len(x) // 4 for x in held])
             n_pieces = -(-n_ids // size)
@@ -218,17 +223,18 @@ def _levels(items: DataFrame, capacity: int, level: int = 0) -> DataFrame:
     )
 
 
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, batch_rows: int | None = None) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``; pieces of a sequence follow each other without gaps.
 
     ``pieces`` needs a ``length``; other columns are kept (own ``sequence_id`` and ``offset`` are replaced). Rows whose
     length is null, below 1 or above the capacity get null places. Ties and repeated rows are items like any other.
+    While ``pieces`` is worked out, ``batch_rows`` bounds the rows that go to a Python worker at once.
     """
     own = pieces.drop("sequence_id", "offset")
     item = "_item"
     while item in map(str.lower, own.columns):
         item += "_"
-    numbered = written(own.withColumn(item, F.monotonically_increasing_id()))
+    numbered = written(own.withColumn(item, F.monotonically_increasing_id()), batch_rows)
     fits = numbered.where(F.col("length").between(1, capacity))
     placed = _levels(fits.select(F.col(item).alias("item"), F.col("length").cast("long")), capacity)
     places = placed.select(F.col("item").alias(item), "sequence_id", "offset")

@@ -73,27 +73,49 @@ def built_in_samples() -> tuple[list[str], list[int]]:
     return strings + names, [1] * len(strings) + [0] * len(names)
 
 
+def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``sample, is_secret`` of batches of texts."""
+    for batch in bpe.small(batches):
+        samples, secret = [], []
+        for text in batch.column(0).to_pylist():
+            spans = base_spans(text)
+            values = [ASSIGN.match(text, a).group(2) if kind == "assign" else text[a:b] for kind, a, b in spans]
+            begin, words = 0, []
+            for a, b in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
+                words += [w for w in text[begin:a].split() if len(w) >= 6 and w.isascii()]
+                begin = max(begin, b)
+            samples += values + words
+            secret += [1] * len(values) + [0] * len(words)
+        columns = [pa.array(samples, pa.string()), pa.array(secret, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["sample", "is_secret"])
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"))
+
+
 def samples_of(docs: DataFrame) -> DataFrame:
     """``sample, is_secret`` from documents: values in fixed shapes against the words around them.
 
     Words of under 6 characters tell little and are left out.
     """
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bpe.small(batches):
-            samples, secret = [], []
-            for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                values = [ASSIGN.match(text, a).group(2) if kind == "assign" else text[a:b] for kind, a, b in spans]
-                begin, words = 0, []
-                for a, b in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
-                    words += [w for w in text[begin:a].split() if len(w) >= 6 and w.isascii()]
-                    begin = max(begin, b)
-                samples += values + words
-                secret += [1] * len(values) + [0] * len(words)
-            columns = [pa.array(samples, pa.string()), pa.array(secret, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["sample", "is_secret"])
-
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(label, "sample string, is_secret int")
+    return texts_of(docs).mapInArrow(labelled, "sample string, is_secret int")
+
+
+def tally(tokens: list[str], secret: list[int]) -> np.ndarray:
+    """How often each step stands in ordinary samples, then in secret ones."""
+    cells, owner = steps([t.replace("\n", " ") for t in tokens])
+    return np.bincount(cells + np.array(secret, dtype=np.int64)[owner] * (N + 1) * N, minlength=2 * (N + 1) * N)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cell, n``: the steps of batches of samples."""
+    seen = np.zeros(2 * (N + 1) * N, dtype=np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            seen += tally(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+    cells = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells])], ["cell", "n"])
 
 
 def train(samples: DataFrame) -> np.ndarray:
@@ -101,23 +123,13 @@ def train(samples: DataFrame) -> np.ndarray:
 
     Rows with a null are left out. Steps are counted where the samples lie; two tables of fixed size come together.
     """
-    def tally(tokens: list[str], secret: list[int]) -> np.ndarray:
-        cells, owner = steps([t.replace("\n", " ") for t in tokens])
-        return np.bincount(cells + np.array(secret, dtype=np.int64)[owner] * (N + 1) * N, minlength=2 * (N + 1) * N)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(2 * (N + 1) * N, dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                seen += tally(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        cells = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells])], ["cell", "n"])
-
     known = samples.where("sample IS NOT NULL AND is_secret IS NOT NULL")
-    rows = (
-        known.select("sample", F.col("is_secret").cast("int")).mapInArrow(count, "cell long, n long")
-        .groupBy("cell").agg(F.sum("n")).collect()
-    )
+    return model_of(known.select("sample", F.col("is_secret").cast("int")).mapInArrow(counted, "cell long, n long"))
+
+
+def model_of(cells: DataFrame) -> np.ndarray:
+    """The model from rows ``cell, n`` of counted steps and the built-in samples."""
+    rows = cells.groupBy("cell").agg(F.sum("n")).collect()
     counts = tally(*built_in_samples()).astype(float)
     for cell, n in rows:
         counts[cell] += n
@@ -130,10 +142,14 @@ def train(samples: DataFrame) -> np.ndarray:
 
 
 def train_on(docs: DataFrame) -> np.ndarray:
-    """A model from about SAMPLE_DOCS documents (all, if fewer)."""
+    """A model from about SAMPLE_DOCS documents (all, if fewer).
+
+    Their samples are counted by the Python worker that cuts them: two steps in Python would take two workers a task, and
+    all of them stay for the work that follows.
+    """
     share = max(1, docs.count() // SAMPLE_DOCS)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    return train(samples_of(chosen))
+    return model_of(texts_of(chosen).mapInArrow(lambda batches: counted(labelled(batches)), "cell long, n long"))
 
 
 # ---- scanning

@@ -5,12 +5,13 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cipherledger.llm import bpe, languages, license_rules, licenses, packing, queries, secrets
+from cipherledger.llm import bpe, languages, license_rules, licenses, packing, queries, secrets, store
 from tests.llm.conftest import SF
 
 HARD = [
@@ -50,6 +51,49 @@ def test_small_caches_give_the_same(documents, library, monkeypatch):
         assert got == [library.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_caches_stay_within_their_bound(spark):
+    """Texts of words that never come again: caches hold no more than they may and one run, pieces are the same."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 100), x -> md5(concat(id, '-', x)))) AS text")
+    texts = [r.text for r in docs.collect()]
+    vocabulary = bpe.Vocabulary(queries.VOCABULARY)
+    want = vocabulary.encode(texts)
+    vocabulary.forget()
+    vocabulary.bound(200_000)
+    for at in range(0, len(texts), 5):
+        assert vocabulary.encode(texts[at : at + 5]) == want[at : at + 5]
+        for kept in (vocabulary.known, vocabulary.words, vocabulary.fragments):
+            of_run = 5 * 100 * (bpe.ENTRY_BYTES + 200) * 8  # fragments: some a word
+            assert kept.size <= 100_000 + of_run and len(kept.new) + len(kept.old) < 10_000
+    plain = packing.pieces(docs, queries.VOCABULARY, 256)
+    tight = packing.pieces(docs, queries.VOCABULARY, 256, cache_bytes=200_000, run_bytes=20_000)
+    assert sorted(map(tuple, tight.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_runs_are_of_the_bytes_asked_for():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 100] * 50)], ["doc_id", "text"])
+    some = list(bpe.by_bytes(batch, 1_000))
+    assert max(s.num_rows for s in some) <= 10 and pa.Table.from_batches(some).column(0).to_pylist() == list(range(50))
+
+
+def test_workers_get_as_many_rows_as_packing_lets_them(spark):
+    """The bound holds while the pieces are worked out, and the session's own comes back, after a failure too."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([batch.num_rows] * batch.num_rows)], ["id", "length"])
+
+    items = spark.range(0, 1000, 1, 2).mapInArrow(sizes, "id long, length long")
+    rows = packing.pack(items, 2048, 50).collect()
+    assert len(rows) == 1000 and {r.length for r in rows} == {50}
+    assert spark.conf.get(name) == before
+    with pytest.raises(ValueError), store.arrow_batches(spark, 50):
+        assert spark.conf.get(name) == "50"
+        raise ValueError
+    assert spark.conf.get(name) == before
+
+
 def test_no_merge_crosses_a_cut():
     own = bpe.load(queries.VOCABULARY)
     byte_of = {c: i for i, c in enumerate(bpe.byte_characters())}
@@ -156,6 +200,20 @@ def test_models_tell_random_strings_from_identifiers(documents):
     assert [(k, a, b) for k, a, b, _ in found[0]] == [("random", 4, 24)] and found[1] == []
 
 
+def test_models_are_counted_in_one_step_of_python(documents, odd_docs, no_docs, monkeypatch):
+    """The same model as from the samples, and no task that takes two workers."""
+    plans, model_of = [], secrets.model_of
+    monkeypatch.setattr(secrets, "model_of", lambda cells: plans.append(cells._jdf.queryExecution().toString()) or model_of(cells))
+    for docs in (documents, odd_docs, no_docs):
+        assert np.array_equal(secrets.train_on(docs), model_of_samples(docs, model_of))
+    assert [p.split("== Physical Plan ==")[1].count("MapInArrow") for p in plans] == [1] * 3
+
+
+def model_of_samples(docs, model_of):
+    samples = secrets.samples_of(docs)
+    return model_of(samples.mapInArrow(secrets.counted, "cell long, n long"))
+
+
 def test_secrets_odd_rows(spark, odd_docs, no_docs):
     model = secrets.train_on(no_docs)  # the built-in samples alone
     rows = {r.doc_id: r.spans for r in secrets.scan(odd_docs, model).collect()}
