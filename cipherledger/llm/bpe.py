@@ -58,10 +58,11 @@ class Kept:
         if self.size > (self.most or CACHE_BYTES) // 2:
             self.new, self.old, self.size = dict(self.always), self.new, 0
         left = wanted.difference(self.new)
-        back = left.intersection(self.old)
+        # a set's own intersection would walk through all that is kept
+        back = list(filter(self.old.__contains__, left))
         if back:
             self.add(dict(zip(back, map(self.old.__getitem__, back), strict=True)))
-        return left - back
+        return left.difference(back)
 
     def add(self, found: dict) -> None:
         self.new.update(found)

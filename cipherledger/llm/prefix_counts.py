@@ -26,15 +26,18 @@ from pyspark.sql.types import LongType
 
 from cipherledger.llm import bpe
 
-#: Bytes that a worker's tables of words, of chunks and of token pairs may take, each; what is there goes when more comes.
-#: Words stay from task to task, chunks go with the task.
+#: Bytes that a worker's tables of words, of chunks and of token pairs may take, each; words and chunks that were not met
+#: for half of them go when more come. Words stay from task to task, chunks go with the task.
 CACHE_BYTES = 96_000_000
-#: What an entry of a table costs besides the characters of its key and value.
+#: What an entry of the pairs costs.
 ENTRY_BYTES = 220
 #: A change of the count beyond this is written in four bytes, as are all others of that text.
 WIDEST = 127
 CONTRACTION = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d").fullmatch
 NO_LIMIT = 2**40
+#: White space besides the blank, in ASCII and in all.
+ASCII_WHITE = "\t\n\v\f\r"
+ALL_WHITE = [c for c in map(chr, range(0x10000)) if c != " " and regex.match(f"[{bpe.WHITE}]", c)]
 
 
 class PrefixCounter:
@@ -55,8 +58,9 @@ class PrefixCounter:
         alone = [*own.base.tolist(), *whole]
         self.inner, self.ending = self._tries(alone)
         self.pairs: dict[int, bool] = {}
+        self.words, self.chunks = bpe.Kept(), bpe.Kept({"": b""})
+        self.words.most = self.chunks.most = CACHE_BYTES
         self.forget()
-        self.all_pieces = regex.compile(f"[^{bpe.WHITE}]+|[{bpe.WHITE}]+").findall
         self.last_chunk = regex.compile(rf"[^{bpe.WHITE}]*\Z")
 
     def side_by_side(self, left: int, right: int, limit: int = NO_LIMIT) -> bool:
@@ -94,33 +98,20 @@ class PrefixCounter:
             node[symbol] = (node.get(symbol, ({}, -1))[0], token)
         return inner, ending
 
-    def may_follow(self, before: int, token: int) -> bool:
-        """The same, remembered."""
+    def may_follow(self, pair: int) -> bool:
+        """The same of a pair (left << 16 | right), remembered."""
         if len(self.pairs) * ENTRY_BYTES > CACHE_BYTES:
             self.pairs.clear()
-        apart = self.pairs[before << 16 | token] = self.side_by_side(before, token)
+        apart = self.pairs[pair] = self.side_by_side(pair >> 16, pair & 65535)
         return apart
 
-    def _last(self, trie: dict, data: bytes, at: int, last: list[int]) -> tuple[int, int]:
-        """The one token that ends before ``at`` and can follow what stands before it, and where it begins."""
-        known = self.pairs.get
-        while True:
-            at -= 1
-            trie, token = trie[data[at]]
-            if token >= 0:
-                if at == 0:
-                    return token, 0
-                apart = known(last[at] << 16 | token)
-                if apart is None:
-                    apart = self.may_follow(last[at], token)
-                if apart:
-                    return token, at
-
     def counts_of_words(self, words: list[str]) -> Iterator[list[int]]:
         """For each of some sorted words the tokens of its prefixes, by code points.
 
-        What a word shares with the one before it is not worked out again.
+        Of the tokens that end a prefix, shortest first, the one that can follow what stands before it is its last. What a
+        word shares with the one before it is not worked out again.
         """
+        known, whole, marked = self.pairs, self.inner, self.ending
         last, inner, ended, previous = [0], [0], [0], b""
         for word in words:
             data = word.encode("utf-8")
@@ -131,10 +122,28 @@ class PrefixCounter:
                 shared += 1
             del last[shared + 1 :], inner[shared + 1 :], ended[shared + 1 :]
             for at in range(shared + 1, n + 1):
-                token, begin = self._last(self.inner, data, at, last)
+                trie, begin = whole, at
+                while True:
+                    begin -= 1
+                    trie, token = trie[data[begin]]
+                    if token >= 0:
+                        if not begin:
+                            break
+                        pair = last[begin] << 16 | token
+                        if known[pair] if pair in known else self.may_follow(pair):
+                            break
                 last.append(token)
                 inner.append(inner[begin] + 1)
-                _, begin = self._last(self.ending, data, at, last)
+                trie, begin = marked, at
+                while True:
+                    begin -= 1
+                    trie, token = trie[data[begin]]
+                    if token >= 0:
+                        if not begin:
+                            break
+                        pair = last[begin] << 16 | token
+                        if known[pair] if pair in known else self.may_follow(pair):
+                            break
                 ended.append(inner[begin] + 1)
             previous = data
             counts = ended[1:] if n == len(word) else [ended[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
@@ -144,56 +153,68 @@ class PrefixCounter:
 
     # ---- words to texts
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Changes of the count within chunks, from those of their distinct words."""
         found = self.vocabulary.find_words_and_breaks("\n".join(chunks) + "\n")
-        words = self.words
-        new = sorted(set(found) - words.keys() - {"\n"})
-        for word, counts in zip(new, self.counts_of_words(new), strict=True):
-            changes = [b - a for a, b in zip([0, *counts], counts)]
-            if max(changes) > WIDEST or min(changes) < -WIDEST:
-                self.wide[word] = np.array(changes, dtype=np.int32)
-                changes = [0] * len(changes)
-            words[word] = bytes([c & 255 for c in changes])
-            self.of_words += ENTRY_BYTES + 2 * len(word)
-        begin, chunks_of = 0, self.chunks
-        breaks = [i for i, w in enumerate(found) if w == "\n"]
-        for chunk, end in zip(chunks, breaks, strict=True):
-            if self.wide and not self.wide.keys().isdisjoint(found[begin:end]):
-                self.wide[chunk] = np.concatenate([
-                    self.wide[w] if w in self.wide else np.frombuffer(words[w], np.int8).astype(np.int32) for w in found[begin:end]
-                ])
-            chunks_of[chunk] = words[found[begin]] if end == begin + 1 else b"".join([words[w] for w in found[begin:end]])
-            self.of_chunks += ENTRY_BYTES + 2 * len(chunk)
+        distinct = set(found)
+        distinct.discard("\n")
+        new = sorted(self.words.missing(distinct))
+        self.words.add({word: self._changes_of(word, counts) for word, counts in zip(new, self.counts_of_words(new), strict=True)})
+        words, wide, out, begin = self.words.new, self.wide, {}, 0
+        for chunk in chunks:
+            end = found.index("\n", begin)
+            if wide and not wide.keys().isdisjoint(found[begin:end]):
+                self._keep_wide(chunk, np.concatenate([self._widened(w, words) for w in found[begin:end]]))
+            out[chunk] = words[found[begin]] if end == begin + 1 else b"".join([words[w] for w in found[begin:end]])
             begin = end + 1
+        return out
+
+    def _changes_of(self, word: str, counts: list[int]) -> bytes:
+        changes = list(map(int.__sub__, counts, [0, *counts]))
+        if max(changes) > WIDEST or min(changes) < -WIDEST:
+            self._keep_wide(word, np.array(changes, dtype=np.int32))
+            return bytes(len(changes))
+        return np.array(changes, dtype=np.int8).tobytes() if min(changes) < 0 else bytes(changes)
+
+    def _keep_wide(self, own: str, changes: np.ndarray) -> None:
+        self.wide[own] = changes
+        self.of_wide += ENTRY_BYTES + 5 * len(own)
+
+    def _widened(self, own: str, table: dict[str, bytes]) -> np.ndarray:
+        return self.wide[own] if own in self.wide else np.frombuffer(table[own], np.int8).astype(np.int32)
 
     def forget(self) -> None:
         """Start the tables of words and chunks anew."""
-        self.words: dict[str, bytes] = {}
+        self.words.clear()
         self.wide: dict[str, np.ndarray] = {}
-        self.of_words = 0
+        self.of_wide = 0
         self.forget_chunks()
 
     def forget_chunks(self) -> None:
         """Give the memory of chunks back; words stay."""
-        self.chunks: dict[str, bytes] = {}
-        self.of_chunks = 0
+        self.chunks.clear()
 
-    def _changes(self, pieces: list[str]) -> np.ndarray:
-        """Changes over chunks and white space in turn (all of them known)."""
-        if self.wide and not self.wide.keys().isdisjoint(pieces):
-            return np.concatenate([
-                self.wide[p] if p in self.wide else np.frombuffer(self.chunks[p], np.int8).astype(np.int32) for p in pieces
-            ])
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, pieces)), np.int8)
+    def _changes(self, chunks: list[str]) -> np.ndarray:
+        """Changes over chunks (all of them known) and the one blank between any two."""
+        table = self.chunks.new
+        if self.wide and not self.wide.keys().isdisjoint(chunks):
+            blank = np.zeros(1, np.int32)
+            return np.concatenate([x for c in chunks for x in (blank, self._widened(c, table))][1:])
+        return np.frombuffer(b"\0".join(map(table.__getitem__, chunks)), np.int8)
 
     def _cut(self, part: str) -> tuple[list[str], str]:
-        """Chunks and white space of a part without special tokens, as the tokenizer sees it, and the part in NFC."""
+        """What stands between any two white characters of a part without special tokens, as the tokenizer sees it; the part in NFC.
+
+        Two white characters side by side have an empty chunk between them.
+        """
         nfc = part if part.isascii() else unicodedata.normalize("NFC", part)
-        return self.all_pieces(self.vocabulary.normal(nfc)), nfc
+        text = self.vocabulary.normal(nfc)
+        for white in ASCII_WHITE if text.isascii() else ALL_WHITE:
+            text = text.replace(white, " ")
+        return text.split(" "), nfc
 
     def _of_part(self, pieces: list[str], nfc: str) -> np.ndarray:
-        changes = self._changes(pieces) if pieces else np.empty(0, np.int8)
+        changes = self._changes(pieces)
         if len(changes) != len(nfc):  # a letter whose lower case is two
             sizes = [len(c.lower()) for c in nfc]
             starts = np.cumsum([0, *sizes[:-1]])
@@ -217,17 +238,11 @@ class PrefixCounter:
                     wanted.update(ordinary)
                     plan.append((ordinary, joined, len(tail)))
             plans.append(plan)
-        if self.of_words > CACHE_BYTES:
+        if self.of_wide > CACHE_BYTES:
             self.forget()
-        elif self.of_chunks > CACHE_BYTES:
-            self.forget_chunks()
-        missing = [p for p in wanted if p not in self.chunks]
-        white = [p for p in missing if p.isspace() and not self.vocabulary.find_words_and_breaks(p.replace("\n", " "))]
-        for p in white:
-            self.chunks[p] = b"\0" * len(p)
-        if len(white) < len(missing):
-            gone = set(white)
-            self._learn([p for p in missing if p not in gone])
+        missing = self.chunks.missing(wanted)
+        if missing:
+            self.chunks.add(self._learn(list(missing)))
         return [self._of_plan(plan) for plan in plans]
 
     def _of_plan(self, plan: list[tuple]) -> np.ndarray:

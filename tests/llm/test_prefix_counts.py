@@ -83,3 +83,17 @@ def test_budgets_without_encoding_again(spark, library):
     counts = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
     assert got[1] == (counts[5], max(i for i, c in enumerate(counts) if c <= 5))
     assert got[2] == (0, 0) and got[3] == (counts[-1], len(text)) and got[4] == (0, 0) and got[5] == got[6] == (None, None)
+
+
+def test_common_words_outlast_full_tables_and_white_space_of_any_kind_counts(library, monkeypatch):
+    monkeypatch.setattr(prefix_counts, "CACHE_BYTES", 20_000)
+    counter = prefix_counts.PrefixCounter(queries.VOCABULARY)
+    worked_out, learn = [], counter.counts_of_words
+    monkeypatch.setattr(counter, "counts_of_words", lambda words: worked_out.extend(words) or learn(words))
+    white = [" ", "  ", "\n", "\t \v", "\x85", "\xa0 ", "  ", "　\r\n", ""]
+    for i in range(60):
+        text = white[i % 9] + white[i // 9 % 9].join(["common", "words", *(f"rare{'abcdefgh'[i % 8]}{'xyz'[k % 3]}{chr(97 + i % 26)}{chr(97 + k)}" for k in range(20))]) + white[-1 - i % 9]
+        assert counter.tables([text])[0].sum() == len(library.encode(text, add_special_tokens=False).ids)
+        assert len(counter.tables([text])[0]) == len(text)
+    assert worked_out.count("common") < 5
+    assert counter.words.size < 60_000
