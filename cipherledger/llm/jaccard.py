@@ -31,8 +31,10 @@ from cipherledger.llm.store import written
 
 #: A token is frequent if it stands for at least this part of all tokens; so there are at most as many.
 FREQUENT = 2**20
-#: Tokens are counted in runs of this many.
-RUN = 4_000_000
+#: Tokens are counted in runs of this many: at least twice as many as above, or a token of that share may stand once in each.
+RUN = 2**21
+#: Rows that Python workers get at once: a pair to compare holds two whole sets.
+BATCH_ROWS = 512
 #: Bits of the filter that picks the documents to verify; documents let through in vain only cost time.
 FILTER_BITS = 2**27
 #: Entries that more entities share go by their pivot first.
@@ -78,7 +80,7 @@ def frequent_tokens(docs: DataFrame, n_words: int) -> np.ndarray:
 
         held: list[np.ndarray] = []
         size = 0
-        for batch in batches:
+        for batch in bpe.small(batches):
             for _, sets in _sets(batch, 0, n_words):
                 held += sets
                 size += sum(map(len, sets))
@@ -89,7 +91,8 @@ def frequent_tokens(docs: DataFrame, n_words: int) -> np.ndarray:
 
     counted = written(
         _rows(docs).select("text").mapInArrow(count, "token long, n long, total long")
-        .groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        .groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")),
+        BATCH_ROWS,
     )
     bar = max(2, (counted.agg(F.sum("total")).first()[0] or 0) / FREQUENT)
     found = counted.where(F.col("n") >= bar).select("token").toArrow().column(0).to_numpy()
@@ -142,7 +145,7 @@ def index(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bpe.small(batches):
             for a, sets in _sets(batch, 1, n_words):
                 found = [entries(s, frequent, threshold) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -233,7 +236,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     held[words.column(0).to_numpy()] = words.column(1).to_numpy()
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bpe.small(batches):
             marked = [held[c >> 3] >> (c & 7) & 1 for c in (batch.column(k).to_numpy() for k in (2, 3))]
             batch = batch.filter(pa.array((marked[0] & marked[1]).astype(bool)))
             for a, sets in _sets(batch, 1, n_words):
@@ -256,12 +259,12 @@ def _verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, n_words: i
         return pairs
     needed = pairs.select(F.col("a").alias("entity")).union(pairs.select("b")).distinct()
     wanted = written(entities.join(needed, "entity").select("entity", "doc_id", "high", "low"))
-    sets = written(_sets_of(docs, wanted, n_words))
+    sets = written(_sets_of(docs, wanted, n_words), BATCH_ROWS)
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("entity").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bpe.small(batches):
             linked = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 left, right = (np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in (x, y))
@@ -269,7 +272,7 @@ def _verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, n_words: i
                 linked.append(100 * shared >= threshold * (len(left) + len(right) - shared))
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    return written(pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long").distinct())
+    return written(pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long").distinct(), BATCH_ROWS)
 
 
 def _members(entities: DataFrame) -> DataFrame:
@@ -327,7 +330,7 @@ def join(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     """
     if not 50 < threshold <= 100:
         raise ValueError("the threshold is a whole percentage over 50")
-    rows = written(index(docs, n_words, threshold))
+    rows = written(index(docs, n_words, threshold), BATCH_ROWS)
     entities = written(
         rows.where("n > 0").groupBy("high", "low").agg(
             F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "u", "sketch", "rare", "often")]

@@ -108,6 +108,24 @@ def test_components_by_brute_force(spark, monkeypatch, n, threshold, often):
     assert got == plain_components(docs, n, threshold)
 
 
+def test_workers_of_the_join_get_few_rows_at_once(spark, monkeypatch):
+    """A pair to compare holds two whole sets; a run tells every token of the share that makes it frequent."""
+    asked, write = [], jaccard.written
+
+    def spy(df, batch_rows=None):
+        if "MapInArrow" in df._jdf.queryExecution().executedPlan().toString():
+            asked.append(batch_rows)
+        return write(df, batch_rows)
+
+    monkeypatch.setattr(jaccard, "written", spy)
+    docs = near_copies(5, 4, 6, 60)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(rows, 3, 90).collect()}
+    assert got == plain_components(docs, 3, 90)
+    assert len(asked) >= 4 and {n is not None and n <= 1024 for n in asked} == {True}
+    assert jaccard.RUN >= 2 * jaccard.FREQUENT
+
+
 def test_documents_by_brute_force(spark, documents):
     docs = [(r.doc_id, r.text) for r in documents.collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op3_jaccard(spark, SF).collect()}
