@@ -285,8 +285,13 @@ class Vocabulary:
         for kept in (self.known, self.words, self.fragments):
             kept.most = cache_bytes
 
+    def rest(self) -> None:
+        """At a task's end: the worker process goes on, maybe to other work, which bounded caches leave the room to."""
+        if self.known.most is not None:
+            self.forget()
+
     def forget(self) -> None:
-        """Empty the caches: the worker process goes on to other work."""
+        """Empty the caches."""
         for kept in (self.known, self.words, self.fragments):
             kept.clear()
 
@@ -345,12 +350,13 @@ def small(
 ) -> Iterator[pa.RecordBatch]:
     """A task's batches in small slices, by bytes of text where a vocabulary encodes them.
 
-    At the task's end the vocabulary's caches and freed memory are given back.
+    At the task's end freed memory is given back, and the vocabulary's caches if they are bounded below CACHE_BYTES; else
+    what one task has worked out serves the next.
     """
     for batch in batches:
         yield from by_bytes(batch, run_bytes) if vocabulary else slices(batch)
     if vocabulary:
-        vocabulary.forget()
+        vocabulary.rest()
     give_back()
 
 

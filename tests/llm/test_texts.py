@@ -69,6 +69,16 @@ def test_caches_stay_within_their_bound(spark):
     assert sorted(map(tuple, tight.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_a_task_hands_its_words_on_unless_they_are_bounded():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words stay"])], ["doc_id", "text"])
+    vocabulary = bpe.Vocabulary(queries.VOCABULARY)
+    for most, stays in ((None, True), (200_000, False)):
+        vocabulary.bound(most)
+        for some in bpe.small(iter([batch]), vocabulary):
+            vocabulary.encode(some.column(1).to_pylist())
+        assert ("words" in vocabulary.known.new) == ("words" in vocabulary.words.new) == stays
+
+
 def test_runs_are_of_the_bytes_asked_for():
     batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 100] * 50)], ["doc_id", "text"])
     some = list(bpe.by_bytes(batch, 1_000))
