@@ -61,10 +61,27 @@ def _keys(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(np.array(own, dtype=np.uint64).view(np.int64), pa.int64()) for own in sums]
 
 
-def frequent_tokens(docs: DataFrame, n_words: int) -> np.ndarray:
-    """Tokens of great share, sorted. What is missed here is handled as rare, only more slowly.
+def _bars(counted: DataFrame) -> tuple[int, int]:
+    """How often a listed and a frequent token stand at least.
 
-    A token of that share has it in some run, so runs report only what is frequent within them.
+    As few times as list no more tokens than can be of great share; frequent are those of that share, and already those
+    in more than ``MANY`` places if they are listed.
+    """
+    share = max(2, math.ceil((counted.agg(F.sum("total")).first()[0] or 0) / FREQUENT))
+    held = counted.where("n > 1").groupBy(F.length(F.bin("n")).alias("bits")).count().orderBy(F.desc("bits")).collect()
+    listed, room = share, FREQUENT
+    for row in held:
+        room -= row["count"]
+        if room >= 0:
+            listed = min(listed, 2 ** (row.bits - 1))
+    return listed, min(share, max(listed, MANY + 1))
+
+
+def frequent_tokens(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that stand often, sorted, and each one's rank from the seldomest; frequent are those from 0 on.
+
+    What is missed here is handled as rare, or comes earlier in the order of tokens: only more slowly. A token of great
+    share has it in some run, so runs report only what is frequent within them.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def report(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -94,15 +111,19 @@ def frequent_tokens(docs: DataFrame, n_words: int) -> np.ndarray:
         .groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")),
         BATCH_ROWS,
     )
-    bar = max(2, (counted.agg(F.sum("total")).first()[0] or 0) / FREQUENT)
-    found = counted.where(F.col("n") >= bar).select("token").toArrow().column(0).to_numpy()
-    return np.sort(found.view(np.uint64))
+    listed, bar = _bars(counted)
+    found = counted.where(F.col("n") >= listed).select("token", "n").toArrow()
+    tokens, counts = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    ranks = np.empty(len(tokens), dtype=np.int32)
+    ranks[np.lexsort((tokens, counts))] = np.arange(len(tokens)) - np.count_nonzero(counts < bar)
+    order = np.argsort(tokens)
+    return tokens[order], ranks[order]
 
 
 def combinations(frequent: np.ndarray, n: int, threshold: int, spare: int) -> np.ndarray:
     """Index entries of a set's frequent tokens: pairs within classes of an extended prefix.
 
-    ``n``: size of the set; ``spare``: how many of its frequent tokens it may miss at most. The number of classes goes
+    ``frequent``: these tokens in an order that all sets share; ``n``: size of the set; ``spare``: how many of its frequent tokens it may miss at most. The number of classes goes
     by the power of two below n alone; a set just above one is indexed for smaller partners as well.
     """
     out = []
@@ -125,29 +146,39 @@ def combinations(frequent: np.ndarray, n: int, threshold: int, spare: int) -> np
     return np.concatenate(out)
 
 
-def entries(shingles: np.ndarray, frequent: np.ndarray, threshold: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of rare tokens, rare index entries, frequent index entries of one set."""
+def entries(
+    shingles: np.ndarray, listed: np.ndarray, threshold: int, ranks: np.ndarray | None = None
+) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rare tokens, rare index entries, frequent index entries of one set.
+
+    Tokens come in the order of their ranks, those not listed first, so that few sets share the first ones. Frequent are
+    those of rank 0 or more (``ranks`` None: all that are listed).
+    """
     n = len(shingles)
     missing = n * (100 - threshold) // 100
-    at = np.minimum(np.searchsorted(frequent, shingles), max(len(frequent) - 1, 0))
-    often = frequent[at] == shingles if len(frequent) else np.zeros(n, dtype=bool)
-    rare = shingles[~often]
+    at = np.minimum(np.searchsorted(listed, shingles), max(len(listed) - 1, 0))
+    own = np.full(n, -len(listed) - 1, dtype=np.int64)
+    known = listed[at] == shingles if len(listed) else np.zeros(n, dtype=bool)
+    own[known] = 0 if ranks is None else ranks[at[known]]
+    order = np.argsort(own, kind="stable")
+    n_rare = int(np.searchsorted(own[order], 0))
+    rare, often = shingles[order[:n_rare]], shingles[order[n_rare:]]
     if len(rare) > missing:
         return len(rare), rare[: missing + 1], shingles[:0]
     if n < 2:  # nothing but an equal set is near to one token
         return len(rare), rare, shingles[:0]
-    return len(rare), rare, combinations(shingles[often], n, threshold, missing - len(rare))
+    return len(rare), rare, combinations(often, n, threshold, missing - len(rare))
 
 
 def index(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     """One row per document: size, number of rare tokens, 128-bit key of the set, sketch, index entries."""
-    frequent = frequent_tokens(docs, n_words)
+    listed, ranks = frequent_tokens(docs, n_words)
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bpe.small(batches):
             for a, sets in _sets(batch, 1, n_words):
-                found = [entries(s, frequent, threshold) for s in sets]
+                found = [entries(s, listed, threshold, ranks) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, len(sets)),

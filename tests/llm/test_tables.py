@@ -150,6 +150,57 @@ def test_near_sets_share_an_entry():
         assert np.intersect1d(mine[1], yours[1]).size or np.intersect1d(mine[2], yours[2]).size, trial
 
 
+def test_near_sets_share_an_entry_in_the_order_of_ranks():
+    """As above, with tokens ordered by how seldom they stand; sets that share the most frequent tokens alone are no candidates."""
+    rng = np.random.default_rng(2)
+    for trial in range(300):
+        base = np.unique(rng.integers(0, 2**63, int(rng.integers(10, 300)), dtype=np.uint64))
+        drop = int(rng.integers(0, len(base) // 10 + 1))
+        other = np.unique(np.append(rng.permutation(base)[drop:], rng.integers(0, 2**63, int(rng.integers(0, len(base) // 20 + 1)), dtype=np.uint64)))
+        shared = len(np.intersect1d(base, other))
+        if 100 * shared < 90 * (len(base) + len(other) - shared) or len(base) == len(other) == shared:
+            continue
+        every = np.union1d(base, other)
+        listed = np.sort(rng.permutation(every)[: int(len(every) * rng.choice([0.3, 0.9, 1.0]))])
+        ranks = rng.permutation(len(listed)) - int(len(listed) * rng.choice([0, 0.3, 0.9, 1.0]))
+        mine, yours = (jaccard.entries(s, listed, 90, ranks) for s in (base, other))
+        assert np.intersect1d(mine[1], yours[1]).size or np.intersect1d(mine[2], yours[2]).size, trial
+    passage, others = np.arange(60, dtype=np.uint64), np.arange(100, 180, dtype=np.uint64)
+    listed = np.concatenate([passage, others])
+    ranks = np.append(np.arange(60) + 80, np.arange(80))  # tokens of the passage are the most frequent ones
+    one, two = (jaccard.entries(np.append(passage, o), listed, 80, ranks)[2] for o in (others[:40], others[40:]))
+    assert one.size and two.size and not np.intersect1d(one, two).size
+
+
+def test_common_phrases_make_no_large_entries(spark, monkeypatch):
+    """Texts that have but a phrase in common are no candidates, though its tokens are far from a great share of all."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 500)
+    monkeypatch.setattr(jaccard, "MANY", 4)
+    rng = random.Random(3)
+    docs = []
+    for i in range(80):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        own[40:48] = [f"phrase{i // 10}-{k}" for k in range(8)]
+        docs += [(2 * i, " ".join(own))] + ([(2 * i + 1, " ".join(own[:95]))] if i % 20 == 0 else [])
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    entities = jaccard.index(rows, 3, 80).withColumn("entity", F.col("doc_id"))
+    assert entities.agg(F.sum("n")).first()[0] > 500 * 12  # ten of a phrase's token are no great share
+    members = jaccard._members(entities)
+    assert members.where("held > 4").count() == 0 and members.where("held > 1").count() > 0
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(rows, 3, 80).collect()}
+    assert got == plain_components(docs, 3, 80)
+
+
+def test_listed_tokens_are_bounded(spark, monkeypatch):
+    """As many tokens are listed as have room, those that stand most often first."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 10)
+    counts = [0] + [2] * 50 + [5] * 4 + [9] * 3 + [200] * 2
+    counted = spark.createDataFrame([(i, n, 0 if i else 10_000) for i, n in enumerate(counts)], "token long, n long, total long")
+    assert jaccard._bars(counted) == (4, 65)
+    monkeypatch.setattr(jaccard, "FREQUENT", 1000)
+    assert jaccard._bars(counted) == (2, 10)
+
+
 def test_jaccard_odd_rows(odd_docs, no_docs):
     rows = jaccard.join(odd_docs, 3, 90).collect()
     assert len(rows) == odd_docs.count()
