@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from cipherledger.llm import bpe
 
-#: The model is fitted on one share of the labelled rows, chosen by a hash: this many to twice as many (all, if fewer).
+#: Unless all are to teach, the model is fitted on one share of the labelled rows, chosen by a hash: this many to twice as
+#: many (all, if fewer).
 TRAIN_DOCS = 20_000
 #: Of each language at least this many rows are used, and all, if it has fewer than twice as many.
 TRAIN_DOCS_EACH = 1_000
@@ -99,21 +100,25 @@ def margins(texts: list[str], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame) -> Model:
-    """A model from rows ``doc_id, text, lang``; rows without a letter or language teach nothing.
-
-    At most about 2 x TRAIN_DOCS rows and 2 x TRAIN_DOCS_EACH of each language are used, and some of every language that
-    has any. What comes together on the driver are counts by language and bucket.
-    """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(TEACHES)).select(
-        "text", "lang", F.xxhash64("doc_id", "text").alias("hash")
-    )
+def _sampled(known: DataFrame) -> DataFrame:
+    """At most about 2 x TRAIN_DOCS rows and 2 x TRAIN_DOCS_EACH of each language, and some of every language that has any."""
+    known = known.select("text", "lang", F.xxhash64("doc_id", "text").alias("hash"))
     held = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).collect()
     common = max(1, sum(r["n"] for r in held) // TRAIN_DOCS)
     shares = [(r["lang"], max(1, min(common, r["n"] // TRAIN_DOCS_EACH)), r["least"]) for r in held]
     # a language's sample is dealt from its least hash, so it is never empty
     dealt = known.sparkSession.createDataFrame([(lang, n, least % n) for lang, n, least in shares], "lang string, share long, rest long")
-    sample = known.join(F.broadcast(dealt), "lang").where(F.pmod("hash", "share") == F.col("rest")).select("text", "lang")
+    return known.join(F.broadcast(dealt), "lang").where(F.pmod("hash", "share") == F.col("rest")).select("text", "lang")
+
+
+def train(labelled: DataFrame, whole: bool = False) -> Model:
+    """A model from rows ``doc_id, text, lang``; rows without a letter or language teach nothing.
+
+    All other rows teach if ``whole``, else a sample of them (``TRAIN_DOCS``). What comes together on the driver are
+    counts by language and bucket.
+    """
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(TEACHES))
+    sample = known.select("text", "lang") if whole else _sampled(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}

@@ -33,7 +33,7 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Log-likelihood ratio per character above which a token is random, in nats.
 THRESHOLD = 2.0
-#: The models count about this many documents, chosen by a hash of doc_id, and the built-in samples.
+#: Unless they count all, the models count about this many documents, chosen by a hash of doc_id; the built-in samples too.
 SAMPLE_DOCS = 20_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Symbols, any other character, and as a state to step from, the start.
@@ -141,14 +141,17 @@ def model_of(cells: DataFrame) -> np.ndarray:
     return (likely[1] - likely[0]).ravel()
 
 
-def train_on(docs: DataFrame) -> np.ndarray:
-    """A model from about SAMPLE_DOCS documents (all, if fewer).
+def train_on(docs: DataFrame, whole: bool = False) -> np.ndarray:
+    """A model from all documents if ``whole``, else from about SAMPLE_DOCS (all, if fewer).
 
     Their samples are counted by the Python worker that cuts them: two steps in Python would take two workers a task, and
     all of them stay for the work that follows.
     """
-    share = max(1, docs.count() // SAMPLE_DOCS)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    if whole:
+        chosen = docs
+    else:
+        share = max(1, docs.count() // SAMPLE_DOCS)
+        chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
     return model_of(texts_of(chosen).mapInArrow(lambda batches: counted(labelled(batches)), "cell long, n long"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cipherledger.llm import jaccard, lines, mtree, neighbours, queries, sharding, shingles, vectors
+from cipherledger.llm import bpe, jaccard, languages, lines, mtree, neighbours, queries, secrets, sharding, shingles, vectors
 from cipherledger.llm.components import components
 from tests.llm.conftest import SF
 
@@ -386,6 +386,30 @@ def test_pipeline_odd_rows(spark, odd_docs, no_docs):
         assert docs.count() >= rows.limit(1).count()
 
 
+def test_pipeline_models_are_those_of_all_documents(spark, documents, monkeypatch):
+    for module, name in ((languages, "TRAIN_DOCS"), (languages, "TRAIN_DOCS_EACH"), (secrets, "SAMPLE_DOCS")):
+        monkeypatch.setattr(module, name, 10**9)
+    fitted = languages.train(documents.where(~queries.held_out()))
+    model = secrets.train_on(documents)
+    for module, name in ((languages, "TRAIN_DOCS"), (languages, "TRAIN_DOCS_EACH"), (secrets, "SAMPLE_DOCS")):
+        monkeypatch.setattr(module, name, 1)
+    monkeypatch.setattr(languages, "recognised", lambda docs, own: docs.limit(0) if (own.weights == fitted.weights).all() else None)
+    monkeypatch.setattr(secrets, "redact", lambda docs, own: docs.limit(0) if (own == model).all() else None)
+    assert corpus_pipeline.language(spark, documents, SF).count() == 0
+    assert corpus_pipeline.mask_secrets(spark, documents, SF).count() == 0
+
+
+def test_pipeline_packs_the_tokens_themselves(spark, documents):
+    some = documents.limit(40)
+    rows = corpus_pipeline.pack(spark, some, SF).collect()
+    assert {r.sequence_id is not None and len(r.ids) == 4 * r.length for r in rows} == {True}
+    want = {r.doc_id: bytes(r.ids) + bytes(4) for r in bpe.encode(some, queries.VOCABULARY).collect()}
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    assert got == want
+
+
 def test_entry_registers_all_operators():
     import __spark_entry__
 
