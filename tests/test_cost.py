@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from cipherledger.fixed import compliance_rules, config_rules
 from cipherledger.functions import text
-from cipherledger.operators import detect_config, detect_manifests, enrich, lines
+from cipherledger.operators import detect_config, detect_endpoints, detect_manifests, enrich, lines, post
 from cipherledger.operators.detect_text import secrets_detector
 from cipherledger.operators.hits import assemble, find_first
 from cipherledger.sources import rules as rule_tables
-from verification import corpus
+from verification import corpus, finding_queries
 
 
 def plan_of(frame):
@@ -23,6 +23,45 @@ def test_one_row_group_is_no_single_task(spark, tmp_path):
     assert files.count() == 50
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """All that a whole scan reads, with a null text and repeated rows."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    made = {
+        "documents": ([(i, f"first {i}\nRSA_generate_key_ex\n" * 9) for i in range(60)] + [(3, None), (4, "twice"), (4, "twice")], "doc_id long, text string"),
+        "customer": ([(i, f"name {i}", i % 5) for i in range(40)] + [(7, "name 7", 2)] * 2, "c_custkey long, c_name string, c_nationkey int"),
+        "supplier": ([(i,) for i in range(10)] + [(3,)], "s_suppkey long"),
+        "orders": ([(i * 500, i % 7) for i in range(80)] + [(1500, 3)], "o_orderkey long, o_custkey long"),
+    }
+    for name, (rows, columns) in made.items():
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["standard_profile", "deep_profile", "paranoid_profile", "every_detector"])
+def test_a_whole_scan_deals_documents_once(spark, tables, name):
+    frame = getattr(finding_queries, name)(spark, tables)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("REPARTITION_BY_COL") == plan.count("ReusedExchange") + 1 == 1 + (name in ("paranoid_profile", "every_detector"))
+
+
+def test_files_of_all_corpora_are_those_of_each(spark, tables):
+    apart = post.union_all([c.files(spark, tables) for c in finding_queries.TEXTS])
+    together = corpus.files_of(finding_queries.TEXTS, spark, tables)
+    assert together.columns == apart.columns and sorted(map(repr, together.collect())) == sorted(map(repr, apart.collect()))
+
+
+def test_a_path_is_shuffled_once_to_drop_duplicates(spark, tables):
+    found = detect_endpoints.detect_calls(corpus.calls(spark, tables)).union(detect_endpoints.detect_certificates(corpus.certificates(spark, tables)))
+    kept = post.deduplicate_placed(found)
+    assert kept.schema == found.schema and kept.count() < found.count()
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, post.deduplicate(found).collect()))
+    plan = kept.select("rule_id", "location.file_path", "location.line_number")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "_location_file_path" in line and "Project [" in line][-1]
+    assert dealt.count("path") == 2  # what it is made of and its name
+
+
 def test_manifests_are_read_once_however_many_libraries(make_files):
     pom = "<dependency>\n<groupId>org.bouncycastle</groupId>\n<artifactId>bcprov</artifactId>\n</dependency>"
     gradle = "// none\nimplementation 'ORG.JASYPT:jasypt:1.9'\napi group: 'com.nimbusds:nimbus-jose-jwt', name: 'x'\ncompile 'a:b:1'"
