@@ -333,11 +333,11 @@ def _still_apart(members: DataFrame, reached: DataFrame, entities: DataFrame, th
 
     Entities of an entry are taken together by size and rare tokens; only classes that may be near are unfolded.
     """
-    placed = written(
-        members.where(F.col("held") > MANY).join(reached, F.col("entity") == F.col("node"), "left")
-        .select("entry", "entity", "u", "n", F.coalesce("component", "entity").alias("component"))
-        .join(entities.select("entity", "sketch"), "entity")
+    # by entity first, not for every entry that an entity shares with many
+    known = entities.join(reached, F.col("entity") == F.col("node"), "left").select(
+        "entity", "sketch", F.coalesce("component", "entity").alias("component")
     )
+    placed = written(members.where(F.col("held") > MANY).drop("held").join(known, "entity"))
     classes = placed.groupBy("entry", "u", "n").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     possible = _named(classes, "a", "entry").join(_named(classes, "b", "entry"), "entry").where(
         (F.struct("n_a", "u_a") <= F.struct("n_b", "u_b"))

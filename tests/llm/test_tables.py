@@ -342,6 +342,18 @@ def test_sharding_odd_rows(odd_docs, no_docs):
     assert sharding.shard(no_docs, 40).count() == 0
 
 
+def test_components_are_looked_up_by_entity_not_by_entry(spark, monkeypatch):
+    members = spark.createDataFrame([(e, 70, i, 0, 9) for e in range(30) for i in range(70)], "entry long, held long, entity long, u int, n int")
+    entities = spark.createDataFrame([(i, 9, [i]) for i in range(70)], "entity long, n int, sketch array<long>")
+    reached = spark.createDataFrame([(i, 0) for i in range(1, 69)], "node long, component long")
+    joins, write = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    found = jaccard._still_apart(members, reached, entities, 80)
+    assert {(r.a, r.b) for r in found.collect()} == {(i, 69) for i in range(69) if (i ^ 69).bit_count() <= 2}
+    outer = joins[0].split("LeftOuter")[1]
+    assert joins[0].count("Join ") == 2 and "sketch" in outer and "entry" not in outer
+
+
 # ---- SQL twins and the pipeline
 
 
